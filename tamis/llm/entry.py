@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm.common import documents
+from tamis.llm.common import crc_mod, documents
 
 
 def _digest(spans, only: tuple[str, ...] = ()):
@@ -13,6 +13,22 @@ def _digest(spans, only: tuple[str, ...] = ()):
     return F.array_join(F.transform(kept, lambda x: F.concat_ws(":", x["kinds"], x["starts"].cast("string"), x["ends"].cast("string"))), ",")
 
 
+def op3_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamis.llm import ppm
+
+    docs = documents(spark, sf_dir)
+    model = ppm.fit(docs, where=crc_mod(docs["doc_id"], 5) != 0)
+    return ppm.predict(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op6_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamis.llm import ftrl
+
+    docs = documents(spark, sf_dir)
+    model = ftrl.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), where=crc_mod(F.col("doc_id"), 3) != 1)
+    return ftrl.score(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tamis.llm.secrets import scan_secrets
 

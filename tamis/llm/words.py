@@ -17,6 +17,8 @@ CHUNK_BYTES = 2_000_000  # documents are handled in groups of about this many by
 
 _SEP = np.ones(256, bool)
 _SEP[[0x20, 9, 10, 11, 12, 13]] = False  # True: belongs to a word
+_ALNUM = np.zeros(256, bool)  # letters, digits and every byte of a non-ASCII character
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _RANDOM = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,6 +72,7 @@ class Words:
     doc: np.ndarray
     hash: np.ndarray
     first: np.ndarray
+    heads: list[np.ndarray]
 
     @property
     def counts(self) -> np.ndarray:
@@ -109,10 +112,11 @@ def chunks(texts: Texts, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, T
         a = b
 
 
-def words_of(texts: Texts, lower: bool = True, hashes: bool = True) -> Words:
+def words_of(texts: Texts, lower: bool = True, hashes: bool = True, alnum: bool = False, heads_of: tuple[int, ...] = ()) -> Words:
+    """alnum: words hold letters and digits only. heads_of: also hashes of each word's first so many bytes."""
     buf, off = texts.buf, texts.off
     n = len(buf)
-    inside = _SEP[buf]
+    inside = (_ALNUM if alnum else _SEP)[buf]
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
     finish = inside.copy()
@@ -125,13 +129,16 @@ def words_of(texts: Texts, lower: bool = True, hashes: bool = True) -> Words:
     end = np.flatnonzero(finish) + 1
     first = np.searchsorted(start, off).astype(np.int64)
     doc = np.repeat(np.arange(texts.n), np.diff(first))
-    h = np.zeros(0, np.uint64)
+    h, parts = np.zeros(0, np.uint64), []
     if hashes:
         with np.errstate(over="ignore"):
             acc = np.zeros(n + 1, np.uint64)
             np.cumsum(_RANDOM[_LOWER[buf] if lower else buf] * _power("p", _P, n), out=acc[1:])
-            h = mix((acc[end] - acc[start]) * _power("i", _PINV, n + 1)[start])
-    return Words(start, end, doc, h, first)
+            back = _power("i", _PINV, n + 1)[start]
+            h = mix((acc[end] - acc[start]) * back)
+            for k in heads_of:
+                parts.append(np.where(end - start > k, mix((acc[np.minimum(start + k, end)] - acc[start]) * back + np.uint64(k)), np.uint64(0)))
+    return Words(start, end, doc, h, first, parts)
 
 
 _Q = np.uint64(0xD6E8FEB86659FD93)
