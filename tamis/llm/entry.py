@@ -13,6 +13,13 @@ def _digest(spans, only: tuple[str, ...] = ()):
     return F.array_join(F.transform(kept, lambda x: F.concat_ws(":", x["kinds"], x["starts"].cast("string"), x["ends"].cast("string"))), ",")
 
 
+def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamis.llm import crf
+
+    docs = documents(spark, sf_dir)
+    return crf.judge(docs, crf.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op3_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tamis.llm import ppm
 

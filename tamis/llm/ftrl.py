@@ -78,7 +78,7 @@ def _coordinates(texts: Texts, bits: int, weights: np.ndarray | None = None) ->
     return pairs >> bits, pairs & ((1 << bits) - 1)
 
 
-def train(rows: list[tuple[np.ndarray, int]], bits: int, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, epochs: int = 4) -> Model:
+def train(rows: list[tuple[np.ndarray, int]], bits: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, epochs: int = 4) -> Model:
     """FTRL-proximal (per-coordinate rates alpha / (beta + sqrt(sum g^2)), L1 and L2), rows in a fixed shuffled order."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     bias = bias_n = 0.0

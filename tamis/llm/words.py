@@ -174,3 +174,23 @@ def sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Sum of values between consecutive offsets (empty ranges give 0)."""
     acc = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
     return acc[off[1:]] - acc[off[:-1]]
+
+
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of every span, as it stands (no folding)."""
+    with np.errstate(over="ignore"):
+        acc = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(_RANDOM[buf] * _power("p", _P, len(buf)), out=acc[1:])
+        return mix((acc[end] - acc[start]) * _power("i", _PINV, len(buf) + 1)[start] + (end - start).astype(np.uint64))
+
+
+def repeats(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(comes again in its document, came before in its document) for hashes in document order."""
+    with np.errstate(over="ignore"):
+        key = mix(h + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    again, before = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    again[order[:-1]] = same
+    before[order[1:]] = same
+    return again, before
