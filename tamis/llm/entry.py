@@ -28,6 +28,14 @@ def op3_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.predict(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamis.llm.shards import shard_by_bytes
+
+    return shard_by_bytes(documents(spark, sf_dir), 24).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op6_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tamis.llm import ftrl
 
@@ -36,6 +44,22 @@ def op6_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ftrl.score(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+#: token shares wanted of the two quality classes of the labelled table
+MIX = {"high": 0.96, "low": 0.04}
+
+
+def quality_domains(labels: DataFrame) -> DataFrame:
+    rows = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return rows.select("doc_id", F.when(F.col("quality") == 1, "high").otherwise("low").alias("domain"))
+
+
+def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamis.llm.mixing import mix
+
+    mixed = mix(documents(spark, sf_dir), quality_domains(spark.read.parquet(f"{sf_dir}/labels.parquet")), MIX)
+    return mixed.select("doc_id", "n_tokens", F.col("posterior")["high"].alias("p_high"), F.col("posterior")["low"].alias("p_low"), "rate", "copies")
+
+
 def op10_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tamis.llm.secrets import scan_secrets
 
