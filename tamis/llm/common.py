@@ -30,11 +30,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """As many partitions as the session's parallelism asks for, if the input has fewer."""
-    return df
-
-
 def bounded_sample(rows: DataFrame, key: Column, limit: int) -> DataFrame:
     """About `limit` rows at most, chosen by the hash of a key, so that the choice is the same at every run.
 
@@ -47,3 +42,62 @@ def bounded_sample(rows: DataFrame, key: Column, limit: int) -> DataFrame:
         share = min(1.0, 1.2 * limit / n + 20 / n)
         picked = picked.filter(F.pmod(F.col("__h"), F.lit(1_000_000)) < math.ceil(share * 1_000_000))
     return picked.orderBy("__h").limit(limit).drop("__h")
+
+
+def runs(batches, key: str):
+    """Tables of equal key from a stream of Arrow batches that is sorted by it; a run may span batches.
+
+    Only one run is held at a time, so its size must be bounded by how the key was made."""
+    import numpy as np
+    import pyarrow as pa
+
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(key).to_numpy(zero_copy_only=False)
+        cut = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
+        if held and held[-1].column(key)[0].as_py() != k[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if b < len(k):
+                yield pa.Table.from_batches([*held, batch.slice(a, b - a)])
+                held = []
+            else:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, component): connected components of an edge list (a, b), the component named by its smallest node.
+
+    Alternating large-star and small-star steps; each step moves every edge towards the smallest known
+    neighbour, so the edges never grow in number beyond the first list and a star is reached in O(log n) rounds.
+    Lineage is cut through the checkpoint folder."""
+    edges = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+
+    def state(e: DataFrame):
+        r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        return r["n"], r["h"]
+
+    before = state(edges)
+    for _ in range(rounds):
+        if not before[0]:
+            break
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("x"), "m").filter("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v"))
+        edges = checkpointed(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        after = state(edges)
+        if after == before:
+            break
+        before = after
+    else:
+        raise RuntimeError("components did not settle")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    )

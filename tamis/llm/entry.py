@@ -60,6 +60,12 @@ def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "n_tokens", F.col("posterior")["high"].alias("p_high"), F.col("posterior")["low"].alias("p_low"), "rate", "copies")
 
 
+def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamis.llm.forest import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), size=4, threshold=(80, 100))
+
+
 def op10_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tamis.llm.secrets import scan_secrets
 
