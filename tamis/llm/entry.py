@@ -28,6 +28,18 @@ def op3_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.predict(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op4_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamis.llm.lpf import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir), 100).select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("starts").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tamis.llm.shards import shard_by_bytes
 
