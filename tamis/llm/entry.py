@@ -72,6 +72,14 @@ def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "n_tokens", F.col("posterior")["high"].alias("p_high"), F.col("posterior")["low"].alias("p_low"), "rate", "copies")
 
 
+def op8_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamis.llm.lbl import score_texts
+
+    held = crc_mod(F.col("doc_id"), 7) == 2
+    scored = score_texts(documents(spark, sf_dir), ~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tamis.llm.forest import near_duplicates
 

@@ -19,8 +19,8 @@ _SEP = np.ones(256, bool)
 _SEP[[0x20, 9, 10, 11, 12, 13]] = False  # True: belongs to a word
 _ALNUM = np.zeros(256, bool)  # letters, digits and every byte of a non-ASCII character
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _RANDOM = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PINV = np.uint64(pow(int(_P), -1, 2**64))
@@ -133,7 +133,7 @@ def words_of(texts: Texts, lower: bool = True, hashes: bool = True, alnum: bool
     if hashes:
         with np.errstate(over="ignore"):
             acc = np.zeros(n + 1, np.uint64)
-            np.cumsum(_RANDOM[_LOWER[buf] if lower else buf] * _power("p", _P, n), out=acc[1:])
+            np.cumsum(_RANDOM[LOWER[buf] if lower else buf] * _power("p", _P, n), out=acc[1:])
             back = _power("i", _PINV, n + 1)[start]
             h = mix((acc[end] - acc[start]) * back)
             for k in heads_of:
