@@ -20,6 +20,12 @@ def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.judge(docs, crf.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op2_benchmark_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamis.llm.decontam import matches
+
+    return matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tamis.llm import ppm
 
