@@ -140,6 +140,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
+def _probability(own: Model, weights: np.ndarray, column: pa.Array) -> np.ndarray:
+    logits = [np.zeros(0)]
+    for _, _, part in chunks(texts_of(column)):
+        doc, coord = _coordinates(part, own.bits, weights)
+        logits.append(own.bias + np.bincount(doc, weights[coord], part.n)[: part.n])
+    return 1 / (1 + np.exp(-np.clip(np.concatenate(logits), -35, 35)))
+
+
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that score below the threshold; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def body(batches):
+        own = shared.value
+        weights = own.dense()
+        for batch in batches:
+            yield batch.filter(pa.array(_probability(own, weights, batch.column(at)) < threshold))
+
+    return docs.mapInArrow(body, docs.schema)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -148,11 +170,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         own = shared.value
         weights = own.dense()
         for batch in batches:
-            logits = []
-            for _, _, part in chunks(texts_of(batch.column(1))):
-                doc, coord = _coordinates(part, own.bits, weights)
-                logits.append(own.bias + np.bincount(doc, weights[coord], part.n)[: part.n])
-            z = np.clip(np.concatenate(logits) if logits else np.zeros(0), -35, 35)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-z)), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_probability(own, weights, batch.column(1)), pa.float64())], ["doc_id", "score"])
 
     return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(body, "doc_id bigint, score double")

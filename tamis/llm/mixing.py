@@ -36,30 +36,32 @@ def _share(text: Column, chars: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, chars, ""))) / F.greatest(F.length(text), F.lit(1))
 
 
-def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, one bucket number for each feature, cell)."""
+def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with two more columns: __n (tokens) and __cell (the combination of its buckets)."""
     text = F.coalesce(docs[text_col], F.lit(""))
+    plain = docs.columns
     rows = docs.select(
-        docs[id_col].cast("bigint").alias("doc_id"),
-        F.length(text).alias("chars"),
-        _share(text, "#*$%&|<>").alias("symbols"),
-        _share(text, UPPER).alias("upper"),
-        _share(text, "!?").alias("marks"),
-        F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != "").alias("words"),
-    )
-    n = F.size("words")
-    rows = rows.select(
-        "doc_id",
-        n.cast("bigint").alias("n_tokens"),
-        "symbols",
-        "upper",
-        "marks",
-        (F.expr("size(filter(words, (w, i) -> i > 0 and w = words[i - 1]))") / F.greatest(n, F.lit(1))).alias("twice"),
-        (F.col("chars") / F.greatest(n, F.lit(1))).alias("long"),
+        "*",
+        F.length(text).alias("__chars"),
+        _share(text, "#*$%&|<>").alias("__symbols"),
+        _share(text, UPPER).alias("__upper"),
+        _share(text, "!?").alias("__marks"),
+        F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != "").alias("__words"),
     )
-    level = {k: reduce(lambda a, b: a + b, [(F.col(k) > t).cast("int") for t in cuts]) for k, cuts in FEATURES.items()}
-    cell = reduce(lambda a, b: a * LEVELS + b, level.values())
-    return rows.select("doc_id", "n_tokens", cell.cast("int").alias("cell"))
+    n = F.size("__words")
+    rows = rows.withColumns({
+        "__n": n.cast("bigint"),
+        "__twice": F.expr("size(filter(__words, (w, i) -> i > 0 and w = __words[i - 1]))") / F.greatest(n, F.lit(1)),
+        "__long": F.col("__chars") / F.greatest(n, F.lit(1)),
+    }).drop("__words")
+    level = [reduce(lambda a, b: a + b, [(F.col(f"__{k}") > t).cast("int") for t in cuts]) for k, cuts in FEATURES.items()]
+    return rows.select(*plain, "__n", reduce(lambda a, b: a * LEVELS + b, level).cast("int").alias("__cell"))
+
+
+def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, cell)."""
+    rows = measured(docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")))
+    return rows.select("doc_id", F.col("__n").alias("n_tokens"), F.col("__cell").alias("cell"))
 
 
 def _levels(cell: int) -> list[int]:
@@ -90,17 +92,13 @@ def fit(described: DataFrame, labelled: DataFrame) -> tuple[list[str], np.ndarra
     return domains, p / p.sum(1, keepdims=True) if domains else p
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", total: float | None = None, steps: int = 60, tolerance: float = 1e-6) -> DataFrame:
-    """(doc_id, n_tokens, posterior map, rate, copies): copies = floor(rate + u), u in [0, 1) from the hash of the id."""
-    spark = docs.sparkSession
-    described = checkpointed(describe(docs, id_col, text_col))
+def fit_rates(described: DataFrame, labelled: DataFrame, weights: dict[str, float], total: float | None = None, steps: int = 60, tolerance: float = 1e-6) -> DataFrame:
+    """(cell, rate, posterior map): at most LEVELS**features rows. described: see `describe`."""
+    spark = described.sparkSession
     domains, posterior = fit(described, labelled)
     wanted = np.array([max(0.0, weights.get(k, 0.0)) for k in domains])
     p = [F.col("p")[k] for k in range(len(domains))]
-    if len(domains):
-        table = spark.createDataFrame([(c, posterior[c].tolist()) for c in range(len(posterior))], "cell int, p array<double>")
-    else:
-        table = spark.createDataFrame([(c, []) for c in range(len(posterior))], "cell int, p array<double>")
+    table = spark.createDataFrame([(c, posterior[c].tolist()) for c in range(len(posterior))], "cell int, p array<double>")
     cells = described.groupBy("cell").agg(F.sum("n_tokens").cast("double").alias("n")).join(F.broadcast(table), "cell").coalesce(1)
     cells = checkpointed(cells.withColumn("rate", F.lit(1.0)))
     if wanted.sum() > 0:
@@ -123,6 +121,25 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col:
             cells = cells.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - move))
             if step % 10 == 0:
                 cells = checkpointed(cells)
-    rates = cells.select("cell", "rate", F.map_from_arrays(F.array(*[F.lit(x) for x in domains]), "p").alias("posterior") if domains else F.expr("cast(map() as map<string,double>)").alias("posterior"))
-    u = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
-    return described.join(F.broadcast(rates), "cell").select("doc_id", "n_tokens", "posterior", "rate", F.floor(F.col("rate") + u).cast("int").alias("copies"))
+    named = F.map_from_arrays(F.array(*[F.lit(x) for x in domains]), "p") if domains else F.expr("cast(map() as map<string,double>)")
+    return cells.select("cell", "rate", named.alias("posterior"))
+
+
+def copies(rate: Column, id_col: Column) -> Column:
+    """floor(rate + u), with u in [0, 1) from the hash of the id: rate copies on average."""
+    return F.floor(rate + F.pmod(F.xxhash64(id_col, F.lit(11)), F.lit(1 << 20)) / float(1 << 20)).cast("int")
+
+
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", total: float | None = None) -> DataFrame:
+    """(doc_id, n_tokens, posterior map, rate, copies) of every row; labelled: (doc_id, domain)."""
+    described = checkpointed(describe(docs, id_col, text_col))
+    rates = fit_rates(described, labelled, weights, total)
+    return described.join(F.broadcast(rates), "cell").select("doc_id", "n_tokens", "posterior", "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+
+
+def thin(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that get a copy at these rates; each at most once."""
+    described = checkpointed(describe(docs, id_col, text_col))
+    rates = fit_rates(described, labelled, weights).select(F.col("cell").alias("__cell"), F.col("rate").alias("__rate"))
+    kept = measured(docs, text_col).join(F.broadcast(rates), "__cell").filter(copies(F.col("__rate"), F.col(id_col).cast("bigint")) >= 1)
+    return kept.select(*docs.columns)
