@@ -1,15 +1,19 @@
 """Near-duplicate classes by an LSH forest over MinHash signatures, confirmed on full shingle sets.
 
-Each document has a set of word shingles and a signature of TREES * DEPTH minima.  Every tree orders the
-signature from another place on; documents that share the first DEPTH minima in some tree form a region.
-A link of similarity 0.8 shares none of the 32 regions with probability (1 - 0.8**4)**32 = 5e-8.
+Each document has a set of word shingles and a signature of TREES * DEPTH minima.  Every tree is a sorted order
+of all documents by the signature, read from another place on; documents that share the first DEPTH minima in
+some tree form a region of it.  A link of similarity 0.8 shares none of the regions with probability
+(1 - 0.8**5)**32 = 3e-6.
 
 * Documents of equal sets are one class from the start; only its smallest id goes on.
-* A region of up to SMALL documents: all its pairs whose signatures agree well enough are candidates.
-* A crowded region is deepened (4, 8, 16 minima): each document is tied to the first of its deepest region,
-  and that one to the first of the region above, so edges stay linear in the documents and no hub gets all.
+* All trees together are one range-partitioned sort, by (prefix, deeper minima, id), so a crowded region is split
+  over partitions by its deeper minima.
+* Within a region the neighbours up to WINDOW places away, those with the longest common prefixes, are candidates
+  if a sketch of further minima agrees.
+* A region of more than WINDOW documents, or one that a partition border cuts, adapts: all its documents are tied
+  into one chain along the order, so that no pair of it is lost whatever its depth, and the edges stay linear.
 * Connected candidates make a group.  Groups are settled exactly: every pair of a group is measured on the full
-  sets, in square blocks of at most BLOCK documents a side, and only links that join two parts are emitted.
+  sets, in square blocks of about BLOCK documents a side, and only links that join two parts are emitted.
 * Connected components of the links are the classes; equal sets follow their smallest id.
 
 So candidates are found by the forest, but no link inside a group rests on an estimate, and there is no cap on
@@ -28,12 +32,12 @@ from pyspark.sql import functions as F
 from tamis.llm.common import checkpointed, components, runs, shuffle_partitions
 from tamis.llm.words import Texts, chunks, mix, texts_of, windows, words_of
 
-TREES, DEPTH = 32, 4
+TREES, DEPTH = 32, 5
 MINIMA = TREES * DEPTH
-SMALL = 24
+WINDOW = 256
 BLOCK = 2048
-DEEPER = (8, 16)
-AGREE = 0.6  # of the signature: over five standard deviations below 0.8
+SKETCH = 16  # further minima, four bits each
+AGREE = 7  # of them: at similarity 0.8 13 agree on average, with a deviation of 1.6, and a link meets in ten trees
 
 _rng = np.random.default_rng(97)
 _MUL = _rng.integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -87,80 +91,129 @@ def _describe(size: int):
                     if len(full):
                         first[full] = np.add.reduceat(mix(h), off[:-1][full])
                         second[full] = np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), off[:-1][full])
-                    keys = np.zeros((len(full), TREES), np.uint64)
-                    for t in range(TREES):
-                        k = np.full(len(full), t + 1, np.uint64)
-                        for j in range(DEPTH):
-                            k = mix(k * np.uint64(0x9E3779B97F4A7C15) + sig[:, t * DEPTH + j])
-                        keys[:, t] = k
-                low = (sig & 0xFF).astype(np.uint8)
-                low = np.concatenate([low, low[:, : max(DEEPER)]], axis=1)
-                raw = low.tobytes()
-                width = low.shape[1]
+                raw = (sig & 0xFFFF).astype("<u2").tobytes()
                 sigs: list = [None] * part.n
                 for i, d in enumerate(full.tolist()):
-                    sigs[d] = raw[i * width : (i + 1) * width]
-                lens = np.where(n > 0, TREES, 0)
+                    sigs[d] = raw[i * 2 * MINIMA : (i + 1) * 2 * MINIMA]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a),
-                        pa.array(n, pa.int64()),
-                        pa.array(first.view(np.int64)),
-                        pa.array(second.view(np.int64)),
-                        pa.array(sigs, pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32()), pa.array(keys.reshape(-1).view(np.int64))),
-                    ],
-                    ["doc_id", "n_shingles", "k1", "k2", "sig", "keys"],
+                    [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.array(sigs, pa.binary())],
+                    ["doc_id", "n_shingles", "k1", "k2", "sig"],
                 )
 
     return body
 
 
-def _near_pairs(batches):
-    """Candidate pairs of small regions: rows sorted by key, all pairs at distances under SMALL, kept by agreement."""
-    carry = None
+def _orders(batches):
+    """Signatures -> a row for each tree: hash of the first minima, the next eight in order, sketch of those after."""
     for batch in batches:
-        t = pa.Table.from_batches([batch]) if carry is None else pa.concat_tables([carry, pa.Table.from_batches([batch])])
-        key = t.column("key").to_numpy()
-        doc = t.column("doc_id").to_numpy()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(doc), -1)[:, :MINIMA]
-        old = 0 if carry is None else carry.num_rows
-        pairs = []
-        for d in range(1, min(SMALL, len(key))):
-            i = np.flatnonzero(key[d:] == key[:-d])
-            i = i[i + d >= old]  # pairs inside what was carried over are out already
-            good = (sig[i] == sig[i + d]).mean(1) >= AGREE
-            pairs.append(np.column_stack([doc[i[good]], doc[i[good] + d]]))
-        if pairs:
-            p = np.concatenate(pairs)
-            p = np.unique(np.column_stack([p.min(1), p.max(1)]), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
-        carry = t.slice(max(0, t.num_rows - SMALL))
+        if not batch.num_rows:
+            continue
+        doc = batch.column(0)
+        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, MINIMA).astype(np.uint64)
+        for t in range(TREES):
+            turn = np.roll(sig, -t * DEPTH, axis=1)
+            key = np.full(len(sig), t + 1, np.uint64)
+            deep, sketch = np.zeros(len(sig), np.uint64), np.zeros(len(sig), np.uint64)
+            with np.errstate(over="ignore"):
+                for j in range(DEPTH):
+                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + turn[:, j])
+            for j in range(DEPTH, DEPTH + 8):
+                deep = deep << np.uint64(8) | (turn[:, j] & np.uint64(255))
+            for j in range(DEPTH + 8, DEPTH + 8 + SKETCH):
+                sketch = sketch << np.uint64(4) | (turn[:, j] & np.uint64(15))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(deep.view(np.int64)), pa.array(sketch.view(np.int64)), doc], ["key", "deep", "sketch", "doc_id"])
+
+
+def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Equal four-bit places of two sketches."""
+    x = a ^ b
+    x |= x >> np.uint64(1)
+    x |= x >> np.uint64(2)
+    return SKETCH - np.bitwise_count(x & np.uint64(0x1111111111111111)).astype(np.int64)
+
+
+def _parts(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest place of each place's connected part, for edges a-b among n places."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while True:
+            jump = label[label]
+            if np.array_equal(jump, label):
+                break
+            label = jump
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    return label
+
+
+def _neighbours(batches):
+    """Rows in the order of the trees -> edges (a, b, 0), and (key, document, 1) for regions at the partition's borders."""
+    held = None  # the last WINDOW rows
+    first_key = None
+    last = None
+
+    def out(a, b, border):
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), border), pa.int32())], ["a", "b", "border"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [batch.column(k).to_numpy() for k in ("key", "sketch", "doc_id")]
+        if first_key is None:
+            first_key = now[0][0]
+            yield out([first_key], [now[2][0]], 1)
+        old = 0 if held is None else len(held[0])
+        key, sketch, doc = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+        sketch = sketch.view(np.uint64)
+        left, right = [], []
+
+        def tie(i, d):
+            left.append(i)
+            right.append(i + d)
+
+        for d in range(1, WINDOW):
+            i = np.flatnonzero(key[d:] == key[:-d]) if d < len(key) else np.zeros(0, np.int64)
+            if not len(i):
+                break  # rows of one key stand together
+            i = i[i + d >= old]
+            tie(i[_agreement(sketch[i], sketch[i + d]) >= AGREE], d)
+        # crowded: what stands WINDOW or more apart is tied through a chain; so is the region at the left border
+        far = np.flatnonzero(key[WINDOW:] == key[:-WINDOW])
+        far = far[far + WINDOW >= old]
+        tie(far, WINDOW)
+        tie(far + WINDOW - 1, 1)
+        border = np.flatnonzero((key[1:] == key[:-1]) & (key[1:] == first_key))
+        tie(border[border + 1 >= old], 1)
+        # of all these only a spanning forest goes out: at most an edge for each row
+        label = _parts(len(key), np.concatenate(left), np.concatenate(right))
+        i = np.flatnonzero(label != np.arange(len(label)))
+        if len(i):
+            yield out(doc[i], doc[label[i]], 0)
+        # the region at the right border is known only at the end: chain what is held of it then
+        held = [key[-WINDOW:], sketch[-WINDOW:].view(np.int64), doc[-WINDOW:]]
+        last = held
+    if last is not None:
+        key, _, doc = last
+        own = doc[key == key[-1]]
+        yield out(own[:-1], own[1:], 0)
+        yield out([key[-1]], [doc[-1]], 1)
 
 
 def candidate_edges(sets: DataFrame) -> DataFrame:
-    """(a, b) edges whose connected parts hold every link that the forest finds."""
+    """(a, b) edges whose connected parts hold every link that the forest finds. sets: (doc_id, sig)."""
     n = shuffle_partitions(sets.sparkSession)
-    rows = sets.select("doc_id", F.posexplode("keys").alias("tree", "key"))
-    regions = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub")).filter("n > 1")
-    members = checkpointed(rows.join(regions, "key"))
-    sigs = sets.select("doc_id", "sig")
-    small = members.filter(F.col("n") <= SMALL).select("key", "doc_id").join(sigs, "doc_id")
-    pairs = small.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_near_pairs, "a bigint, b bigint")
-    crowded = members.filter(F.col("n") > SMALL).select("tree", "doc_id", "key", "hub").join(sigs, "doc_id")
-    ties = []
-    for depth in DEEPER:
-        crowded = crowded.withColumn("key", F.xxhash64("key", F.expr(f"substring(sig, tree * {DEPTH} + 1, {depth})")))
-        deep = crowded.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-        crowded = crowded.join(deep, "key")
-        ties.append(crowded.filter("doc_id = first").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
-        crowded = crowded.select("tree", "doc_id", "key", F.col("first").alias("hub"), "n", "sig")
-        ties.append(crowded.filter(F.col("n") <= SMALL).select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
-        crowded = crowded.filter(F.col("n") > SMALL).drop("n")
-    ties.append(crowded.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
-    for t in ties:
-        pairs = pairs.unionByName(t)
-    return pairs.filter("a <> b").distinct()
+    order = ["key", "deep", "doc_id"]
+    rows = sets.select("doc_id", "sig").mapInArrow(_orders, "key bigint, deep bigint, sketch bigint, doc_id bigint")
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("key", "sketch", "doc_id")
+    found = checkpointed(rows.mapInArrow(_neighbours, "a bigint, b bigint, border int"))
+    # two rows for each partition: a region that goes on in the next partition is tied across the border
+    borders = found.filter("border = 1").select(F.col("a").alias("key"), F.col("b").alias("doc"))
+    firsts = borders.groupBy("key").agg(F.min("doc").alias("first"))
+    across = borders.join(firsts, "key").select(F.col("doc").alias("a"), F.col("first").alias("b"))
+    return found.filter("border = 0").select("a", "b").unionByName(across).filter("a <> b").distinct()
 
 
 def linked(h: np.ndarray, off: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
@@ -239,7 +292,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: tuple[int, int] =
     """(doc_id, n_shingles, component_id, kept) for every row; threshold as a fraction."""
     num, den = threshold
     texts = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
-    described = checkpointed(texts.mapInArrow(_describe(size), "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, sig binary, keys array<bigint>"))
+    described = checkpointed(texts.mapInArrow(_describe(size), "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, sig binary"))
     named = described.filter("n_shingles > 0 and doc_id is not null")
     classes = checkpointed(named.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     heads = named.join(classes.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id"])
