@@ -29,13 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamis.llm.common import bounded_sample, checkpointed, runs, shuffle_partitions
-from tamis.llm.words import LOWER, Texts, chunks, mix, texts_from, texts_of, words_of
+from tamis.llm.words import LOWER, Texts, chunks, mix, texts_from, texts_of, trim, words_of
 
 REST = 32
 DIM = 24
 NOISE = 32
 BATCH = 2048
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 3_000_000
 END = np.uint64(0xE14D3A5C77B20FC0)  # its last five bits are 0
 
 
@@ -170,6 +170,7 @@ class Trainer:
 
 def _send_words(buckets: int):
     def body(key: tuple, docs: pa.Table) -> pa.Table:
+        trim()
         hs, train = [], []
         flags = docs.column("train").to_numpy()
         for a, b, part in chunks(texts_of(docs.column("text"))):
@@ -207,6 +208,7 @@ def _count_words(top: int):
 
     def body(batches):
         for table in runs(batches, "bucket"):
+            trim()
             hs = [np.frombuffer(x, np.uint64) for x in table.column("h").to_pylist()]
             n = np.frombuffer(b"".join(table.column("n").to_pylist()), np.uint64)
             uniq, inverse = np.unique(np.concatenate(hs), return_inverse=True)
@@ -270,6 +272,7 @@ def _mean_part(batches):
 
 def _score(shared, buckets: int):
     def body(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
+        trim()
         model: Model = shared.value
         texts = texts_of(docs.column("text"))
         parts = [tokens_of(p) for _, _, p in chunks(texts)]

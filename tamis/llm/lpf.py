@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 
 from tamis.llm import words as w
 from tamis.llm.common import runs, shuffle_partitions
-from tamis.llm.words import Texts, chunks, mix, span_hashes, texts_of
+from tamis.llm.words import Texts, chunks, mix, span_hashes, texts_of, trim
 
 GRAM_SHARE = 63  # windows choose among 64 grams
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 3_000_000
 CROWD = 4000
 NULL_ID = -(2**63)
 
@@ -114,6 +114,7 @@ def _send_anchors(length: int, buckets: int):
     """Block -> (bucket, block, sorted distinct hashes, counts)."""
 
     def body(key: tuple, docs: pa.Table) -> pa.Table:
+        trim()
         found = [anchors(part, length)[0] for _, _, part in chunks(texts_of(docs.column("text")))]
         h, n = np.unique(np.concatenate(found), return_counts=True)
         order, cut = _split((h % np.uint64(buckets)).astype(np.int64), buckets)
@@ -134,6 +135,7 @@ def _send_anchors(length: int, buckets: int):
 def _answer_anchors(batches):
     """Bucket -> for each block its hashes that come twice or more anywhere, with their counts."""
     for table in runs(batches, "bucket"):
+        trim()
         hs = [np.frombuffer(x, np.uint64) for x in table.column("h").to_pylist()]
         h = np.concatenate(hs)
         n = np.frombuffer(b"".join(table.column("n").to_pylist()), np.uint32)
@@ -158,6 +160,7 @@ def _send_contexts(length: int, buckets: int):
     """Block and its answers -> (bucket, salted, block, ids, window starts, window counts, bytes)."""
 
     def body(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
+        trim()
         empty = pa.table({k: pa.array([], t) for k, t in (("bucket", pa.int64()), ("block", pa.int64()), ("h", pa.binary()), ("id", pa.binary()), ("s", pa.binary()), ("n", pa.binary()), ("text", pa.binary()))})
         if not answers.num_rows or not docs.num_rows:
             return empty
@@ -223,6 +226,7 @@ def _factors(length: int, buckets: int):
 
     def body(batches):
         for table in runs(batches, "bucket"):
+            trim()
             get = lambda k, t: np.frombuffer(b"".join(table.column(k).to_pylist()), t)
             tag, ids, s, n, text = get("h", np.uint64), get("id", np.int64), get("s", np.int64), get("n", np.uint8).astype(np.int64), get("text", np.uint8)
             lens = [len(x) // 8 for x in table.column("h").to_pylist()]
@@ -315,6 +319,7 @@ def _finish(length: int):
     """Block and its removed ranges -> (doc_id, n_bytes, starts, ends, kept)."""
 
     def body(key: tuple, docs: pa.Table, gone: pa.Table) -> pa.Table:
+        trim()
         texts = texts_of(docs.column("text"))
         ids = _ids(docs.column("doc_id"))
         ranges = gone.filter(pc.is_valid(gone.column("id"))) if gone.num_rows else gone
@@ -356,7 +361,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     total = docs.select(F.sum(F.octet_length(docs[text_col]).cast("bigint")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
     buckets = max(1, total // 4_000_000)  # of anchors: about 1 MB of hashes each
-    rooms = max(1, total // 1_500_000)  # of contexts
+    rooms = max(1, total // 1_000_000)  # of contexts
     block = F.pmod(F.xxhash64(docs[id_col].cast("bigint")), F.lit(blocks))
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text.alias("text"), block.alias("block")).repartition(parts, "block")
     by_block = rows.groupBy("block")

@@ -7,13 +7,15 @@ polynomial hash over random byte values; positions never leave numpy.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import contextlib
+import ctypes
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2_000_000  # documents are handled in groups of about this many bytes
+CHUNK_BYTES = 700_000  # documents are handled in groups of about this many bytes
 
 _SEP = np.ones(256, bool)
 _SEP[[0x20, 9, 10, 11, 12, 13]] = False  # True: belongs to a word
@@ -37,6 +39,13 @@ def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker lives on between tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64 finaliser."""
     x = x.astype(np.uint64, copy=True)
@@ -159,17 +168,6 @@ def windows(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return at, mix(h[at])
 
 
-def per_batch(fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]):
-    """mapInArrow body: fn on every batch that has rows."""
-
-    def body(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield from fn(batch)
-
-    return body
-
-
 def sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Sum of values between consecutive offsets (empty ranges give 0)."""
     acc = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
