@@ -51,11 +51,13 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     n = F.size("__words")
     rows = rows.withColumns({
         "__n": n.cast("bigint"),
-        "__twice": F.expr("size(filter(__words, (w, i) -> i > 0 and w = __words[i - 1]))") / F.greatest(n, F.lit(1)),
+        "__twice": F.expr("aggregate(__words, struct('' as w, 0 as n), (s, w) -> struct(w as w, s.n + int(w = s.w) as n), s -> s.n)") / F.greatest(n, F.lit(1)),
         "__long": F.col("__chars") / F.greatest(n, F.lit(1)),
     }).drop("__words")
     level = [reduce(lambda a, b: a + b, [(F.col(f"__{k}") > t).cast("int") for t in cuts]) for k, cuts in FEATURES.items()]
-    return rows.select(*plain, "__n", reduce(lambda a, b: a * LEVELS + b, level).cast("int").alias("__cell"))
+    # never null, or the join on it would push a null test with the whole expression below
+    cell = F.coalesce(reduce(lambda a, b: a * LEVELS + b, level).cast("int"), F.lit(0))
+    return rows.select(*plain, "__n", cell.alias("__cell"))
 
 
 def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
