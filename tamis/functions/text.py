@@ -90,17 +90,18 @@ def stem(word: Column) -> Column:
     )
     step(lambda w, _: F.when(w.endswith("y") & (F.length(w) > 2) & _has_vowel(_head(w, 1)), F.concat(_head(w, 1), F.lit("i"))).otherwise(w))
 
+    # of two listed suffixes that fit, the longer stands first in the list, as it does in a match
+    to = F.create_map(*[F.lit(x) for pair in DERIVED for x in pair])
+    derived_end = "(" + "|".join(a for a, _ in DERIVED) + ")$"
+    plain_end = "(" + "|".join(ENDINGS) + ")$"
+
     def derived(w: Column, _: Column) -> Column:
-        out = F.when(F.lit(False), w)
-        for suffix, to in DERIVED:
-            out = out.when(w.endswith(suffix), F.when(measure(_head(w, len(suffix))) > 0, F.concat(_head(w, len(suffix)), F.lit(to))).otherwise(w))
-        return out.otherwise(w)
+        base = F.regexp_replace(w, derived_end, "")
+        return F.when(w.rlike(derived_end) & (measure(base) > 0), F.concat(base, F.coalesce(F.element_at(to, F.regexp_extract(w, derived_end, 1)), F.lit("")))).otherwise(w)
 
     def ending(w: Column, _: Column) -> Column:
-        out = F.when(F.lit(False), w)
-        for suffix in ENDINGS:
-            out = out.when(w.endswith(suffix), F.when(measure(_head(w, len(suffix))) > 1, _head(w, len(suffix))).otherwise(w))
-        return out.otherwise(w)
+        base = F.regexp_replace(w, plain_end, "")
+        return F.when(w.rlike(plain_end) & (measure(base) > 1), base).otherwise(w)
 
     step(derived)
     step(ending)

@@ -54,7 +54,8 @@ def term_frequencies(chunks: DataFrame, words: DataFrame | None = None) -> DataF
     """(context_id, chunk_idx, term, tf) over stems; stop words go after stemming."""
     words = occurrences(chunks) if words is None else words
     rows = stemmed(words).filter(_content("stem"))
-    return rows.groupBy(*CHUNK, F.col("stem").alias("term")).agg(F.sum("n").alias("tf"))
+    # read by frequencies, lengths, sizes and the join with the question: kept after its first computation
+    return rows.groupBy(*CHUNK, F.col("stem").alias("term")).agg(F.sum("n").alias("tf")).persist()
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
@@ -182,7 +183,7 @@ def hybrid_scores(queries: DataFrame, chunks: DataFrame, synonyms: DataFrame | N
     """(query_id, context_id, chunk_idx, bm25, ngram, synonym, numeric, method, related, score) for every chunk of every query.
 
     If queries has a column context_id, a query meets that context only."""
-    words = occurrences(chunks)
+    words = occurrences(chunks).persist()
     flags = intents(F.col("query_text"))
     keyed = "context_id" in queries.columns
     q = queries.select("query_id", *(["context_id"] if keyed else []), *[v.alias(k) for k, v in flags.items()])
