@@ -111,5 +111,53 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _crc_table() -> str:
+    """The 256 steps of the checksum, from its polynomial."""
+    out = []
+    for i in range(256):
+        for _ in range(8):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        out.append(str(i))
+    return "[" + ", ".join(out) + "]::bigint[]"
+
+
+def _bytes_sql() -> str:
+    """(doc_id, text, h): the text's UTF-8 bytes as hex digits."""
+    return "select doc_id, coalesce(text, '') as text, hex(encode(coalesce(text, ''))) as h from documents"
+
+
+SHARDS_SQL = (
+    f"with t as (select {_crc_table()} as t), d as ({_bytes_sql()}), c as (select doc_id, (length(h) // 2 + 8)::bigint as size, "
+    "xor(list_reduce(list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::bigint), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295::bigint), 4294967295::bigint) as text_crc32 from d, t), "
+    "o as (select *, row_number() over w - 1 as r, 2 * sum(size) over w - size as mid, sum(size) over () as total from c window w as (order by text_crc32, doc_id nulls first, size rows unbounded preceding)), "
+    "s as (select *, least(23, (mid * 24) // (2 * total))::int as shard from o) "
+    "select doc_id, size, text_crc32, 'bytes' as law, shard, (r - min(r) over (partition by shard))::bigint as slot, null::int as grown_shard from s"
+)
+
+REPEATS_SQL = (
+    f"with d as ({_bytes_sql()}), n as (select doc_id, h, length(h) // 2 as n from d), w as (select doc_id, unnest(range(0, n - 99)) as i, h from n where n >= 100), "
+    "k as (select doc_id, i, md5(substr(h, 2 * i + 1, 200)) as k from w), f as (select k, min((doc_id, i)) as first from k group by k having count(*) > 1), "
+    "g as (select k.doc_id, k.i from k join f using (k) where (k.doc_id, k.i) <> f.first), m as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 100 then 0 else 1 end as b from g), "
+    "s as (select doc_id, i, sum(b) over (partition by doc_id order by i) as span from m), p as (select doc_id, min(i) as a, max(i) + 100 as e from s group by doc_id, span), "
+    "l as (select doc_id, list(a order by a) as a, list(e order by a) as e, sum(e - a) as gone from p group by doc_id) "
+    "select n.doc_id, n.n::bigint as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(len(a), 0)::bigint as n_spans, "
+    "sha256(unhex(case when a is null then h else array_to_string(list_transform(range(0, len(a) + 1), lambda j: substr(h, 2 * (case when j = 0 then 0 else e[j] end) + 1, 2 * ((case when j = len(a) then n else a[j + 1] end) - (case when j = 0 then 0 else e[j] end)))), '') end)) as kept_sha256 "
+    "from n left join l using (doc_id)"
+)
+
+NEAR_SQL = (
+    f"with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') as w from documents), "
+    "s as (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as s from w), "
+    "n as (select doc_id, len(s)::bigint as n_shingles from s), u as (select doc_id, unnest(s) as sh from s), c as (select a.doc_id as a, b.doc_id as b, count(*) as common from u a join u b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2), "
+    "e as materialized (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * common >= 80 * (x.n_shingles + y.n_shingles - common)), "
+    "g as (select a, b from e union all select b, a from e), r as (select doc_id as v, doc_id as m from n union select g.b, r.m from r join g on g.a = r.v) "
+    "select n.doc_id, n_shingles, min(m) as component_id, n.doc_id = min(m) as kept from n join r on r.v = n.doc_id group by n.doc_id, n_shingles"
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others rest on trained models or automata; tests hold them against brute force."""
+    return {"op4_previous_factors": REPEATS_SQL, "op5_byte_shards": SHARDS_SQL, "op9_lsh_forest": NEAR_SQL}
