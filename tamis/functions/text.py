@@ -111,8 +111,11 @@ def stem(word: Column) -> Column:
 
 
 def stems(vocabulary: DataFrame, column: str = "word") -> DataFrame:
-    """vocabulary with a column `stem`. Meant for distinct words: stem once, then join back."""
-    return vocabulary.withColumn("stem", stem(F.col(column)))
+    """vocabulary with a column `stem`. Meant for distinct words: stem once, then join back.
+
+    The stem comes out of an explode of one value, so that a filter on it stays above: pushed down as an expression
+    of the word it would run on every occurrence instead of every distinct word."""
+    return vocabulary.select("*", F.explode(F.array(stem(F.col(column)))).alias("stem"))
 
 
 def _closed(w: Column) -> Column:

@@ -136,15 +136,16 @@ def synonym_scores(queries: DataFrame, chunks: DataFrame, synonyms: DataFrame, w
     return hits.join(total, "query_id").select("query_id", *CHUNK, (F.col("hits") / F.col("total")).alias("synonym"))
 
 
-def similar_words(left: DataFrame, right: DataFrame, n: int = 3, threshold: float = 0.35) -> DataFrame:
-    """(a, b, similarity): pairs of distinct words with n-gram Jaccard of the threshold or more, by a join on n-grams.
-
-    left and right have a column `word`. The size filter holds for every pair above the threshold."""
-    a = left.select(F.col("word").alias("a"), t.grams(F.col("word"), n).alias("g")).select("a", F.size("g").alias("na"), F.explode("g").alias("gram"))
-    b = right.select(F.col("word").alias("b"), t.grams(F.col("word"), n).alias("g")).select("b", F.size("g").alias("nb"), F.explode("g").alias("gram"))
-    pairs = a.join(b, "gram").filter((F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na")))
-    common = pairs.groupBy("a", "b").agg(F.count("*").alias("both"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    out = common.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("similarity"))
+def similar_words(left: DataFrame, right: DataFrame, n: int = 3, threshold: float = 0.35, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by.., a, b, similarity): pairs of distinct words with n-gram Jaccard of the threshold or more, by a join on n-grams.
+
+    left and right have a column `word`, and those of by, which must be equal. The size filter holds for every pair
+    above the threshold."""
+    a = left.select(*by, F.col("word").alias("a"), t.grams(F.col("word"), n).alias("g")).select(*by, "a", F.size("g").alias("na"), F.explode("g").alias("gram"))
+    b = right.select(*by, F.col("word").alias("b"), t.grams(F.col("word"), n).alias("g")).select(*by, "b", F.size("g").alias("nb"), F.explode("g").alias("gram"))
+    pairs = a.join(b, [*by, "gram"]).filter((F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na")))
+    common = pairs.groupBy(*by, "a", "b", "na", "nb").agg(F.count("*").alias("both"))
+    out = common.select(*by, "a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("similarity"))
     return out.filter(F.col("similarity") >= threshold)
 
 
@@ -153,9 +154,9 @@ def fuzzy_scores(queries: DataFrame, chunks: DataFrame, w: HybridWeights = Hybri
     words = (occurrences(chunks) if words is None else words).filter(_content("word"))
     asked = queries.select("query_id", F.explode(t.content_words(t.words(F.col("query_text")))).alias("a")).groupBy("query_id", "a").agg(F.count("*").alias("times"))
     total = asked.groupBy("query_id").agg(F.sum("times").alias("total"))
-    pairs = similar_words(asked.select(F.col("a").alias("word")).distinct(), words.select("word").distinct(), w.ngram_n, w.ngram_threshold)
-    rows, own = _by_context(asked.join(pairs, "a"), queries)
-    best = rows.join(words.withColumnRenamed("word", "b"), [*own, "b"]).groupBy("query_id", *CHUNK, "a").agg(F.max("similarity").alias("best"), F.first("times").alias("times"))
+    asked, own = _by_context(asked, queries)
+    pairs = similar_words(asked.select(*own, F.col("a").alias("word")).distinct(), words.select(*own, "word").distinct(), w.ngram_n, w.ngram_threshold, tuple(own))
+    best = asked.join(pairs, [*own, "a"]).join(words.withColumnRenamed("word", "b"), [*own, "b"]).groupBy("query_id", *CHUNK, "a").agg(F.max("similarity").alias("best"), F.first("times").alias("times"))
     summed = best.groupBy("query_id", *CHUNK).agg(F.sum(F.col("best") * F.col("times")).alias("found"))
     return summed.join(total, "query_id").select("query_id", *CHUNK, (F.col("found") / F.col("total")).alias("ngram"))
 
