@@ -1,8 +1,8 @@
 """Soft-membership mixing: document rates whose expected domain totals match target weights.
 
 A naive Bayes classifier, fitted by aggregates over all rows of the labelled table, gives each document a
-posterior over the domains from bucketed properties of its text (share of symbols, capitals, marks, repeated
-neighbour words, word length).  A document of n tokens and posterior p spreads its tokens as n * p_k.  Rates
+posterior over the domains from bucketed properties of its text (share of symbols, capitals, marks and repeated
+neighbour words; word length is left out, it tells languages apart and not quality).  A document of n tokens and posterior p spreads its tokens as n * p_k.  Rates
 r >= 0 then minimise  sum_k (sum_d r_d n_d p_dk - T_k)^2 / M_kk  by projected gradient steps
 r_d <- max(0, r_d - eta * sum_k p_dk res_k / M_kk), where M = sum_d n_d p_d p_d'.  A step needs only the K
 residuals, one aggregate over the documents.  Documents of equal posterior move alike, so the aggregates run
@@ -29,7 +29,7 @@ from tamis.llm.common import checkpointed
 LEVELS = 4
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: name: thresholds between the buckets
-FEATURES = {"symbols": (0.002, 0.02, 0.08), "upper": (0.08, 0.25, 0.5), "marks": (0.005, 0.02, 0.06), "twice": (0.02, 0.1, 0.3), "long": (4.0, 6.5, 9.0)}
+FEATURES = {"symbols": (0.002, 0.02, 0.08), "upper": (0.08, 0.25, 0.5), "marks": (0.005, 0.02, 0.06), "twice": (0.02, 0.1, 0.3)}
 
 
 def _share(text: Column, chars: str) -> Column:
@@ -42,7 +42,6 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     plain = docs.columns
     rows = docs.select(
         "*",
-        F.length(text).alias("__chars"),
         _share(text, "#*$%&|<>").alias("__symbols"),
         _share(text, UPPER).alias("__upper"),
         _share(text, "!?").alias("__marks"),
@@ -52,7 +51,6 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = rows.withColumns({
         "__n": n.cast("bigint"),
         "__twice": F.expr("aggregate(__words, struct('' as w, 0 as n), (s, w) -> struct(w as w, s.n + int(w = s.w) as n), s -> s.n)") / F.greatest(n, F.lit(1)),
-        "__long": F.col("__chars") / F.greatest(n, F.lit(1)),
     }).drop("__words")
     level = [reduce(lambda a, b: a + b, [(F.col(f"__{k}") > t).cast("int") for t in cuts]) for k, cuts in FEATURES.items()]
     # never null, or the join on it would push a null test with the whole expression below
