@@ -208,3 +208,20 @@ def test_facades(spark, tmp_path, capsys):
         e.make_embedder("none")
     assert e.make_embedder("localhash") == "localhash"
     assert main(["compress", "--question", "x", "--file", str(tmp_path / "no")]) == 1
+
+
+def test_overview(spark, tree):
+    from tamis.operators import overview
+
+    (tree / "README.md").write_text("A small engine project.\n")
+    files = loaders.read_files(spark, str(tree), extensions=[".py", ".ts", ".tsx", ".md"]).cache()
+    found = code.facts(files)
+    records = overview.build_records(files, 64).cache()
+    assert [r["path"] for r in overview.search_records(records, "def helper", 1, dims=64).collect()] == ["pkg/b.py"]
+    edges, syms = code.import_edges(found, files), code.symbols(found)
+    context = [r["chunk"] for r in overview.vector_graph_context("class engine run", records, files, edges, 3, dims=64).collect()]
+    assert any("pkg/b.py" in c for c in context) and len(context) == len(set(context))
+    got = overview.project_overview("engine", records, files, syms, edges, dims=64)
+    assert "pkg/a.py" in {r["path"] for r in got["files"].collect()} and any("README.md" in r["chunk"] for r in got["context"].collect())
+    assert {r["module"] for r in got["modules"].collect()} >= {"pkg"} and ("pkg/a.py", "pkg/b.py") in {(r["src"], r["dst"]) for r in got["flows"].collect()}
+    assert overview.fingerprint("localhash", 64) != overview.fingerprint("localhash", 256)
