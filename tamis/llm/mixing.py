@@ -2,8 +2,8 @@
 
 A naive Bayes classifier, fitted by aggregates over all rows of the labelled table, gives each document a
 posterior over the domains from bucketed properties of its text (share of symbols, capitals, marks and repeated
-neighbour words; word length is left out, it tells languages apart and not quality).  A document of n tokens and posterior p spreads its tokens as n * p_k.  Rates
-r >= 0 then minimise  sum_k (sum_d r_d n_d p_dk - T_k)^2 / M_kk  by projected gradient steps
+neighbour words; word length is left out, it tells languages apart and not quality).  A document of n
+(estimated) tokens and posterior p spreads its tokens as n * p_k.  Rates r >= 0 then minimise  sum_k (sum_d r_d n_d p_dk - T_k)^2 / M_kk  by projected gradient steps
 r_d <- max(0, r_d - eta * sum_k p_dk res_k / M_kk), where M = sum_d n_d p_d p_d'.  A step needs only the K
 residuals, one aggregate over the documents.  Documents of equal posterior move alike, so the aggregates run
 on a table with one row for each combination of buckets (at most LEVELS**features rows, whatever the input).
@@ -24,10 +24,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamis.functions.text import token_estimate
 from tamis.llm.common import checkpointed
 
 LEVELS = 4
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: a word that comes again right after itself
+TWICE = r"(?<![^ \t-\r])([^ \t-\r]++)[ \t-\r]++(?=\1(?![^ \t-\r]))"
 #: name: thresholds between the buckets
 FEATURES = {"symbols": (0.002, 0.02, 0.08), "upper": (0.08, 0.25, 0.5), "marks": (0.005, 0.02, 0.06), "twice": (0.02, 0.1, 0.3)}
 
@@ -37,21 +40,20 @@ def _share(text: Column, chars: str) -> Column:
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with two more columns: __n (tokens) and __cell (the combination of its buckets)."""
+    """docs with two more columns: __n (estimated tokens) and __cell (the combination of its buckets).
+
+    No array of words is made: repeated neighbours are counted by a pattern that never goes back over a word."""
     text = F.coalesce(docs[text_col], F.lit(""))
     plain = docs.columns
+    n = F.when(F.length(text) > 0, token_estimate(text)).otherwise(0).cast("bigint")
     rows = docs.select(
         "*",
+        n.alias("__n"),
         _share(text, "#*$%&|<>").alias("__symbols"),
         _share(text, UPPER).alias("__upper"),
         _share(text, "!?").alias("__marks"),
-        F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != "").alias("__words"),
+        (F.regexp_count(text, F.lit(TWICE)) / F.greatest(n, F.lit(1))).alias("__twice"),
     )
-    n = F.size("__words")
-    rows = rows.withColumns({
-        "__n": n.cast("bigint"),
-        "__twice": F.expr("aggregate(__words, struct('' as w, 0 as n), (s, w) -> struct(w as w, s.n + int(w = s.w) as n), s -> s.n)") / F.greatest(n, F.lit(1)),
-    }).drop("__words")
     level = [reduce(lambda a, b: a + b, [(F.col(f"__{k}") > t).cast("int") for t in cuts]) for k, cuts in FEATURES.items()]
     # never null, or the join on it would push a null test with the whole expression below
     cell = F.coalesce(reduce(lambda a, b: a * LEVELS + b, level).cast("int"), F.lit(0))
