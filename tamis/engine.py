@@ -34,7 +34,7 @@ def semantic_scores(queries: DataFrame, chunks: DataFrame, dims: int = 256) -> D
     q = vectors.hash_weights(queries.withColumnRenamed("query_text", "text"), ["query_id"], dims=dims).withColumnRenamed("weight", "qw")
     keyed = "context_id" in queries.columns
     pairs = queries.select("query_id", *(["context_id"] if keyed else []))
-    every = chunks.select("context_id", "chunk_idx").join(pairs, "context_id") if keyed else chunks.select("context_id", "chunk_idx").crossJoin(F.broadcast(pairs))
+    every = chunks.select("context_id", "chunk_idx").join(pairs, "context_id") if keyed else chunks.select("context_id", "chunk_idx").crossJoin(scoring.small_side(pairs))
     found = q.join(vectors.hash_weights(chunks, ["context_id", "chunk_idx"], dims=dims), "bucket").groupBy("query_id", "context_id", "chunk_idx").agg(F.sum(F.col("qw") * F.col("weight")).alias("score"))
     return every.join(found, ["query_id", "context_id", "chunk_idx"], "left").fillna(0.0, ["score"])
 

@@ -180,6 +180,14 @@ def cue_columns(text, n_tokens, w: HybridWeights = HybridWeights()) -> dict:
     }
 
 
+MAX_BROADCAST_QUESTIONS = 10_000
+
+
+def small_side(questions: DataFrame) -> DataFrame:
+    """questions as a broadcast side if a count shows that they are few; else Spark partitions both sides."""
+    return F.broadcast(questions) if questions.count() <= MAX_BROADCAST_QUESTIONS else questions
+
+
 def hybrid_scores(queries: DataFrame, chunks: DataFrame, synonyms: DataFrame | None = None, w: HybridWeights = HybridWeights()) -> DataFrame:
     """(query_id, context_id, chunk_idx, bm25, ngram, synonym, numeric, method, related, score) for every chunk of every query.
 
@@ -190,7 +198,7 @@ def hybrid_scores(queries: DataFrame, chunks: DataFrame, synonyms: DataFrame | N
     q = queries.select("query_id", *(["context_id"] if keyed else []), *[v.alias(k) for k, v in flags.items()])
     cues = cue_columns(F.col("text"), F.size(t.content_words(t.words(F.col("text")))), w)
     facts = chunks.select(*CHUNK, *[v.alias(k) for k, v in cues.items()])
-    every = facts.join(q, "context_id") if keyed else facts.crossJoin(F.broadcast(q))  # a stated set of questions against all chunks
+    every = facts.join(q, "context_id") if keyed else facts.crossJoin(small_side(q))  # a stated set of questions against all chunks
     key = ["query_id", *CHUNK]
     rows = every.join(bm25(queries, chunks, w, words), key, "left").join(fuzzy_scores(queries, chunks, w, words), key, "left")
     rows = rows.join(synonym_scores(queries, chunks, synonyms, words), key, "left") if synonyms is not None else rows.withColumn("synonym", F.lit(0.0))

@@ -61,6 +61,16 @@ def pack(items: Column, max_tokens: Column) -> Column:
     return F.aggregate(items, start, add, lambda a: a["out"])
 
 
+def could_fit(rows: DataFrame, max_tokens: int, by: list[str] = BY) -> DataFrame:
+    """rows without those that greedy packing by score can never take.
+
+    Of the rows with t tokens only the best max_tokens / t can be taken, as each uses t; passing over the others
+    changes nothing. What is left for a group is at most max_tokens * ln(max_tokens) rows, however many there were."""
+    sized = rows.withColumn("_t", t.token_estimate(F.col("text")))
+    rank = F.row_number().over(Window.partitionBy(*by, "_t").orderBy(F.desc("score"), "chunk_idx"))
+    return sized.withColumn("_r", rank).filter(F.col("_r") * F.col("_t") <= max_tokens).drop("_t", "_r")
+
+
 def enforce_budget(rows: DataFrame, max_tokens: int, by: list[str] = BY, summary_max_chars: int = 1200) -> DataFrame:
     """by.., selected: array of (idx, text) in order of selection. rows: by.., chunk_idx, text, score, keep.
 

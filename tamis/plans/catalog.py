@@ -223,15 +223,14 @@ def cache_hit_rate(spark, sf_dir):
 
 
 @query(
-    "with r as (select 'len' as list_id, row_number() over (order by length(text) desc, doc_id) - 1 as pos, source as key from documents qualify pos < 200 union all select 'id', doc_id, source from documents where doc_id < 200) "
-    "select key, round(sum(case when list_id = 'len' then 2.0 else 1.0 end / (60 + pos + 1)), 6) as score from r where key <> '' group by key"
+    "with c as (select lang, source, count(*) as n from documents group by 1, 2), r as (select lang as list_id, row_number() over (partition by lang order by n desc, source) - 1 as pos, source as key from c) "
+    "select key, round(sum(case when list_id = 'en' then 2.0 else 1.0 end / (60 + pos + 1)), 6) as score from r where key <> '' group by key"
 )
 def rrf_fusion(spark, sf_dir):
-    d = documents(spark, sf_dir)
-    longest = d.select(F.length("text").alias("n"), "doc_id", "source").orderBy(F.desc("n"), "doc_id").limit(200)
-    by_length = longest.select(F.lit("len").alias("list_id"), (F.row_number().over(Window.orderBy(F.desc("n"), "doc_id")) - 1).cast("bigint").alias("pos"), F.col("source").alias("key"))
-    by_id = d.filter("doc_id < 200").select(F.lit("id").alias("list_id"), F.col("doc_id").alias("pos"), F.col("source").alias("key"))
-    return vectors.fuse_rankings(by_length.unionByName(by_id), 60, {"len": 2.0}).select("key", r6(F.col("score")).alias("score"))
+    counts = documents(spark, sf_dir).groupBy("lang", "source").agg(F.count("*").alias("n"))
+    pos = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "source")) - 1
+    ranked = counts.select(F.col("lang").alias("list_id"), pos.alias("pos"), F.col("source").alias("key"))
+    return vectors.fuse_rankings(ranked, 60, {"en": 2.0}).select("key", r6(F.col("score")).alias("score"))
 
 
 # --- entities and selection -----------------------------------------------------------------------------------
@@ -379,7 +378,7 @@ def fingerprint_diff(spark, sf_dir):
 
 
 @query(
-    "with e as (select distinct 'o' || l_orderkey as src, 'p' || l_partkey as dst from lineitem union select distinct 'p' || l_partkey, 's' || l_suppkey from lineitem), s as (select 'o' || o_orderkey as node from orders where o_orderkey <= 40), "
+    "with e as (select distinct 'o' || l_orderkey as src, 'p' || l_partkey as dst from lineitem union select distinct 'p' || l_partkey, 's' || l_suppkey from lineitem), s as (select 'o' || o_orderkey as node from orders where o_orderkey % 100 = 0), "
     "h1 as (select distinct dst as node from e join s on e.src = s.node where dst not in (select node from s)), h2 as (select distinct dst as node from e join h1 on e.src = h1.node where dst not in (select node from h1) and dst not in (select node from s)) "
     "select node, 1.0::double as score, 0 as hop from s union all select node, 0.5, 1 from h1 union all select node, 0.25, 2 from h2"
 )
@@ -387,7 +386,7 @@ def hop_expand(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     edges = li.select(name("o", "l_orderkey").alias("src"), name("p", "l_partkey").alias("dst")).union(li.select(name("p", "l_partkey"), name("s", "l_suppkey"))).distinct()
-    seeds = table(spark, sf_dir, "orders").filter("o_orderkey <= 40").select(name("o", "o_orderkey").alias("node"), F.lit(1.0).alias("score"))
+    seeds = table(spark, sf_dir, "orders").filter("o_orderkey % 100 = 0").select(name("o", "o_orderkey").alias("node"), F.lit(1.0).alias("score"))
     return code.expand_hops(seeds, edges, 2)
 
 
@@ -439,9 +438,9 @@ def select_under_budget(spark, sf_dir):
     """Which documents answer a question best, within a token budget, and what that saves."""
     chunks = corpus(spark, sf_dir)
     scored = scoring.bm25(questions(spark), chunks).withColumn("score", scoring.normalised("bm25", ["query_id", "context_id"]))
-    # documents above the threshold, best first, and no more than the budget could ever hold
-    best = vectors.top_k(scored, ["query_id"], [F.desc(F.round("score", 6)), "chunk_idx"], 400, 0.15).join(chunks, ["context_id", "chunk_idx"])
-    chosen = selection.enforce_budget(best.select("query_id", "context_id", "chunk_idx", "text", F.round("score", 6).alias("score"), F.lit(False).alias("keep")), 4000)
+    above = scored.filter("score >= 0.15").withColumn("score", F.round("score", 6)).join(chunks, ["context_id", "chunk_idx"])
+    best = selection.could_fit(above, 4000).select("query_id", "context_id", "chunk_idx", "text", "score", F.lit(False).alias("keep"))
+    chosen = selection.enforce_budget(best, 4000)
     sizes = chunks.agg(F.count("*").alias("total"), F.sum(t.token_estimate(F.col("text"))).alias("before"))
     rows = chosen.join(F.broadcast(sizes)).select("query_id", F.size("selected").alias("kept"), "total", F.col("before").alias("tokens_before"), F.aggregate("selected", F.lit(0), lambda a, x: a + t.token_estimate(x["text"])).alias("tokens_after"), F.array_join(F.transform("selected", lambda x: x["idx"].cast("string")), ",").alias("doc_ids"))
     return rows.withColumn("reduction_pct", F.round(ro.reduction_pct(F.col("tokens_before"), F.col("tokens_after")), 4))

@@ -201,7 +201,7 @@ def summary_sql(limit: int) -> str:
 def budget_sql(tokens: int) -> str:
     return (
         bm25_sql(QUESTIONS).replace("with ", "with recursive ", 1)
-        + ", nm as (select query_id, chunk_idx, bm25 / max(bm25) over (partition by query_id) as s from bm25), tp as (select query_id, chunk_idx, round(s, 6) as s, row_number() over (partition by query_id order by round(s, 6) desc, chunk_idx) as r from nm where s >= 0.15 qualify r <= 400), "
+        + ", nm as (select query_id, chunk_idx, bm25 / max(bm25) over (partition by query_id) as s from bm25), tp as (select query_id, chunk_idx, round(s, 6) as s, row_number() over (partition by query_id order by round(s, 6) desc, chunk_idx) as r from nm where s >= 0.15), "
         "it as materialized (select query_id, chunk_idx, r, greatest(1, length(text) // 4) as tok from tp join documents on doc_id = chunk_idx), "
         "walk as (select query_id, 0::bigint as r, 0::bigint as used, 0 as kept, '' as ids from q union all select i.query_id, i.r, w.used + case when w.used + i.tok <= {n} then i.tok else 0 end, w.kept + (w.used + i.tok <= {n})::int, "
         "case when w.used + i.tok <= {n} then w.ids || case when w.ids = '' then '' else ',' end || i.chunk_idx else w.ids end from walk w join it i on i.query_id = w.query_id and i.r = w.r + 1), "
