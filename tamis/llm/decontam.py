@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, local alignment scores them.
+"""Benchmark decontamination: n-gram seeds join passages to test items, local alignment scores them.
 
-Words are runs of letters and digits, lower-cased.  Every n-gram of the test items is counted over all
-documents (in how many it comes); an item's seeds are its n-grams that are rare for it, that is in at most
-COMMON times as many documents as its median n-gram (plus a few).  An item shorter than n words is one seed.
-Documents are joined with the items on seeds; the seeds of one item that lie on nearby diagonals of a document
-make one passage.  Smith-Waterman alignment over words (match 2, other -1) between the item and the passage,
+Words are runs of letters and digits, lower-cased.  All n-grams of an item are its seeds, however many documents
+hold them; an item shorter than n words is one seed.  Documents are joined with the items on seeds; the seeds of
+one item that lie on nearby diagonals of a document make one passage.  A passage is left out unaligned only where
+no alignment can reach the threshold: a matched word of the document is a word of the item and adds 2, any other
+word inside the alignment costs 1, so the best run of such sums bounds the score.  Smith-Waterman alignment over words (match 2, other -1) between the item and the passage,
 widened by SLACK words, gives the score: the best local score over that of the item with itself.  1 is a copy; an edited copy
 loses 1.5 words for each changed word.  Pairs from `threshold` on are reported.
 
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from tamis.llm.words import Texts, chunks, mix, texts_from, texts_of, words_of
 
 N = 3
-COMMON, FEW = 4, 20
 SLACK = 8
 MAX_GRAMS = 2_000_000
+PAIRS = 1_000_000  # postings, and words of passages, held at once
 THRESHOLD = 0.5
 
 
@@ -45,6 +45,12 @@ def _grams(hash_: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, mix(h[at])
 
 
+def _member(word: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Key of a word in an item."""
+    with np.errstate(over="ignore"):
+        return mix(word + (item.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
 @dataclass
 class Items:
     """A slice of the test items: ids, words end to end, and gram postings (gram, item, offset) sorted by gram."""
@@ -55,6 +61,7 @@ class Items:
     gram: np.ndarray
     item: np.ndarray
     offset: np.ndarray
+    member: np.ndarray  # keys of (item, word), sorted
 
     @staticmethod
     def of(rows: list[tuple]) -> Items:
@@ -66,24 +73,7 @@ class Items:
         gram = np.concatenate([h, mix(w.hash[w.first[short]])])
         item, offset = np.concatenate([item, short]), np.concatenate([offset, np.zeros(len(short), np.int64)])
         order = np.argsort(gram, kind="stable")
-        return Items([i for i, _ in rows], w.hash, w.first, gram[order], item[order], offset[order])
-
-    def rare(self, grams: np.ndarray, documents: np.ndarray) -> Items:
-        """With the document counts of grams (sorted), only each item's rare ones."""
-        at = np.minimum(np.searchsorted(grams, self.gram), max(len(grams) - 1, 0))
-        df = np.where(grams[at] == self.gram, documents[at], 0) if len(grams) else np.zeros(len(self.gram), np.int64)
-        keep = np.zeros(len(self.gram), bool)
-        for i in range(len(self.ids)):
-            own = np.flatnonzero(self.item == i) if len(self.ids) < 2000 else self._own(i)
-            if len(own):
-                keep[own] = df[own] <= COMMON * np.median(df[own]) + FEW
-        return Items(self.ids, self.words, self.first, self.gram[keep], self.item[keep], self.offset[keep])
-
-    def _own(self, i: int) -> np.ndarray:
-        if not hasattr(self, "_order"):
-            self._order = np.argsort(self.item, kind="stable")
-            self._cut = np.searchsorted(self.item[self._order], np.arange(len(self.ids) + 1))
-        return self._order[self._cut[i] : self._cut[i + 1]]
+        return Items([i for i, _ in rows], w.hash, w.first, gram[order], item[order], offset[order], np.unique(_member(w.hash, w.doc)))
 
 
 def _doc_grams(part: Texts):
@@ -137,6 +127,45 @@ def align(items: np.ndarray, item_len: np.ndarray, docs: np.ndarray, doc_len: np
     return best, start, end
 
 
+def _bound(items: Items, item: np.ndarray, words: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """No alignment of item[i] with words[begin[i] : begin[i] + size[i]] scores more than this."""
+    out = np.zeros(len(item), np.int64)
+    ends = np.cumsum(size)
+    a = 0
+    while a < len(item):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] - size[a] + PAIRS, "right")))
+        n = size[a:b]
+        first = np.cumsum(n) - n
+        group = np.repeat(np.arange(b - a), n)
+        word = words[np.arange(len(group)) + (begin[a:b] - first)[group]]
+        value = np.where(_lookup(items.member, _member(word, item[a:b][group])), 2, -1)
+        after = np.cumsum(value) - group * (4 * len(group))  # each group lies below the ones before
+        gain = after - np.minimum.accumulate(after - value)
+        out[a:b] = np.maximum.reduceat(gain, first)
+        a = b
+    return out
+
+
+def _hits(w, at: np.ndarray, h: np.ndarray, items: Items):
+    """(place, item, diagonal) of all seeds, some whole documents at a time, sorted by document, item, diagonal."""
+    lo, hi = np.searchsorted(items.gram, h, "left"), np.searchsorted(items.gram, h, "right")
+    ends = np.cumsum(hi - lo)
+    heads = np.flatnonzero(np.concatenate([[True], w.doc[at[1:]] != w.doc[at[:-1]]]))
+    limits = np.append(heads[1:], len(at))
+    x = 0
+    while x < len(heads):
+        before = ends[heads[x] - 1] if heads[x] else 0
+        y = max(x + 1, int(np.searchsorted(ends[limits - 1], before + PAIRS, "right")))
+        own = slice(heads[x], limits[y - 1])
+        x = y
+        n = (hi - lo)[own]
+        place = np.repeat(at[own], n)
+        post = np.repeat(lo[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        item, diagonal = items.item[post], place - items.offset[post]
+        order = np.lexsort((diagonal, item, w.doc[place]))
+        yield place[order], item[order], diagonal[order]
+
+
 def _find(part: Texts, items: Items, threshold: float):
     """(document, item, score, start word, end word) of the passages in some documents."""
     w, at, h = _doc_grams(part)
@@ -144,22 +173,22 @@ def _find(part: Texts, items: Items, threshold: float):
     at, h = np.concatenate([at, np.arange(len(w.hash))]) if short.any() else at, np.concatenate([h, mix(w.hash)]) if short.any() else h
     hit = _lookup(items.gram, h)
     at, h = at[hit], h[hit]
-    lo, hi = np.searchsorted(items.gram, h, "left"), np.searchsorted(items.gram, h, "right")
-    n = hi - lo
-    place = np.repeat(at, n)
-    post = np.repeat(lo - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
-    item, diagonal = items.item[post], place - items.offset[post]
-    order = np.lexsort((diagonal, item, w.doc[place]))
-    place, item, diagonal = place[order], item[order], diagonal[order]
-    doc = w.doc[place]
-    if not len(place):
+    if not len(at):
         return []
+    order = np.argsort(at, kind="stable")
+    return [x for found in _hits(w, at[order], h[order], items) for x in _passages(w, items, threshold, *found)]
+
+
+def _passages(w, items: Items, threshold: float, place: np.ndarray, item: np.ndarray, diagonal: np.ndarray):
+    doc = w.doc[place]
     cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > SLACK)]))
     last = np.append(cut[1:], len(place)) - 1
     doc, item, low, high = doc[cut], item[cut], diagonal[cut], diagonal[last]
     length = np.diff(items.first)
     begin = np.maximum(low - SLACK, w.first[doc])
     stop = np.minimum(high + length[item] + SLACK, w.first[doc + 1])
+    keep = _bound(items, item, w.hash, begin, np.maximum(stop - begin, 1)) >= threshold * 2.0 * length[item]
+    doc, item, begin, stop = doc[keep], item[keep], begin[keep], stop[keep]
     out = []
     size = np.maximum(stop - begin, 1)
     by_size = np.argsort(size * 1000 + length[item], kind="stable")
@@ -198,30 +227,6 @@ def item_slices(benchmark: DataFrame, id_col: str, text_col: str):
         yield rows
 
 
-def seeds(docs: DataFrame, rows: list[tuple], text_col: str = "text") -> Items:
-    """The rare seeds of some items, by a count over all documents."""
-    items = Items.of(rows)
-    keys = np.unique(items.gram)
-    shared = docs.sparkSession.sparkContext.broadcast(keys)
-
-    def body(batches):
-        own = shared.value
-        total = np.zeros(len(own), np.int64)
-        for batch in batches:
-            for _, _, part in chunks(texts_of(batch.column(0))):
-                w, at, h = _doc_grams(part)
-                hit = _lookup(own, h)
-                pair = np.unique(np.searchsorted(own, h[hit]).astype(np.int64) << 32 | w.doc[at[hit]])
-                total += np.bincount(pair >> 32, minlength=len(own))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(own[some].view(np.int64)), pa.array(total[some])], ["h", "n"])
-
-    counts = docs.select(docs[text_col].alias("text")).mapInArrow(body, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).toArrow()  # at most a row for each gram of the slice
-    h = counts.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    return items.rare(h[order], counts.column("n").to_numpy()[order])
-
-
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word) of every passage that scores the threshold."""
     spark = docs.sparkSession
@@ -229,7 +234,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
     parts = []
     for piece in item_slices(benchmark, item_id_col, item_text_col):
-        shared = spark.sparkContext.broadcast(seeds(docs, piece, text_col))
+        shared = spark.sparkContext.broadcast(Items.of(piece))
 
         def body(batches, shared=shared):
             items = shared.value
@@ -251,7 +256,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     """The rows of docs, with all their columns, that hold no passage of the benchmark."""
     at = docs.columns.index(text_col)
     for piece in item_slices(benchmark, item_id_col, item_text_col):
-        shared = docs.sparkSession.sparkContext.broadcast(seeds(docs, piece, text_col))
+        shared = docs.sparkSession.sparkContext.broadcast(Items.of(piece))
 
         def body(batches, shared=shared):
             items = shared.value
