@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import math
+import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -17,12 +17,21 @@ def crc_mod(doc_id: Column, m: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % m, F.lit(-1))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, as the session names it in spark.checkpoint.dir."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if spark.sparkContext.master.startswith("local"):  # one machine: its folder is shared by all threads
+        return tempfile.mkdtemp(prefix="tamis-checkpoints-")
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through spark.checkpoint.dir; a folder of our own is set only where the session names none."""
+    """Cut lineage through spark.checkpoint.dir; a folder of our own is set only in local mode where none is named."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or "/tmp/checkpoints")
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -30,18 +39,48 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partitions_for(spark: SparkSession, n_bytes: int) -> int:
+    """Partitions of an exchange that carries n_bytes: the session's number, more where they would pass 64 MB each."""
+    return max(shuffle_partitions(spark), min(-(-int(n_bytes) // 64_000_000), 100_000))
+
+
 def bounded_sample(rows: DataFrame, key: Column, limit: int) -> DataFrame:
-    """About `limit` rows at most, chosen by the hash of a key, so that the choice is the same at every run.
-
-    The rows are counted first; the hash threshold then gives 1.0 x limit rows on average and the exact
-    top-`limit` is cut by hash order (a TakeOrdered, never a global sort)."""
-    n = rows.count()
-    h = F.xxhash64(key, F.lit(7))
-    picked = rows.withColumn("__h", h)
-    if n > limit:
-        share = min(1.0, 1.2 * limit / n + 20 / n)
-        picked = picked.filter(F.pmod(F.col("__h"), F.lit(1_000_000)) < math.ceil(share * 1_000_000))
-    return picked.orderBy("__h").limit(limit).drop("__h")
+    """min(rows, limit) rows in the order of their key's hash, the same at every run. Keys must be distinct: each
+    task keeps its own first `limit` rows and these are merged, so no full sort takes place."""
+    return rows.orderBy(F.xxhash64(key, F.lit(7)), key).limit(limit)
+
+
+def sampled_texts(rows: DataFrame, limit: int, max_bytes: int, by: list[str] | None = None) -> DataFrame:
+    """(by.., text): whole texts of rows (by.., text) to learn from, distinct ones, for each value of `by` at most
+    `limit` of them and max_bytes in all, in the order of their hashes; where the first alone is larger, the
+    shortest of the chosen ones.  Copies count once, so a text that fills the table takes one place."""
+    by = by or []
+    hashed = rows.withColumn("h", F.xxhash64("text", F.lit(7)))
+    each = hashed.groupBy(*by, "h").agg(F.max(F.octet_length("text")).alias("size"))
+    place = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    if by:
+        first = each.withColumn("n", F.row_number().over(place.orderBy("h"))).filter(F.col("n") <= limit)
+    else:
+        first = each.orderBy("h").limit(limit)
+    total = F.sum("size").over(place.orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
+    shortest = F.row_number().over(place.orderBy("size", "h"))
+    inside = first.withColumn("upto", total).withColumn("short", shortest).withColumn("least", F.min("upto").over(place))
+    chosen = inside.filter((F.col("upto") <= max_bytes) | ((F.col("least") > max_bytes) & (F.col("short") == 1))).select(*by, "h")
+    # at most `limit` rows of a few numbers for each value of `by`
+    return hashed.join(F.broadcast(chosen), [*by, "h"]).groupBy(*by, "h").agg(F.min("text").alias("text")).drop("h")
+
+
+def hot_join(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, hot: int = 1000) -> DataFrame:
+    """rows joined with the unique keys of `keyed`, whose column `count` tells how many rows have the key.
+
+    Keys with over a `hot`-th of all rows (so fewer than `hot` of them) are broadcast, and no key of the other
+    rows can fill a task."""
+    total = keyed.agg(F.sum(count).alias("n")).first()["n"] or 0
+    many = F.col(count) > max(total // hot, 1000)
+    few = keyed.filter(many)
+    crowded = rows.join(F.broadcast(few.drop(count)), on)
+    rest = rows.join(F.broadcast(few.select(*on)), on, "left_anti").join(keyed.filter(~many).drop(count), on)
+    return crowded.unionByName(rest)
 
 
 def runs(batches, key: str):

@@ -1,20 +1,23 @@
 """Language identification by prediction by partial matching.
 
-Per language a byte context tree of variable order (up to `order`) with escape probabilities (method C:
-a context that was seen T times before D different bytes escapes with D / (T + D)).  The bytes that a
-context has seen are excluded when it escapes, so each context's distribution over the 256 bytes sums to 1.
-The statistics are frozen after training; a text's code length under a language is then exact, and the
-language with the shortest code wins.
-
-All languages share one table of contexts.  A position's context is the longest suffix in it, found by
-arithmetic on the last bytes, and its row holds every language's log-probability of each byte: scoring a
-text is two gathers and a sum.
-
-Contexts are bytes, upper case folded to lower.  Null texts and texts without a letter give `und` and
-score 0.  Training reads at most `max_rows` documents of each language, whole, chosen by the hash of the
-text.  Rows with null language or text are not learned from.  Without any training row everything is `und`.
-The score is the posterior of the winner with equal priors, code lengths divided by the square root of the
-length.  Ties go to the first language by name.  Extra columns are ignored; a null id is returned as null.
+Per language a byte context tree of variable order (up to `order`) with escape probabilities (method C: a context
+that was seen T times before D different bytes escapes with D / (T + D)).  The bytes that a context has seen are
+excluded when it escapes, so each context's distribution over the 256 bytes sums to 1; below order 0 all bytes are
+equally likely.  The statistics are frozen after training; a text's code length under a language is then exact,
+and the language with the shortest code wins.  Contexts and symbols are the bytes as they are.
+
+With exclusion, an unseen byte costs its context one fixed factor, escape / (1 - what the parent gives the seen
+bytes), times the parent's probability.  So a tree is stored sparsely: a row for each (context, byte) that some
+language saw, a factor for each context, and a mask of the bytes seen, by which a row is found in constant time.
+Languages are kept in tables of at most GROUP of them, so the model grows in proportion to the languages.
+
+Null texts and texts without a letter give `und` and score 0.  Training reads at most `max_rows` distinct whole
+texts and `max_bytes` bytes of each language (see `sampled_texts`); contexts are counted where the texts lie and
+only the counts come to the driver.  Rows with null language or text are not learned from.  Without any training
+row everything is `und`.  The score is the posterior of the winner with equal priors.  Ties go to the first
+language by name.  Very long texts are scored in pieces of PIECE bytes, each with the context before it, so memory
+does not grow with a text's length.  Repeated rows are predicted one by one; extra columns are ignored; a null id
+is returned as null; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,122 +28,171 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import bounded_sample
-from tamis.llm.words import Texts, chunks, texts_from, texts_of
+from tamis.llm.common import sampled_texts
+from tamis.llm.words import Texts, texts_of
 
-_FOLD = np.arange(256, dtype=np.int64)
-_FOLD[65:91] += 32
-_FOLD[9:14] = 32
 START = 32  # the context before the first byte
+GROUP = 16
+PIECE = 1_000_000
+
+
+def grams_of(texts: Texts, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the last `order` bytes and the byte itself, count) over all positions of the texts."""
+    out = []
+    for i in range(texts.n):
+        x = np.concatenate([np.full(order, START, np.uint8), texts.buf[texts.off[i] : texts.off[i + 1]]]).astype(np.int64)
+        g = np.zeros(len(x) - order, np.int64)
+        for k in range(order + 1):
+            g = g << 8 | x[k : k + len(g)]
+        out.append(g)
+    return np.unique(np.concatenate(out), return_counts=True) if out else (np.zeros(0, np.int64),) * 2
+
+
+class Level:
+    """Contexts of one length: their numbers, what escaping from each costs, and rows of log-probabilities."""
+
+    def __init__(self, contexts, masks, bases, escapes, logp):
+        self.contexts, self.masks, self.bases, self.escapes, self.logp = contexts, masks, bases, escapes, logp
+
+
+class Table:
+    """Context trees of a few languages. counts: for each language (gram numbers, counts)."""
+
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]], order: int):
+        self.order, n_langs = order, len(counts)
+        self.levels: list[Level] = []
+        below_pairs, below = np.zeros(0, np.int64), np.zeros((0, n_langs))
+        for k in range(order + 1):
+            own = []
+            for grams, n in counts:
+                pair, inverse = np.unique(grams & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+                own.append((pair, np.bincount(inverse, n, len(pair))))
+            pairs = np.unique(np.concatenate([p for p, _ in own]))
+            seen = np.zeros((len(pairs), n_langs))
+            for j, (pair, n) in enumerate(own):
+                seen[np.searchsorted(pairs, pair), j] = n
+            contexts, row = np.unique(pairs >> 8, return_inverse=True)
+            parent = np.full((len(pairs), n_langs), 1 / 256)
+            if k:
+                parent = below[np.searchsorted(below_pairs, pairs & ((1 << 8 * k) - 1))]
+            p, escapes = np.empty_like(seen), np.empty((len(contexts), n_langs))
+            for j in range(n_langs):
+                total = np.bincount(row, seen[:, j], len(contexts))
+                kinds = np.bincount(row, seen[:, j] > 0, len(contexts))
+                left = 1 - np.bincount(row, np.where(seen[:, j] > 0, parent[:, j], 0), len(contexts))
+                whole = left < 1e-12  # nothing is left to escape to
+                escape = np.where(total > 0, np.where(whole, 0, kinds / np.maximum(total + kinds, 1)), 1.0)
+                factor = escape / np.where(whole, 1, left)
+                escapes[:, j] = factor
+                p[:, j] = np.where(seen[:, j] > 0, seen[:, j] / np.maximum(total, 1)[row] * (1 - escape)[row], factor[row] * parent[:, j])
+            byte = pairs & 255
+            masks = np.zeros((len(contexts), 4), np.uint64)
+            np.bitwise_or.at(masks, (row, byte >> 6), np.uint64(1) << (byte & 63).astype(np.uint64))
+            fill = np.bitwise_count(masks).astype(np.int64).reshape(-1)
+            bases = (np.cumsum(fill) - fill).astype(np.int32)
+            with np.errstate(divide="ignore"):
+                self.levels.append(Level(contexts, masks.reshape(-1), bases, np.log(escapes).astype(np.float32), np.log(p).astype(np.float32)))
+            below_pairs, below = pairs, p
+        used = np.zeros(256, bool)
+        for k in range(1, order + 1):
+            for j in range(k):
+                used[self.levels[k].contexts >> 8 * j & 255] = True
+        self.width = int(used.sum()) + 1
+        self.symbols = np.full(256, self.width - 1, np.int32)  # bytes that end no context share one number
+        self.symbols[used] = np.arange(self.width - 1, dtype=np.int32)
+        self._places: list[np.ndarray] | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_places": None}
+
+    def places(self) -> list[np.ndarray]:
+        """For each length the row of a context by the number of its symbols; made once in each worker."""
+        if self._places is None:
+            self._places = []
+            for k, level in enumerate(self.levels):
+                place = np.full(self.width**k, -1, np.int32)
+                number = np.zeros(len(level.contexts), np.int64)
+                for j in range(k):
+                    number = number * self.width + self.symbols[level.contexts >> 8 * (k - 1 - j) & 255]
+                place[number] = np.arange(len(number), dtype=np.int32)
+                self._places.append(place)
+        return self._places
+
+    def score(self, buf: np.ndarray, before: list[np.ndarray]) -> np.ndarray:
+        """Log-probability of every byte under every language; before[k]: the symbol k + 1 bytes back."""
+        out = np.zeros((len(buf), self.levels[0].logp.shape[1]), np.float32)
+        todo = np.arange(len(buf))
+        for k in range(self.order, -1, -1):
+            level = self.levels[k]
+            number = np.zeros(len(todo), np.int32 if self.width**k < 2**31 else np.int64)
+            for j in range(k - 1, -1, -1):
+                number = number * self.width + before[j][todo]
+            row = self.places()[k][number]
+            known = row >= 0
+            at, r, x = todo[known], row[known].astype(np.int64), buf[todo[known]].astype(np.int64)
+            cell = r * 4 + (x >> 6)
+            mask, bit = level.masks[cell], (x & 63).astype(np.uint64)
+            hit = (mask >> bit & np.uint64(1)).astype(bool)
+            here = cell[hit]
+            index = level.bases[here] + np.bitwise_count(mask[hit] & ((np.uint64(1) << bit[hit]) - np.uint64(1)))
+            out[at[hit]] += level.logp[index]
+            miss = at[~hit]
+            out[miss] += level.escapes[r[~hit]]
+            todo = np.concatenate([todo[~known], miss])
+            if not len(todo):
+                return out
+        out[todo] += np.float32(-np.log(256))
+        return out
 
 
 class Model:
-    """langs; symbols: byte -> column; place[order-3 context] -> row; logp[row, column, lang]."""
-
-    def __init__(self, langs: list[str], texts: dict[str, Texts], order: int = 3, least: int = 2):
-        self.langs, self.order = sorted(langs), order
-        seen = np.zeros(256, bool)
-        for t in texts.values():
-            seen[_FOLD[t.buf]] = True
-        seen[START] = True
-        own = np.flatnonzero(seen)
-        self.symbols = np.full(256, len(own), np.int64)  # bytes never seen share the last column
-        self.symbols[own] = np.arange(len(own))
-        self.symbols = self.symbols[_FOLD]
-        unseen = 256 - 26 - 4 - len(own)  # folded bytes are no symbols of their own
-        self.width = s = len(own) + 1
-        grams = {lang: self._grams(texts[lang]) for lang in self.langs}
-        # contexts that any language saw at least `least` times, by order; order 0 is the root
-        contexts = [np.zeros(1, np.int64)]
-        for k in range(1, order + 1):
-            counts: dict = {}
-            total = [np.unique(grams[lang] // s % s**k, return_counts=True) for lang in self.langs]
-            keys = np.concatenate([x for x, _ in total])
-            n = np.concatenate([c for _, c in total])
-            uniq, inv = np.unique(keys, return_inverse=True)
-            contexts.append(uniq[np.bincount(inv, n) >= least])
-            del counts
-        start = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
-        self.logp = np.empty((start[-1], s, len(self.langs)), np.float32)
-        share = np.full(s, 1.0 / 256)
-        share[-1] = max(unseen, 1) / 256
-        share /= share.sum()
-        for j, lang in enumerate(self.langs):
-            above = share[None, :]
-            for k in range(order + 1):
-                keys = contexts[k]
-                pair, n = np.unique(grams[lang] % s ** (k + 1), return_counts=True)
-                row = np.searchsorted(keys, pair // s) if k else np.zeros(len(pair), np.int64)
-                ok = (row < len(keys)) & (keys[np.minimum(row, len(keys) - 1)] == pair // s) if k else np.ones(len(pair), bool)
-                c = np.zeros((len(keys), s))
-                c[row[ok], pair[ok] % s] = n[ok]
-                if k == 0:
-                    parent = np.zeros(1, np.int64)
-                elif k == 1:
-                    parent = np.zeros(len(keys), np.int64)
-                else:
-                    parent = np.searchsorted(contexts[k - 1], keys % s ** (k - 1))
-                low = above[parent]
-                total, kinds = c.sum(1), (c > 0).sum(1)
-                known = c > 0
-                rest = np.where(known, 0, low)
-                mass = rest.sum(1, keepdims=True)
-                escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-                escape = np.where(mass[:, 0] <= 0, 0.0, escape)  # nothing is left to escape to
-                p = c / np.maximum(total, 1)[:, None] * (1 - escape)[:, None] + rest / np.where(mass > 0, mass, 1) * escape[:, None]
-                self.logp[start[k] : start[k + 1], :, j] = np.log(p)
-                above = p
-        # the row of every context of full order: that of its longest suffix that is kept
-        self.place = np.zeros(s**order, np.int32)
-        for k in range(1, order + 1):
-            at = (np.arange(s ** (order - k))[:, None] * s**k + contexts[k][None, :]).reshape(-1)
-            self.place[at] = np.tile(np.arange(start[k], start[k + 1], dtype=np.int32), s ** (order - k))
-
-    def _grams(self, texts: Texts) -> np.ndarray:
-        """For every byte the number of its last `order` bytes and itself; texts begin in the context of blanks."""
-        out = []
-        for i in range(texts.n):
-            x = self._symbols(texts.buf[texts.off[i] : texts.off[i + 1]])
-            g = np.zeros(len(x) - self.order, np.int64)
-            for k in range(self.order + 1):
-                g = g * self.width + x[k : k + len(g)]
-            out.append(g)
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
-
-    def _symbols(self, buf: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.full(self.order, self.symbols[START]), self.symbols[buf]])
+    """Languages by name, and their context trees in tables of GROUP."""
+
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = 3):
+        self.langs, self.order = sorted(counts), order
+        self.tables = [Table([counts[x] for x in self.langs[i : i + GROUP]], order) for i in range(0, len(self.langs), GROUP)]
 
     def code(self, texts: Texts) -> np.ndarray:
-        """log-likelihood of every text (rows) under every language (columns)."""
-        x = self.symbols[texts.buf].astype(np.int32)
-        context = np.zeros(len(x), np.int32)
-        blank = np.int32(self.symbols[START])
-        at = np.arange(len(x)) - np.repeat(texts.off[:-1], np.diff(texts.off))
-        for k in range(self.order, 0, -1):
-            before = np.empty(len(x), np.int32)
-            before[k:] = x[:-k] if len(x) > k else x[:0]
-            before[:k] = blank
-            before[at < k] = blank
-            context = context * np.int32(self.width) + before
-        rows = self.logp.reshape(-1, len(self.langs))
-        per = rows.take(self.place.take(context).astype(np.int64) * self.width + x, axis=0)
-        acc = np.zeros((len(x) + 1, len(self.langs)))
-        np.cumsum(per, axis=0, dtype=np.float64, out=acc[1:])
-        return acc[texts.off[1:]] - acc[texts.off[:-1]]
-
-
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where: Column | None = None, max_rows: int = 300, max_langs: int = 200, order: int = 3) -> Model | None:
-    """where: condition for a row to be learned from. At most max_rows whole documents of each language."""
+        """Log-likelihood of every text (rows) under every language (columns)."""
+        out = np.zeros((texts.n, len(self.langs)))
+        for a in range(0, len(texts.buf), PIECE):
+            b = min(a + PIECE, len(texts.buf))
+            first = int(np.searchsorted(texts.off, a, "right")) - 1
+            last = int(np.searchsorted(texts.off, b, "left"))
+            edges = np.clip(texts.off[first : last + 1], a, b)
+            own = first + np.flatnonzero(np.diff(edges))
+            heads = edges[:-1][np.diff(edges) > 0] - a
+            start = np.repeat(texts.off[own], np.diff(edges)[np.diff(edges) > 0])
+            place = np.arange(a, b)
+            back = [np.where(place - k >= start, texts.buf[np.maximum(place - k, 0)], START) for k in range(1, self.order + 1)]
+            for i, table in enumerate(self.tables):
+                per = table.score(texts.buf[a:b], [table.symbols[x] for x in back])
+                out[own, i * GROUP : i * GROUP + per.shape[1]] += np.add.reduceat(per, heads, axis=0, dtype=np.float64)
+        return out
+
+
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where: Column | None = None, max_rows: int = 300, max_bytes: int = 1_000_000, order: int = 3) -> Model | None:
+    """where: condition for a row to be learned from. Two passes over the rows, however many languages there are."""
     rows = (docs.filter(where) if where is not None else docs).select(docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = rows.filter("lang is not null and text is not null and length(text) > 0")
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    if not langs:
-        return None
-    texts = {}
-    for lang in langs:
-        own = bounded_sample(rows.filter(F.col("lang") == lang), F.col("text"), max_rows).toArrow()
-        texts[lang] = texts_from(sorted(own.column("text").to_pylist()))
-    return Model(langs, texts, order)
+
+    def body(batches):
+        for batch in batches:
+            langs = np.array(batch.column(0).to_pylist(), object)
+            for lang in sorted(set(langs.tolist())):
+                grams, n = grams_of(texts_of(batch.column(1).filter(pa.array(langs == lang))), order)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+
+    sample = sampled_texts(rows, max_rows, max_bytes, ["lang"]).select("lang", "text")
+    counted = sample.mapInArrow(body, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()  # bounded by max_bytes for each language
+    langs = np.array(counted.column("lang").to_pylist(), object)
+    gram, n = counted.column("gram").to_numpy(), counted.column("n").to_numpy()
+    counts = {}
+    for lang in set(langs.tolist()):
+        own = np.flatnonzero(langs == lang)
+        own = own[np.argsort(gram[own])]
+        counts[lang] = (gram[own], n[own])
+    return Model(counts, order) if counts else None
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,14 +208,10 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
             n = len(text)
             names, score = np.full(n, "und", object), np.zeros(n)
             if own is not None:
-                whole = texts_of(text)
-                for a, b, part in chunks(whole, 1_000_000):
-                    ll = own.code(part) / np.sqrt(np.maximum(np.diff(part.off), 1))[:, None]
-                    best = ll.argmax(1)
-                    posterior = 1 / np.exp(ll - ll.max(1, keepdims=True)).sum(1)
-                    use = letters[a:b]
-                    names[a:b][use] = np.array(own.langs, object)[best[use]]
-                    score[a:b][use] = posterior[use]
+                ll = own.code(texts_of(text))
+                posterior = 1 / np.exp(ll - ll.max(1, keepdims=True)).sum(1)
+                names[letters] = np.array(own.langs, object)[ll.argmax(1)[letters]]
+                score[letters] = posterior[letters]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return rows.mapInArrow(body, "doc_id bigint, lang_pred string, score double")
