@@ -192,3 +192,10 @@ def repeats(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     again[order[:-1]] = same
     before[order[1:]] = same
     return again, before
+
+
+def split(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """(order by key, the keys that occur, the bounds of each in that order)."""
+    order = np.argsort(key, kind="stable")
+    some, first = np.unique(key[order], return_index=True)
+    return order, some, list(zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True)) if len(some) else []
