@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import bounded_sample, checkpointed, runs, shuffle_partitions
-from tamis.llm.words import LOWER, Texts, chunks, mix, texts_from, texts_of, trim, words_of
+from tamis.llm.common import checkpointed, partitions_for, runs, sampled_texts
+from tamis.llm.words import LOWER, Texts, chunks, mix, split, texts_from, texts_of, trim, words_of
 
 REST = 32
 DIM = 24
@@ -179,25 +179,23 @@ def _send_words(buckets: int):
             train.append(np.repeat(flags[a:b], np.diff(off)))
         uniq, inverse = np.unique(np.concatenate(hs), return_inverse=True)
         n = np.bincount(inverse, np.concatenate(train)).astype(np.uint64)
-        order, cut = _by_bucket(uniq, buckets)
-        some = np.flatnonzero(np.diff(cut))
+        order, some, cut = _by_bucket(uniq, buckets)
         uniq, n = uniq[order], n[order]
         return pa.table(
             {
                 "bucket": pa.array(some, pa.int64()),
                 "block": pa.array(np.full(len(some), key[0].as_py()), pa.int64()),
-                "h": pa.array([uniq[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()),
-                "n": pa.array([n[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()),
+                "h": pa.array([uniq[a:b].tobytes() for a, b in cut], pa.binary()),
+                "n": pa.array([n[a:b].tobytes() for a, b in cut], pa.binary()),
             }
         )
 
     return body
 
 
-def _by_bucket(uniq: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    bucket = (mix(uniq) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+def _by_bucket(uniq: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Order by bucket, the buckets that occur and the bounds of each: work in proportion to the words, not the buckets."""
+    return split((mix(uniq) % np.uint64(buckets)).astype(np.int64))
 
 
 TOP, CLASS = -1, -2  # in place of a block
@@ -280,10 +278,10 @@ def _score(shared, buckets: int):
         lens = np.concatenate([np.diff(o) for _, o in parts]) if parts else np.zeros(0, np.int64)
         off = np.concatenate([[0], np.cumsum(lens)])
         uniq, inverse = np.unique(h, return_inverse=True)
-        order, cut = _by_bucket(uniq, buckets)
-        count = np.zeros(len(uniq), np.int64)
+        order, some, cut = _by_bucket(uniq, buckets)
+        count, bounds = np.zeros(len(uniq), np.int64), dict(zip(some.tolist(), cut, strict=True))
         for b, raw in zip(answers.column("a").to_pylist(), answers.column("counts").to_pylist(), strict=True):
-            count[order[cut[b] : cut[b + 1]]] = np.frombuffer(raw, np.int64)
+            count[order[slice(*bounds[b])]] = np.frombuffer(raw, np.int64)
         c = count[inverse]
         base = np.log10((c + 1.0) / (model.tokens + model.distinct + 1.0))
         own = model.logp(h, off, c) / math.log(10)
@@ -303,14 +301,15 @@ def _score(shared, buckets: int):
     return body
 
 
-def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", top: int = 512, warm_docs: int = 1500) -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", top: int = 512, warm_docs: int = 1500, warm_bytes: int = 6_000_000) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score), log10; train: condition over the column doc_id."""
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
     plain = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     total = plain.select(F.sum(F.octet_length("text").cast("bigint")).alias("n")).first()["n"] or 0
+    parts = partitions_for(spark, total)
     blocks, buckets = max(1, -(-total // BLOCK_BYTES)), max(1, total // 4_000_000)
-    rows = plain.withColumn("train", train.cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).repartition(parts, "block")
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))  # rows of null or repeated ids are spread by their texts
+    rows = plain.withColumn("train", train.cast("int")).withColumn("block", block).repartition(parts, "block")
     by_block = rows.groupBy("block")
     sent = by_block.applyInArrow(_send_words(buckets), "bucket bigint, block bigint, h binary, n binary")
     counted = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count_words(top), "block bigint, a bigint, b bigint, c bigint, counts binary")
@@ -338,7 +337,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
 
     learned = plain.filter(train)
     if tokens:
-        warm = texts_from(sorted(r["text"] for r in bounded_sample(learned.select("text"), F.col("text"), warm_docs).collect()))
+        warm = texts_from(sorted(r["text"] for r in sampled_texts(learned.select("text"), warm_docs, warm_bytes).collect()))
         trainer = Trainer(model, rate=0.15, seed=4)
         for _ in range(3):
             for _, _, part in chunks(warm, 1_000_000):

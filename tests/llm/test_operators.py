@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("tamis.llm")
 
 from tamis.llm import automaton, crf, decontam, entry, forest, ftrl, lbl, lpf, mixing, ppm, secrets, shards  # noqa: E402
-from tamis.llm.common import components  # noqa: E402
+from tamis.llm.common import bounded_sample, components, sampled_texts  # noqa: E402
 from tamis.llm.words import texts_from, windows, words_of  # noqa: E402
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, key string, block int, cell int, `h` string, label int, kept boolean"
@@ -196,25 +197,43 @@ def test_decontamination(spark, odd, empty):
 # --- op3 --------------------------------------------------------------------------------------------------------
 
 
-def test_ppm_distributions():
-    texts = {"a": texts_from(["abracadabra abracadabra", "cab"]), "b": texts_from(["zebra zoo zebra", "bzz"])}
-    m = ppm.Model(["a", "b"], texts, order=3)
-    total = np.exp(m.logp.astype(float))
-    assert np.allclose(total[:, :-1].sum(1) + total[:, -1], 1, atol=1e-5)  # every context's shares sum to 1
-    text = "abra zebra"
-    code = m.code(texts_from([text, ""]))
-    assert code[1].tolist() == [0.0, 0.0] and code[0, 0] != code[0, 1]
-    # the same text byte by byte, with a context looked up the slow way
-    context = [m.symbols[ppm.START]] * 3
-    slow = np.zeros(2)
-    for c in text.encode():
-        s = m.symbols[c]
-        index = 0
-        for x in context:
-            index = index * m.width + x
-        slow += m.logp[m.place[index], s]
-        context = [*context[1:], s]
-    assert np.allclose(code[0], slow, atol=1e-4)
+class PlainPpm:
+    """Prediction by partial matching straight from its definition, by dictionaries."""
+
+    def __init__(self, texts, order):
+        self.order, self.seen = order, defaultdict(Counter)
+        for t in texts:
+            t = b" " * order + t.encode()
+            for i in range(order, len(t)):
+                for k in range(order + 1):
+                    self.seen[t[i - k : i]][t[i]] += 1
+
+    def distribution(self, context):
+        own = self.seen.get(context)
+        lower_p = self.distribution(context[1:]) if context else [1 / 256] * 256
+        if not own:
+            return lower_p
+        total, kinds = sum(own.values()), len(own)
+        left = sum(p for b, p in enumerate(lower_p) if b not in own)
+        return [own[b] / (total + kinds) if b in own else kinds / (total + kinds) * p / left for b, p in enumerate(lower_p)]
+
+    def code(self, text):
+        t = b" " * self.order + text.encode()
+        return sum(math.log(self.distribution(t[i - self.order : i])[t[i]]) for i in range(self.order, len(t)))
+
+
+def test_ppm_against_plain(monkeypatch):
+    texts = {"a": ["abracadabra Abracadabra", "cab"], "b": ["zebra zoo zebra", "bzz"], "c": ["één über naïve"]}
+    want = {k: PlainPpm(v, 3) for k, v in texts.items()}
+    for context in (b"abr", b"   ", b"zzz", b"\xc3\xa9\xc3"):
+        assert sum(want["a"].distribution(context)) == pytest.approx(1)
+    asked = ["abra zebra", "", "Über zoo", "日本 cab", "abracadabra " * 5]
+    for group, piece in ((16, 1_000_000), (2, 7)):
+        monkeypatch.setattr(ppm, "GROUP", group)
+        monkeypatch.setattr(ppm, "PIECE", piece)
+        m = ppm.Model({k: ppm.grams_of(texts_from(v), 3) for k, v in texts.items()}, 3)
+        got = m.code(texts_from(asked))
+        assert np.allclose(got, [[want[k].code(t) for k in m.langs] for t in asked], atol=1e-3)
 
 
 def test_language(spark, odd, empty):
@@ -227,6 +246,26 @@ def test_language(spark, odd, empty):
     assert ppm.fit(empty) is None and {r["lang_pred"] for r in ppm.predict(odd, None).collect()} == {"und"} and ppm.predict(empty, model).count() == 0
 
 
+def test_language_of_repeated_texts(spark):
+    texts = {"en": "the quick brown fox and the lazy dog", "de": "der schnelle braune Fuchs und der faule Hund", "fr": "le renard brun et le chien paresseux"}
+    rows = spark.range(6000).selectExpr("id as doc_id", "element_at(array('en', 'de', 'fr'), cast(case when id < 10 then 2 else id % 2 end as int) + 1) as lang")
+    rows = rows.join(spark.createDataFrame(list(texts.items()), "lang string, text string"), "lang").repartition(4)
+    got = ppm.predict(rows, ppm.fit(rows)).join(rows.select("doc_id", "lang"), "doc_id")
+    assert got.filter("lang_pred <> lang").count() == 0 and got.count() == 6000
+
+
+def test_samples(spark):
+    one = spark.range(5000).selectExpr("'one text' as text", "id")
+    assert [r["text"] for r in sampled_texts(one.select("text"), 100, 10_000).collect()] == ["one text"]
+    many = spark.range(3000).selectExpr("'k' || id % 3 as k", "'text ' || (id % 1500) as text")
+    got = sampled_texts(many, 100, 10_000_000, ["k"]).collect()
+    assert Counter(r["k"] for r in got) == {"k0": 100, "k1": 100, "k2": 100} and len({tuple(r) for r in got}) == 300
+    few = sampled_texts(many, 100, 50, ["k"]).collect()
+    assert set(Counter(r["k"] for r in few)) == {"k0", "k1", "k2"} and all(n <= 8 for n in Counter(r["k"] for r in few).values())
+    assert sampled_texts(many, 100, 2, ["k"]).count() == 3  # the shortest, where none fits
+    assert bounded_sample(many.select("text").distinct(), F.col("text"), 2000).count() == 1500
+
+
 # --- op4 --------------------------------------------------------------------------------------------------------
 
 
@@ -263,16 +302,50 @@ def test_removal_of_odd_rows(spark, odd, empty):
     got = removal(odd)
     assert len(got) == odd.count() and all(tuple(r)[1:] == want[r["doc_id"]] for r in got)
     assert removal(empty) == []
+    # rows without an id, and two texts under one id: each is a document of its own, in some fixed order
+    plain = [PROSE * 3 + "a", PROSE * 3 + "b", None, "z" * 250, PROSE * 4]
+    more = [(None, x) for x in plain[:3]] + [(7, plain[3]), (7, plain[4]), (7, plain[4])]
+    got = Counter(tuple(r)[1:] for r in removal(spark.createDataFrame(more, "doc_id bigint, text string").repartition(3)))
+    options = []
+    for swap in (False, True):
+        ids = [1, 0, 2, 3, 4] if swap else [0, 1, 2, 3, 4]
+        want = brute_removal(list(zip(ids, plain, strict=True)), 100)
+        options.append(Counter([want[i] for i in ids] + [want[4]]))
+    assert got in options
+
+
+def brute_factors(buf, position, starts, length):
+    out = []
+    for i, p in zip(starts, position, strict=True):
+        best = 0
+        for j, q in zip(starts, position, strict=True):
+            if q < p:
+                n = 0
+                while n < length and buf[i + n] == buf[j + n]:
+                    n += 1
+                best = max(best, n)
+        out.append(best)
+    return out
 
 
-def test_factors():
-    rng = np.random.default_rng(1)
-    buf = rng.integers(97, 99, 400).astype(np.uint8)
-    rank = lpf.suffix_ranks(buf, 12)[: 400 - 12 + 1]
-    strings = [buf[i : i + 12].tobytes() for i in range(len(rank))]
+@pytest.mark.parametrize(("letters", "length"), [(2, 12), (3, 30), (1, 20), (2, 100)])
+def test_factors(letters, length):
+    rng = np.random.default_rng(letters)
+    buf = rng.integers(97, 97 + letters, 300).astype(np.uint8)
+    buf[150:250] = buf[20:120]
+    starts = np.arange(300 - length + 1)
+    rank = dict(lpf.suffix_ranks(buf, length))[length][starts]
+    strings = [buf[i : i + length].tobytes() for i in starts]
     assert np.argsort(rank, kind="stable").tolist() == sorted(range(len(rank)), key=lambda i: (strings[i], i))
-    want = [strings[i] in strings[:i] for i in range(len(rank))]
-    assert lpf.has_previous(rank, np.arange(len(rank))).tolist() == want
+    for position in (starts, rng.permutation(len(starts)), rng.integers(0, 50, len(starts))):  # in order, any order, with ties
+        assert lpf.factors(buf, starts, position, length).tolist() == brute_factors(buf, position, starts, length)
+
+
+def test_previous_smaller():
+    rng = np.random.default_rng(0)
+    for values in (rng.integers(0, 20, 200), np.arange(100), np.arange(100)[::-1], np.zeros(50, int), np.zeros(0, int)):
+        want = [max((j for j in range(i) if values[j] < values[i]), default=-1) for i in range(len(values))]
+        assert lpf.previous_smaller(values).tolist() == want
 
 
 # --- op5 --------------------------------------------------------------------------------------------------------
@@ -453,6 +526,57 @@ def test_classes_of_odd_rows(spark, odd, empty):
     assert all((r["n_shingles"], r["component_id"]) == want[r["doc_id"]] for r in got if r["doc_id"] is not None)
     assert [r["kept"] for r in got if r["doc_id"] is None] == [True]
     assert forest.near_duplicates(empty).count() == 0
+    # two texts under one id are one node, and their links meet in it
+    other = " ".join(f"o{i}" for i in range(40))
+    rows = [(5, PROSE * 2 + "one two three"), (5, other), (8, PROSE * 2 + "one two three"), (9, other), (10, "alone here")]
+    got = forest.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 4).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(5, 5), (5, 5), (8, 5), (9, 5), (10, 10)]
+
+
+def test_regions():
+    rng = np.random.default_rng(6)
+    rows = np.sort(rng.integers(0, 3, (400, 8)).view([("", np.int64)] * 8).reshape(-1)).view(np.int64).reshape(-1, 8).astype(np.uint64)
+    pack = lambda x: reduce(lambda a, j: a << np.uint64(16) | x[:, j], range(4), np.zeros(len(x), np.uint64))
+    tree = np.repeat([1, 2], 200)
+    shared = forest.common_depth(tree, pack(rows[:, :4]).view(np.int64), pack(rows[:, 4:]).view(np.int64))
+    equal = lambda i, j: next((k for k in range(8) if rows[i, k] != rows[j, k]), 8)
+    assert shared.tolist() == [0 if i in (0, 200) else equal(i - 1, i) for i in range(400)]
+    region, crowded = forest.regions(shared, 3)
+    for i in range(400):
+        at = lambda d: {j for j in range(400) if tree[j] == tree[i] and equal(i, j) >= d}  # noqa: B023, E731
+        depth = next((d for d in range(forest.DEPTH, 9) if len(at(d)) <= 3), None)
+        assert crowded[i] == (depth is None) and set(np.flatnonzero(region == region[i])) == at(depth or 8)
+
+
+def test_forest_recall(spark):
+    """Links between different texts that stand in one candidate group, against all pairs."""
+    rows = near_copies(400, seed=11)
+    ids, texts = [d for d, _ in rows], texts_from([x for _, x in rows])
+    h, off = forest.shingles_of(texts, 4)
+    sets = [frozenset(h[off[i] : off[i + 1]].tolist()) for i in range(len(ids))]
+    links = [(a, b) for a in range(len(ids)) for b in range(a) if sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    sig = spark.createDataFrame([(d, s.astype("<u2").tobytes()) for d, s in zip(ids, forest.signatures(h, off) & 0xFFFF, strict=True)], "doc_id bigint, sig binary")
+    part = {r["node"]: r["component"] for r in components(forest.candidate_edges(sig)).collect()}
+    assert len(links) > 1000 and sum(part.get(a, -1) == part.get(b, -2) for a, b in links) == len(links)
+
+
+def test_large_groups(spark, monkeypatch):
+    """A star of copies around an original, many blocks wide, and a second centre: exact, and no task of all pairs."""
+    monkeypatch.setattr(forest, "BLOCK", 32)
+    monkeypatch.setattr(forest, "WINDOW", 8)
+    rng = np.random.default_rng(9)
+    rows = []
+    for g in range(2):
+        base = [f"g{g}w{i}" for i in range(150)] if g == 0 else rows[0][1].split()[:135] + [f"x{i}" for i in range(15)]
+        rows.append((1000 * g, " ".join(base)))
+        for d in range(1, 200):
+            w = list(base)
+            for k in rng.choice(140, 2 + d % 3, replace=False):
+                w[k] = f"e{d}_{k}"
+            rows.append((1000 * g + d, " ".join(w)))
+    want = brute_classes(rows, 4)
+    got = forest.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), 4).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
 def test_components(spark):
