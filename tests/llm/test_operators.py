@@ -417,6 +417,8 @@ def test_mixing(spark, documents, labels, odd, empty):
         for k, p in r["posterior"].items():
             got[k] += r["rate"] * r["n_tokens"] * p
     assert got["low"] / sum(got.values()) == pytest.approx(0.03, abs=1e-4) and len(rows) == documents.count()
+    n = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in documents.collect()}
+    assert all(r["n_tokens"] == n[r["doc_id"]] for r in rows) and len({r["posterior"]["low"] for r in rows}) > 100
     quality = {r["doc_id"]: r["domain"] for r in domains.collect()}
     rate = defaultdict(list)
     for r in rows:
@@ -425,7 +427,29 @@ def test_mixing(spark, documents, labels, odd, empty):
     assert np.mean(rate["high"]) > 0.95 and np.mean(rate["low"]) < 0.5
     assert {r["rate"] for r in mixing.mix(odd, domains.limit(0), {"high": 1.0}).collect()} == {1.0}
     assert mixing.mix(odd, domains, {"high": 0.5, "low": 0.5}).count() == odd.count() and mixing.mix(empty, domains, {"high": 1.0}).count() == 0
-    assert mixing.thin(odd, domains, entry.MIX).columns == odd.columns
+    clash = odd.selectExpr("*", "1 as n_tokens", "2 as rate", "3 as id", "4 as `row`", "5 as p", "6 as __n")
+    kept = mixing.thin(clash, domains, entry.MIX)
+    assert kept.columns == clash.columns and kept.count() <= clash.count()
+
+
+def test_mixing_rates_against_plain(spark):
+    """The same least squares by plain projected gradient, and its optimality: no descent direction is left."""
+    rng = np.random.default_rng(8)
+    p = rng.dirichlet([0.5, 0.5, 0.5], 200)
+    n = rng.integers(0, 500, 200)
+    weights = {"a": 0.5, "b": 0.3, "c": 0.2}
+    rows = spark.createDataFrame([(int(i), int(n[i]), p[i].tolist()) for i in range(200)], "doc_id bigint, n_tokens bigint, p array<double>").repartition(4)
+    moves = mixing.fit_steps(rows, ["a", "b", "c"], weights)
+    got = {r["doc_id"]: r["r"] for r in rows.select("doc_id", mixing.rate_of(F.col("p"), moves).alias("r")).collect()}
+    r = np.array([got[i] for i in range(200)])
+    have = (n[:, None] * p).sum(0)
+    target = np.array(list(weights.values())) * min(have / np.array(list(weights.values())))
+    assert (r >= 0).all() and np.allclose((r * n) @ p, target, atol=1e-4 * target.sum())
+    plain, moment = np.ones(200), (n[:, None, None] * p[:, :, None] * p[:, None, :]).sum(0)
+    eta = 1 / np.abs(np.linalg.eigvals(moment / np.diag(moment))).max()
+    for _ in moves:
+        plain = np.maximum(0, plain - eta * p @ (((plain * n) @ p - target) / np.diag(moment)))
+    assert np.allclose(plain, r, atol=1e-9)
 
 
 # --- op8 --------------------------------------------------------------------------------------------------------
