@@ -1,21 +1,31 @@
-"""Benchmark decontamination: n-gram seeds join passages to test items, local alignment scores them.
-
-Words are runs of letters and digits, lower-cased.  All n-grams of an item are its seeds, however many documents
-hold them; an item shorter than n words is one seed.  Documents are joined with the items on seeds; the seeds of
-one item that lie on nearby diagonals of a document make one passage.  A passage is left out unaligned only where
-no alignment can reach the threshold: a matched word of the document is a word of the item and adds 2, any other
-word inside the alignment costs 1, so the best run of such sums bounds the score.  Smith-Waterman alignment over words (match 2, other -1) between the item and the passage,
-widened by SLACK words, gives the score: the best local score over that of the item with itself.  1 is a copy; an edited copy
-loses 1.5 words for each changed word.  Pairs from `threshold` on are reported.
-
-The items' seeds are shared by broadcast, in slices of at most MAX_GRAMS n-grams (a pass over the documents for
-each slice), so its size is bounded.  Null and empty texts or items match nothing, repeated items give repeated
-pairs, repeated documents are matched one by one, null ids are carried, extra columns are ignored, empty tables
-give empty results.
+"""Benchmark decontamination: rare n-gram seeds join passages to test items, local alignment scores them.
+
+Words are runs of letters and digits, lower-cased.  The n-grams of an item are its seeds; an item shorter than n
+words is one seed.  A seed is rare if it stands in few different surroundings (the word before and the word after)
+over all documents: copies of one passage count once, however many documents hold it, so a leaked passage never
+makes its own seeds common.  Documents are joined with the items on seeds.  Seeds of one item on diagonals of a
+document that one alignment could still connect make one passage; it goes on if it holds a rare seed, or two
+different seeds.  What is left out holds a single common seed.  A passage is also left out where no alignment can
+reach the threshold: a matched word of the document is a word of the item and adds 2, any other word inside the
+alignment costs 1, so the best run of such sums bounds the score.
+
+Smith-Waterman alignment over words (match 2, other -1) between the item and the passage, widened by SLACK words,
+gives the score: the best local score over that of the item with itself, of STRETCH words of it for a longer item,
+so that a long stretch of a long item counts as a copy; 1 at most.  An edited copy loses 1.5 words for each changed
+word.  Pairs from `threshold` on are reported.
+
+The items are broadcast in slices of at most MAX_GRAMS n-grams.  One slice meets the documents directly.  Of several
+slices a bitmap of all seeds (BITMAP bits, whatever the benchmark) first picks the documents that hold any, in one
+pass; these few are written to the checkpoint folder and meet one slice after the other, each freed after its use.
+
+Null and empty texts or items match nothing, repeated items give repeated pairs, repeated documents are matched one
+by one, ties go to the first place, null ids are carried, extra columns are ignored, empty tables give empty
+results.  Texts are handled whole: a task holds a batch of rows at some thirty times its size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -24,13 +34,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamis.llm.common import checkpointed
 from tamis.llm.words import Texts, chunks, mix, texts_from, texts_of, words_of
 
 N = 3
 SLACK = 8
 MAX_GRAMS = 2_000_000
+BITMAP = 1 << 26
 PAIRS = 1_000_000  # postings, and words of passages, held at once
+STRETCH = 100
 THRESHOLD = 0.5
+RARE, SHARE = 50, 20_000  # a seed is rare in up to RARE surroundings, or one for SHARE documents if that is more
 
 
 def _grams(hash_: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,9 +76,16 @@ class Items:
     item: np.ndarray
     offset: np.ndarray
     member: np.ndarray  # keys of (item, word), sorted
+    rare: np.ndarray  # of each posting
+
+    @property
+    def whole(self) -> np.ndarray:
+        """Words whose full match is a score of 1, for each item."""
+        return np.minimum(np.diff(self.first), STRETCH)
 
     @staticmethod
-    def of(rows: list[tuple]) -> Items:
+    def of(rows: list[tuple], common: np.ndarray) -> Items:
+        """rows: (id, text); common: the sorted hashes of common grams."""
         w = words_of(texts_from([t for _, t in rows]), alnum=True)
         at, h = _grams(w.hash, w.doc)
         item, offset = w.doc[at], at - w.first[w.doc[at]]
@@ -73,7 +94,7 @@ class Items:
         gram = np.concatenate([h, mix(w.hash[w.first[short]])])
         item, offset = np.concatenate([item, short]), np.concatenate([offset, np.zeros(len(short), np.int64)])
         order = np.argsort(gram, kind="stable")
-        return Items([i for i, _ in rows], w.hash, w.first, gram[order], item[order], offset[order], np.unique(_member(w.hash, w.doc)))
+        return Items([i for i, _ in rows], w.hash, w.first, gram[order], item[order], offset[order], np.unique(_member(w.hash, w.doc)), ~_lookup(common, gram[order]))
 
 
 def _doc_grams(part: Texts):
@@ -147,7 +168,7 @@ def _bound(items: Items, item: np.ndarray, words: np.ndarray, begin: np.ndarray,
 
 
 def _hits(w, at: np.ndarray, h: np.ndarray, items: Items):
-    """(place, item, diagonal) of all seeds, some whole documents at a time, sorted by document, item, diagonal."""
+    """(place, item, diagonal, rare) of all seeds, some whole documents at a time, sorted by document, item, diagonal."""
     lo, hi = np.searchsorted(items.gram, h, "left"), np.searchsorted(items.gram, h, "right")
     ends = np.cumsum(hi - lo)
     heads = np.flatnonzero(np.concatenate([[True], w.doc[at[1:]] != w.doc[at[:-1]]]))
@@ -163,7 +184,7 @@ def _hits(w, at: np.ndarray, h: np.ndarray, items: Items):
         post = np.repeat(lo[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         item, diagonal = items.item[post], place - items.offset[post]
         order = np.lexsort((diagonal, item, w.doc[place]))
-        yield place[order], item[order], diagonal[order]
+        yield place[order], item[order], diagonal[order], items.rare[post[order]]
 
 
 def _find(part: Texts, items: Items, threshold: float):
@@ -179,16 +200,21 @@ def _find(part: Texts, items: Items, threshold: float):
     return [x for found in _hits(w, at[order], h[order], items) for x in _passages(w, items, threshold, *found)]
 
 
-def _passages(w, items: Items, threshold: float, place: np.ndarray, item: np.ndarray, diagonal: np.ndarray):
-    doc = w.doc[place]
-    cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > SLACK)]))
+def _passages(w, items: Items, threshold: float, place: np.ndarray, item: np.ndarray, diagonal: np.ndarray, rare: np.ndarray):
+    doc, length, needed = w.doc[place], np.diff(items.first), threshold * 2.0 * items.whole
+    # a gap that costs more than the item can spare is in no alignment that counts
+    spare = np.maximum(2 * length - needed, SLACK)
+    cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > spare[item[1:]])]))
     last = np.append(cut[1:], len(place)) - 1
+    offset = place - diagonal
+    enough = np.logical_or.reduceat(rare, cut) | (np.minimum.reduceat(offset, cut) < np.maximum.reduceat(offset, cut))
+    cut, last = cut[enough], last[enough]
     doc, item, low, high = doc[cut], item[cut], diagonal[cut], diagonal[last]
-    length = np.diff(items.first)
     begin = np.maximum(low - SLACK, w.first[doc])
     stop = np.minimum(high + length[item] + SLACK, w.first[doc + 1])
-    keep = _bound(items, item, w.hash, begin, np.maximum(stop - begin, 1)) >= threshold * 2.0 * length[item]
-    doc, item, begin, stop = doc[keep], item[keep], begin[keep], stop[keep]
+    if len(doc):
+        keep = _bound(items, item, w.hash, begin, np.maximum(stop - begin, 1)) >= needed[item]
+        doc, item, begin, stop = doc[keep], item[keep], begin[keep], stop[keep]
     out = []
     size = np.maximum(stop - begin, 1)
     by_size = np.argsort(size * 1000 + length[item], kind="stable")
@@ -206,7 +232,7 @@ def _passages(w, items: Items, threshold: float, place: np.ndarray, item: np.nda
         grid = np.arange(k)
         dc = np.where(grid < size[own][:, None], w.hash[np.minimum(begin[own][:, None] + grid, len(w.hash) - 1)], np.uint64(2))
         best, s, e = align(it, length[item[own]], dc, size[own])
-        score = best / (2.0 * length[item[own]])
+        score = np.minimum(best / (2.0 * items.whole[item[own]]), 1.0)
         for x in np.flatnonzero(score >= threshold).tolist():
             d = int(doc[own[x]])
             base = int(begin[own[x]] - w.first[d])
@@ -214,8 +240,8 @@ def _passages(w, items: Items, threshold: float, place: np.ndarray, item: np.nda
     return out
 
 
-def item_slices(benchmark: DataFrame, id_col: str, text_col: str):
-    """Items in slices of at most MAX_GRAMS words, each a list of (id, text)."""
+def item_slices(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple]]:
+    """Items in slices of at most MAX_GRAMS words, each a list of (id, text); one slice is held at a time."""
     rows, grams = [], 0
     for r in benchmark.select(benchmark[id_col].alias("i"), benchmark[text_col].alias("t")).filter("t is not null").orderBy("i", "t").toLocalIterator():
         rows.append((r["i"], r["t"]))
@@ -227,14 +253,82 @@ def item_slices(benchmark: DataFrame, id_col: str, text_col: str):
         yield rows
 
 
+@dataclass
+class Seeds:
+    """Which hashes may be seeds of some item: a bitmap, and whether there is more than one slice of items."""
+
+    bits: np.ndarray
+    several: bool
+
+    @staticmethod
+    def of(slices: Iterator[list[tuple]]) -> Seeds:
+        bits, n = np.zeros(BITMAP // 8, np.uint8), 0
+        for rows in slices:
+            n += 1
+            at = (Items.of(rows, np.zeros(0, np.uint64)).gram % np.uint64(BITMAP)).astype(np.int64)
+            np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        return Seeds(bits, n > 1)
+
+    def hold(self, h: np.ndarray) -> np.ndarray:
+        at = (h % np.uint64(BITMAP)).astype(np.int64)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def common_grams(texts: DataFrame, seeds: Seeds) -> np.ndarray:
+    """Sorted hashes of the seeds that are not rare: counts of distinct surroundings over all documents. texts: (text)."""
+    limit = max(RARE, texts.count() // SHARE)
+    shared = texts.sparkSession.sparkContext.broadcast(seeds)
+
+    def body(batches):
+        own = shared.value
+        for batch in batches:
+            for _, _, part in chunks(texts_of(batch.column(0))):
+                w, at, h = _doc_grams(part)
+                hit = own.hold(h)
+                at, h = at[hit], h[hit]
+                if not len(at):
+                    continue
+                inside = lambda i: np.where((i >= w.first[w.doc[at]]) & (i < w.first[w.doc[at] + 1]), w.hash[np.clip(i, 0, len(w.hash) - 1)], np.uint64(0))  # noqa: B023, E731
+                with np.errstate(over="ignore"):
+                    around = mix(inside(at - 1) * np.uint64(3) + inside(at + N))
+                order = np.lexsort((around, h))
+                h, around = h[order], around[order]
+                fresh = np.ones(len(h), bool)
+                fresh[1:] = (h[1:] != h[:-1]) | (around[1:] != around[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(h[fresh].view(np.int64)), pa.array(around[fresh].view(np.int64))], ["gram", "around"])
+
+    found = texts.mapInArrow(body, "gram bigint, around bigint").distinct().groupBy("gram").count().filter(F.col("count") > limit).select("gram")
+    return np.sort(found.toArrow().column("gram").to_numpy().view(np.uint64))  # some of the benchmark's n-grams
+
+
+def _with_seeds(docs: DataFrame, at: int, seeds: Seeds, want: bool) -> DataFrame:
+    """Rows of docs that may hold a seed (or may not)."""
+    shared = docs.sparkSession.sparkContext.broadcast(seeds)
+
+    def body(batches):
+        own = shared.value
+        for batch in batches:
+            hit = np.zeros(batch.num_rows, bool)
+            for a, _, part in chunks(texts_of(batch.column(at))):
+                w, place, h = _doc_grams(part)
+                hit[a + np.concatenate([w.doc[place[own.hold(h)]], w.doc[own.hold(mix(w.hash))]])] = True
+            yield batch.filter(pa.array(hit == want))
+
+    return docs.mapInArrow(body, docs.schema)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word) of every passage that scores the threshold."""
     spark = docs.sparkSession
     schema = "doc_id bigint, item_id bigint, score double, start_word bigint, end_word bigint"
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
+    seeds = Seeds.of(item_slices(benchmark, item_id_col, item_text_col))
+    common = common_grams(rows.select("text"), seeds)
+    if seeds.several:
+        rows = checkpointed(_with_seeds(rows, 1, seeds, True))
     parts = []
     for piece in item_slices(benchmark, item_id_col, item_text_col):
-        shared = spark.sparkContext.broadcast(Items.of(piece))
+        shared = spark.sparkContext.broadcast(Items.of(piece, common))
 
         def body(batches, shared=shared):
             items = shared.value
@@ -248,15 +342,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
                             ["doc_id", "item_id", "score", "start_word", "end_word"],
                         )
 
-        parts.append(rows.mapInArrow(body, schema))
+        part = rows.mapInArrow(body, schema)
+        if seeds.several:
+            part = checkpointed(part)
+            shared.destroy()
+        parts.append(part)
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that hold no passage of the benchmark."""
     at = docs.columns.index(text_col)
+    seeds = Seeds.of(item_slices(benchmark, item_id_col, item_text_col))
+    common = common_grams(docs.select(docs[text_col].alias("text")), seeds)
+    clear = _with_seeds(docs, at, seeds, False) if seeds.several else None
+    if seeds.several:
+        docs = checkpointed(_with_seeds(docs, at, seeds, True))
     for piece in item_slices(benchmark, item_id_col, item_text_col):
-        shared = docs.sparkSession.sparkContext.broadcast(Items.of(piece))
+        shared = docs.sparkSession.sparkContext.broadcast(Items.of(piece, common))
 
         def body(batches, shared=shared):
             items = shared.value
@@ -267,4 +370,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(body, docs.schema)
-    return docs
+        if seeds.several:
+            docs = checkpointed(docs)
+            shared.destroy()
+    return docs if clear is None else clear.unionByName(docs)
