@@ -133,7 +133,8 @@ SHARDS_SQL = (
     f"with t as (select {_crc_table()} as t), d as ({_bytes_sql()}), c as (select doc_id, (length(h) // 2 + 8)::bigint as size, "
     "xor(list_reduce(list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::bigint), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295::bigint), 4294967295::bigint) as text_crc32 from d, t), "
     "o as (select *, row_number() over w - 1 as r, 2 * sum(size) over w - size as mid, sum(size) over () as total from c window w as (order by text_crc32, doc_id nulls first, size rows unbounded preceding)), "
-    "s as (select *, least(23, (mid * 24) // (2 * total))::int as shard from o) "
+    "g as (select *, sum(size) over q as bytes, min((mid - size) // 2) over q as first from o window q as (partition by text_crc32)), "
+    "s as (select *, least(23, (case when bytes * 24 <= total then 2 * first + bytes else mid end * 24) // (2 * total))::int as shard from g) "
     "select doc_id, size, text_crc32, 'bytes' as law, shard, (r - min(r) over (partition by shard))::bigint as slot, null::int as grown_shard from s"
 )
 
