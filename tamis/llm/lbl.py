@@ -1,26 +1,31 @@
 """Log-bilinear language model, trained in numpy with noise-contrastive estimation.
 
-Tokens are lower-cased words and one end for each text.  Classes: the `top` most frequent words, the end, and
-REST classes for all other words by the ending of the word.  With context classes c1 c2 (ends before the first
-word) the model is  P(k | c1, c2) = softmax_k(R_k . (A_c1 + B_c2) + b_k)  over all classes; a word w of a rest
-class has P(w) = P(class) * (c(w) + 1) / (N_class + V_class + 1), so the distribution over words, with one
-share for those never seen, sums to 1.  Scoring normalises by batched matrix products over distinct contexts.
+Tokens are lower-cased words and one end for each text.  The modelled vocabulary grows with the corpus: its most
+frequent words, the root of the corpus size in number (`vocabulary_size`).  They are dealt into classes of like
+frequency; the end is a class of its own, and all other words fall into REST classes by the ending of the word.
+With the two tokens before, c1 and c2 (ends before the first word), and q = A_c1 + B_c2, the model is
+P(class) = softmax(R . q + b) over all classes times, in a class of words, P(word | class) = softmax(S . q + d) over
+the words of the class; a word w of a rest class has (c(w) + 1) / (N_class + V_class + 1) instead.  So the
+distribution over words, with one share for those never seen in each rest class, sums to 1, and normalising costs
+about twice the root of the vocabulary.  Scoring works in batched matrix products over distinct contexts, and over
+the tokens of each class.
 
 Corpus counts c(w), N, V cover every training text: blocks of documents send their distinct words with counts
 to buckets by hash, and get back the totals of their own words, so no vocabulary is ever gathered in one
-place.  Word identity is a 59-bit hash.  Training: a warm start on a bounded sample (`warm_docs` texts, chosen
-by hash), then one pass over all training texts, each partition on its own, and the weighted mean of their
-parameters (summed in two levels).  The noise distribution is the class unigram of the whole corpus.
+place.  Word identity is a 59-bit hash.  Training: a warm start on a bounded sample (`warm_docs` distinct texts and
+`warm_bytes` bytes, chosen by hash), then one pass over all training texts, each partition on its own, and the
+weighted mean of their parameters (summed in levels).  Noise comes from the unigrams of the whole corpus: over
+classes, shared by a batch, and over the words of the target's class.
 
 Null texts are empty and have one token, the end.  Without training texts all counts are 0 and the model is
-uniform over classes.  Repeated rows count and are scored one by one; a null id is not held out.  Extra columns
-are ignored; an empty table gives an empty result.
+uniform over classes.  Repeated rows count and are scored one by one; a null id is not held out; ties in frequency go
+by hash.  Texts are handled whole: a task holds a block of about BLOCK_BYTES, or one longer text, at some twenty
+times its size.  Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +39,11 @@ from tamis.llm.words import LOWER, Texts, chunks, mix, split, texts_from, texts_
 REST = 32
 DIM = 24
 NOISE = 32
+NOISE_IN_CLASS = 4
+MAX_VOCABULARY = 65_536  # of the broadcast model: 19 MB of parameters
 BATCH = 2048
+SCALE = 0.25  # of the summed gradient of a batch
+RATES = (0.15, 0.08)  # of the warm start, of the pass over all texts
 BLOCK_BYTES = 3_000_000
 END = np.uint64(0xE14D3A5C77B20FC0)  # its last five bits are 0
 
@@ -52,36 +61,67 @@ def tokens_of(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return out, off
 
 
-@dataclass
+def vocabulary_size(n_bytes: int) -> int:
+    """Words that get parameters of their own: the root of the (estimated) number of tokens."""
+    return min(MAX_VOCABULARY, max(512, math.isqrt(n_bytes // 6)))
+
+
+def _sum_exp(logits: np.ndarray) -> np.ndarray:
+    top = logits.max(1)
+    logits -= top[:, None]
+    return top + np.log(np.exp(logits, out=logits).sum(1))
+
+
 class Model:
-    top: np.ndarray  # hashes of the frequent words, sorted
-    noise: np.ndarray  # share of each class
-    rest_n: np.ndarray
-    rest_v: np.ndarray
-    tokens: int
-    distinct: int
-    theta: list[np.ndarray]  # A, B, R, b
-
-    @property
-    def classes(self) -> int:
-        return len(self.top) + 1 + REST
-
-    def classify(self, h: np.ndarray) -> np.ndarray:
-        """Class of every token: 0.. frequent words, then the end, then the rest classes."""
-        k = len(self.top)
+    """words: hashes of the vocabulary, the words of a class together; theta: A, B, R, b, S, d."""
+
+    def __init__(self, words: np.ndarray, freq: np.ndarray, ends: int, rest_n: np.ndarray, rest_v: np.ndarray, tokens: int, distinct: int):
+        self.rest_n, self.rest_v, self.tokens, self.distinct = rest_n, rest_v, tokens, distinct
+        order = np.lexsort((words, -freq))
+        root = np.sqrt(freq[order])
+        self.n_classes = math.isqrt(len(words)) if len(words) else 0
+        cls = np.minimum(((np.cumsum(root) - root) / max(root.sum(), 1e-9) * self.n_classes).astype(np.int64), self.n_classes - 1) if len(words) else np.zeros(0, np.int64)
+        cls = np.unique(cls, return_inverse=True)[1] if len(words) else cls
+        self.n_classes = int(cls.max()) + 1 if len(words) else 0
+        self.words, self.cls, freq = words[order], cls, freq[order]
+        self.start = np.searchsorted(cls, np.arange(self.n_classes + 1))
+        self.by_hash = np.argsort(self.words)
+        self.sorted = self.words[self.by_hash]
+        in_class = np.bincount(cls, freq, self.n_classes)
+        self.share = freq / in_class[cls] if len(words) else freq
+        every = np.concatenate([in_class, [ends], rest_n]) + 1.0
+        self.noise = every / every.sum()
+        # noise within classes: class k lies between k and k + 1
+        upto = np.cumsum(self.share)
+        self.within = self.cls + (upto - np.concatenate([[0], upto])[self.start[:-1]][cls]) if len(words) else upto
+        rng = np.random.default_rng(3)
+        v, k = len(words) + 1 + REST, len(self.noise)
+        draw = lambda n: (rng.standard_normal((n, DIM)) * 0.1).astype(np.float32)
+        self.theta = [draw(v), draw(v), draw(k), np.log(self.noise).astype(np.float32), draw(len(words)) * 0, np.log(np.maximum(self.share, 1e-12)).astype(np.float32)]
+
+    def numbers(self, h: np.ndarray) -> np.ndarray:
+        """Number of every token: 0.. words of the vocabulary, then the end, then the rest classes."""
+        k = len(self.words)
         out = (k + 1 + (h & np.uint64(REST - 1))).astype(np.int64)
         if k:
-            at = np.minimum(np.searchsorted(self.top, h), k - 1)
-            hit = self.top[at] == h
-            out[hit] = at[hit]
+            at = np.minimum(np.searchsorted(self.sorted, h), k - 1)
+            hit = self.sorted[at] == h
+            out[hit] = self.by_hash[at[hit]]
         out[h == END] = k
         return out
 
-    def contexts(self, cls: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Classes one and two tokens before; the end stands before a text."""
-        end = len(self.top)
-        one, two = np.empty_like(cls), np.empty_like(cls)
-        one[1:], two[2:] = cls[:-1], cls[:-2]
+    def classes(self, number: np.ndarray) -> np.ndarray:
+        k = len(self.words)
+        out = number - k + self.n_classes
+        known = number < k
+        out[known] = self.cls[number[known]]
+        return out
+
+    def contexts(self, number: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers one and two tokens before; the end stands before a text."""
+        end = len(self.words)
+        one, two = np.empty_like(number), np.empty_like(number)
+        one[1:], two[2:] = number[:-1], number[:-2]
         heads = off[:-1]
         one[heads] = end
         two[heads] = end
@@ -89,83 +129,100 @@ class Model:
         two[second] = end
         return one, two
 
-    def log_normalisers(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        a, b, r, bias = self.theta
-        key, inverse = np.unique(one * self.classes + two, return_inverse=True)
-        z = np.empty(len(key))
-        for i in range(0, len(key), 4096):
-            part = key[i : i + 4096]
-            logits = (a[part // self.classes] + b[part % self.classes]) @ r.T + bias
-            top = logits.max(1)
-            z[i : i + 4096] = top + np.log(np.exp(logits - top[:, None]).sum(1))
-        return z[inverse]
-
     def logp(self, h: np.ndarray, off: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Natural log-probability of every token; count: its corpus count."""
-        a, b, r, bias = self.theta
+        a, b, r, bias, s, d = self.theta
+        number = self.numbers(h)
+        cls = self.classes(number)
+        one, two = self.contexts(number, off)
+        key, inverse = np.unique(one * len(a) + two, return_inverse=True)
+        q = a[key // len(a)] + b[key % len(a)]
+        z = np.empty(len(key), np.float32)
+        for i in range(0, len(key), 4096):
+            z[i : i + 4096] = _sum_exp(q[i : i + 4096] @ r.T + bias)
         out = np.empty(len(h))
-        cls = self.classify(h)
-        one, two = self.contexts(cls, off)
         for i in range(0, len(h), 1 << 18):
-            s = slice(i, i + (1 << 18))
-            q = a[one[s]] + b[two[s]]
-            out[s] = np.einsum("ij,ij->i", q, r[cls[s]]) + bias[cls[s]]
-        out -= self.log_normalisers(one, two)
-        rest = cls - len(self.top) - 1
+            at = slice(i, i + (1 << 18))
+            out[at] = np.einsum("ij,ij->i", q[inverse[at]], r[cls[at]]) + bias[cls[at]] - z[inverse[at]]
+        order = np.argsort(cls, kind="stable")
+        bounds = np.searchsorted(cls[order], np.arange(self.n_classes + 1))
+        for k in range(self.n_classes):
+            lo, hi = self.start[k], self.start[k + 1]
+            if hi - lo < 2:
+                continue
+            for i in range(bounds[k], bounds[k + 1], 4096):
+                at = order[i : min(i + 4096, bounds[k + 1])]
+                logits = q[inverse[at]] @ s[lo:hi].T + d[lo:hi]
+                own = logits[np.arange(len(at)), number[at] - lo]
+                out[at] += own - _sum_exp(logits)
+        rest = cls - self.n_classes - 1
         own = rest >= 0
         out[own] += np.log((count[own] + 1.0) / (self.rest_n[rest[own]] + self.rest_v[rest[own]] + 1.0))
         return out
 
 
 class Trainer:
-    """Noise-contrastive estimation by Adagrad over minibatches; the noise words of a batch are shared by its tokens."""
+    """Noise-contrastive estimation by Adagrad over minibatches; the class noise of a batch is shared by its tokens."""
 
-    def __init__(self, model: Model, rate: float, seed: int, decay: float = 1.0):
-        self.m, self.rate, self.decay = model, rate, decay
+    def __init__(self, model: Model, rate: float, seed: int):
+        self.m, self.rate = model, rate
         self.theta = [x.copy() for x in model.theta]
         self.seen = [np.full_like(x, 0.1) for x in self.theta]
         self.rng = np.random.default_rng(seed)
         self.cut = np.cumsum(model.noise)
         self.log_noise = np.log(NOISE * np.maximum(model.noise, 1e-12)).astype(np.float32)
+        self.log_within = np.log(NOISE_IN_CLASS * np.maximum(model.share, 1e-12)).astype(np.float32)
+        self.alone = np.diff(model.start) < 2
         self.tokens = 0
 
     def learn(self, h: np.ndarray, off: np.ndarray) -> None:
-        cls = self.m.classify(h)
-        one, two = self.m.contexts(cls, off)
-        order = self.rng.permutation(len(cls))
+        number = self.m.numbers(h)
+        cls = self.m.classes(number)
+        one, two = self.m.contexts(number, off)
+        order = self.rng.permutation(len(number))
         for i in range(0, len(order), BATCH):
             at = order[i : i + BATCH]
-            self._step(cls[at], one[at], two[at])
-        self.tokens += len(cls)
+            self._step(number[at], cls[at], one[at], two[at])
+        self.tokens += len(number)
 
     def _add(self, k: int, rows: np.ndarray, grad: np.ndarray) -> None:
-        theta, seen = self.theta[k], self.seen[k]
-        n = len(theta)
-        g = np.zeros_like(theta)
-        if grad.ndim == 1:
-            g += np.bincount(rows, grad, n)[:n].astype(np.float32)
-        else:
-            order = np.argsort(rows, kind="stable")
-            sorted_rows = rows[order]
-            heads = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-            g[sorted_rows[heads]] = np.add.reduceat(grad[order], heads, axis=0)
-        g /= BATCH
-        seen += g * g
-        theta += self.rate * g / np.sqrt(seen)
-
-    def _step(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-        a, b, r, bias = self.theta
-        noise = np.minimum(np.searchsorted(self.cut, self.rng.random(NOISE) * self.cut[-1], "right"), len(bias) - 1)
+        """One Adagrad step on the rows that occur."""
+        order = np.argsort(rows, kind="stable")
+        sorted_rows = rows[order]
+        heads = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
+        at = sorted_rows[heads]
+        g = np.add.reduceat(grad[order], heads, axis=0) * np.float32(SCALE)
+        seen = self.seen[k][at] + g * g
+        self.seen[k][at] = seen
+        self.theta[k][at] += self.rate * g / np.sqrt(seen)
+
+    def _step(self, target: np.ndarray, cls: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        a, b, r, bias, s, d = self.theta
         q = a[one] + b[two]
-        good = np.einsum("ij,ij->i", q, r[target]) + bias[target] - self.log_noise[target]
-        bad = q @ r[noise].T + (bias[noise] - self.log_noise[noise])
-        up = 1 / (1 + np.exp(np.clip(good, -30, 30)))  # gradient of the target's score
-        down = -1 / (1 + np.exp(-np.clip(bad, -30, 30)))
-        gq = up[:, None] * r[target] + down @ r[noise]
+        noise = np.minimum(np.searchsorted(self.cut, self.rng.random(NOISE) * self.cut[-1], "right"), len(bias) - 1)
+        up, down = _pull(np.einsum("ij,ij->i", q, r[cls]) + bias[cls] - self.log_noise[cls], q @ r[noise].T + (bias[noise] - self.log_noise[noise]))
+        gq = up[:, None] * r[cls] + down @ r[noise]
+        # words of classes that have several
+        i = np.flatnonzero(cls < self.m.n_classes)
+        i = i[~self.alone[cls[i]]]
+        if len(i):
+            t, qi = target[i], q[i]
+            other = np.searchsorted(self.m.within, cls[i][:, None] + self.rng.random((len(i), NOISE_IN_CLASS)), "left")
+            other = np.minimum(other, self.m.start[cls[i] + 1][:, None] - 1)
+            up_in, down_in = _pull(np.einsum("ij,ij->i", qi, s[t]) + d[t] - self.log_within[t], np.einsum("ij,ikj->ik", qi, s[other]) + d[other] - self.log_within[other])
+            gq[i] += up_in[:, None] * s[t] + np.einsum("ik,ikj->ij", down_in, s[other])
+            rows = np.concatenate([t, other.reshape(-1)])
+            self._add(4, rows, np.concatenate([up_in[:, None] * qi, (down_in[:, :, None] * qi[:, None, :]).reshape(-1, DIM)]))
+            self._add(5, rows, np.concatenate([up_in, down_in.reshape(-1)]))
         self._add(0, one, gq)
         self._add(1, two, gq)
-        self._add(2, np.concatenate([target, noise]), np.concatenate([up[:, None] * q, down.T @ q]))
-        self._add(3, np.concatenate([target, noise]), np.concatenate([up, down.sum(0)]))
+        self._add(2, np.concatenate([cls, noise]), np.concatenate([up[:, None] * q, down.T @ q]))
+        self._add(3, np.concatenate([cls, noise]), np.concatenate([up, down.sum(0)]))
+
+
+def _pull(good: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of the log-likelihood of telling targets from noise, by their scores."""
+    return 1 / (1 + np.exp(np.clip(good, -30, 30))), -1 / (1 + np.exp(-np.clip(bad, -30, 30)))
 
 
 def _send_words(buckets: int):
@@ -243,10 +300,10 @@ def _unpack(raw: bytes, like: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def _train_part(shared):
+def _train_part(shared, rate: float):
     def body(batches):
         model = shared.value
-        trainer = Trainer(model, rate=0.08, seed=5)
+        trainer = Trainer(model, rate=rate, seed=5)
         for batch in batches:
             for _, _, part in chunks(texts_of(batch.column(0))):
                 trainer.learn(*tokens_of(part))
@@ -301,12 +358,13 @@ def _score(shared, buckets: int):
     return body
 
 
-def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", top: int = 512, warm_docs: int = 1500, warm_bytes: int = 6_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", top: int | None = None, warm_docs: int = 1500, warm_bytes: int = 6_000_000) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score), log10; train: condition over the column doc_id."""
     spark = docs.sparkSession
     plain = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     total = plain.select(F.sum(F.octet_length("text").cast("bigint")).alias("n")).first()["n"] or 0
     parts = partitions_for(spark, total)
+    top = vocabulary_size(total) if top is None else top
     blocks, buckets = max(1, -(-total // BLOCK_BYTES)), max(1, total // 4_000_000)
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))  # rows of null or repeated ids are spread by their texts
     rows = plain.withColumn("train", train.cast("int")).withColumn("block", block).repartition(parts, "block")
@@ -319,8 +377,6 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     sums = counted.filter(F.col("block") == CLASS).groupBy("a").agg(F.sum("b").alias("n"), F.sum("c").alias("v")).collect()  # REST + 1 rows
     words = np.array([r["a"] for r in best], np.int64).view(np.uint64)
     freq = np.array([r["b"] for r in best], np.float64)
-    order = np.argsort(words)
-    words, freq = words[order], freq[order]
     n, v = np.zeros(REST + 1, np.int64), np.zeros(REST + 1, np.int64)
     for r in sums:
         n[r["a"]], v[r["a"]] = r["n"], r["v"]
@@ -328,28 +384,22 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     cls = (words & np.uint64(REST - 1)).astype(np.int64)
     rest_n = n[:REST] - np.bincount(cls, freq, REST)[:REST].astype(np.int64)
     rest_v = v[:REST] - np.bincount(cls, minlength=REST)[:REST]
-    share = np.concatenate([freq, [n[REST]], rest_n]) + 1.0
-    noise = share / share.sum()
-    k = len(noise)
-    rng = np.random.default_rng(3)
-    theta = [(rng.standard_normal((k, DIM)) * 0.1).astype(np.float32) for _ in range(3)] + [np.log(noise).astype(np.float32)]
-    model = Model(words, noise, rest_n, rest_v, tokens, distinct, theta)
+    model = Model(words, freq, int(n[REST]), rest_n, rest_v, tokens, distinct)
 
     learned = plain.filter(train)
     if tokens:
         warm = texts_from(sorted(r["text"] for r in sampled_texts(learned.select("text"), warm_docs, warm_bytes).collect()))
-        trainer = Trainer(model, rate=0.15, seed=4)
+        trainer = Trainer(model, rate=RATES[0], seed=4)
         for _ in range(3):
             for _, _, part in chunks(warm, 1_000_000):
                 trainer.learn(*tokens_of(part))
         model.theta = trainer.theta
         shared = spark.sparkContext.broadcast(model)
-        each = learned.select("text").mapInArrow(_train_part(shared), "part bigint, tokens bigint, theta binary")
+        each = learned.select("text").mapInArrow(_train_part(shared, RATES[1]), "part bigint, tokens bigint, theta binary")
         few = max(1, math.isqrt(parts))
-        means = each.repartition(few, "part").mapInArrow(_mean_part, "part bigint, tokens bigint, theta binary").collect()  # about the root of the partitions
-        weight = sum(r["tokens"] for r in means)
-        flat = sum(np.frombuffer(r["theta"], np.float32).astype(np.float64) * r["tokens"] for r in means) / weight
-        model.theta = _unpack(flat.astype(np.float32).tobytes(), model.theta)
+        schema = "part bigint, tokens bigint, theta binary"
+        mean = each.repartition(few, "part").mapInArrow(_mean_part, schema).repartition(1).mapInArrow(_mean_part, schema).first()
+        model.theta = _unpack(mean["theta"], model.theta)
     answers = counted.filter("block >= 0").select("block", "a", "counts")
     shared = spark.sparkContext.broadcast(model)
     return by_block.cogroup(answers.groupBy("block")).applyInArrow(_score(shared, buckets), "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 from functools import reduce
 
+import harness
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +63,11 @@ def test_words_and_windows():
     assert windows(w, 2)[0].tolist() == [0, 1, 3]
 
 
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+def test_matches_sql(spark, sf_dir, name):
+    assert harness.differences(entry.queries()[name](spark, sf_dir), harness.database(sf_dir), entry.oracle_sql()[name]) == ""
+
+
 # --- op1 --------------------------------------------------------------------------------------------------------
 
 
@@ -187,13 +193,59 @@ def test_decontamination(spark, odd, empty):
     assert found == dirty
     kept = decontam.decontaminate(docs, bench)
     assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in rows} - {d for d, _ in dirty} and kept.columns == docs.columns
-    # one passage in every document is still found: seeds are rare for the item, not in the corpus
+    # one passage in every document is still found: its copies count once
     every = docs.withColumn("text", F.concat_ws(" ", "text", F.lit(" ".join(items[3][1]))))
     assert decontam.matches(every, bench).filter("item_id = 3").select("doc_id").distinct().count() == 400
     assert decontam.matches(odd, bench).count() == 0 and decontam.matches(empty, bench).count() == 0
     assert decontam.decontaminate(odd, bench.limit(0)).count() == odd.count()
 
 
+@pytest.mark.parametrize("max_grams", [2_000_000, 300])
+def test_decontamination_of_many_and_partial_copies(spark, monkeypatch, max_grams):
+    """One edited passage in hundreds of documents, part of a long item, and parts with other words between."""
+    monkeypatch.setattr(decontam, "MAX_GRAMS", max_grams)
+    rng = np.random.default_rng(12)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    pick = lambda k: [vocabulary[i] for i in rng.integers(0, 2000, k)]
+    items = {1: pick(50), 2: pick(400), 3: pick(48), 4: pick(30)}
+    edited = ["edited" if k % 5 == 4 else x for k, x in enumerate(items[1])]
+    apart = [x for k in range(4) for x in items[3][12 * k : 12 * k + 12] + pick(12)]
+    rows, want = [], set()
+    for d in range(700):
+        words = pick(80)
+        if d < 500:
+            words[40:40] = edited
+            want.add((d, 1))
+        elif d == 500:
+            words[10:10] = items[2][100:250]
+            want.add((d, 2))
+        elif d == 501:
+            words[10:10] = apart
+            want.add((d, 3))
+        elif d == 502:
+            words += items[4][:4]  # four words are no copy
+        rows.append((d, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id bigint, text string")
+    got = decontam.matches(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+    assert {r["doc_id"] for r in decontam.decontaminate(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
+    text = dict(rows)
+    for r in got:  # against an alignment with the whole document
+        if r["doc_id"] > 495:
+            best = smith_waterman(items[r["item_id"]], text[r["doc_id"]].split())
+            assert r["score"] == pytest.approx(min(1, best / (2 * min(len(items[r["item_id"]]), 100))))
+
+
+def test_common_grams(spark):
+    """Seeds in many surroundings are common; those of one repeated passage are not."""
+    rows = [(f"x{i} of the and y{i} " + "leaked passage words here too",) for i in range(300)]
+    seeds = decontam.Seeds.of(iter([[(1, "of the and"), (2, "passage words here")]]))
+    common = decontam.common_grams(spark.createDataFrame(rows, "text string").repartition(3), seeds)
+    items = decontam.Items.of([(1, "of the and"), (2, "passage words here")], common)
+    assert dict(zip(items.item.tolist(), items.rare.tolist(), strict=True)) == {0: False, 1: True}
+
+
 # --- op3 --------------------------------------------------------------------------------------------------------
 
 
@@ -351,6 +403,34 @@ def test_previous_smaller():
 # --- op5 --------------------------------------------------------------------------------------------------------
 
 
+def in_order(rows):
+    return sorted(rows, key=lambda r: (r["text_crc32"], r["doc_id"] is not None, r["doc_id"] or 0, r["size"]))
+
+
+def brute_shards(rows, n=24):
+    order, total, at, want = in_order(rows), sum(r["size"] for r in rows), 0, []
+    size = Counter()
+    for r in rows:
+        size[r["text_crc32"]] += r["size"]
+    first = {}
+    for r in order:
+        g = first.setdefault(r["text_crc32"], at)
+        middle = 2 * g + size[r["text_crc32"]] if size[r["text_crc32"]] * n <= total else 2 * at + r["size"]
+        want.append(min(n - 1, middle * n // (2 * total)))
+        at += r["size"]
+    return want
+
+
+def test_shards_keep_groups(spark):
+    rows = spark.range(3000).selectExpr("id as doc_id", "case when id % 3 = 0 then repeat('hot text ', 9) else concat('group ', id % 100, repeat(' x', 30)) end as text").repartition(5)
+    got = shards.shard_by_bytes(rows, 24).collect()
+    assert [r["shard"] for r in in_order(got)] == brute_shards(got)
+    of = defaultdict(set)
+    for r in got:
+        of[r["text_crc32"]].add(r["shard"])
+    assert sorted(len(x) > 1 for x in of.values())[:-1] == [False] * (len(of) - 1) and max(map(len, of.values())) > 5  # only the hot text is split
+
+
 def test_shards(spark, odd, empty, documents):
     for df in (odd, documents):
         rows = shards.shard_by_bytes(df, 24).collect()
@@ -359,12 +439,7 @@ def test_shards(spark, odd, empty, documents):
         for r in rows:
             by[r["shard"]].append(r)
         assert all(sorted(r["slot"] for r in x) == list(range(len(x))) for x in by.values()) and set(by) <= set(range(24))
-        order = sorted(rows, key=lambda r: (r["text_crc32"], r["doc_id"] is not None, r["doc_id"] or 0, r["size"]))
-        total, at, want = sum(r["size"] for r in rows), 0, []
-        for r in order:
-            want.append(min(23, (2 * at + r["size"]) * 24 // (2 * total)))
-            at += r["size"]
-        assert [r["shard"] for r in order] == want
+        assert [r["shard"] for r in in_order(rows)] == brute_shards(rows)
     assert shards.shard_by_bytes(empty).count() == 0
     text = {r["doc_id"]: r["text"] for r in documents.collect()}
     for r in shards.shard_by_bytes(documents).collect():
@@ -405,6 +480,39 @@ def test_ftrl_learns_sparsely():
     assert sum((m.bias + w[x].sum() > 0) == y for x, y in rows) > 590
 
 
+def plain_ftrl(rows, alpha, beta, l1, l2, epochs):
+    """Per-coordinate FTRL-proximal straight from its definition."""
+    z, n, bias, bias_n = defaultdict(float), defaultdict(float), 0.0, 0.0
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    order = np.random.default_rng(1)
+    for _ in range(epochs):
+        for k in order.permutation(len(rows)):
+            x, y = rows[k]
+            w = {int(i): weight(int(i)) for i in x}
+            g = 1 / (1 + math.exp(-(bias + sum(w.values())))) - y
+            for i in w:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+            bias_n += g * g
+            bias -= alpha / (beta + math.sqrt(bias_n)) * g
+    return bias, {i: weight(i) for i in list(z) if weight(i)}
+
+
+def test_ftrl_against_plain(spark):
+    rng = np.random.default_rng(3)
+    rows = [(np.unique(rng.integers(0, 60, 12)), int(rng.random() < 0.4)) for _ in range(80)]
+    m = ftrl.train(rows, 6, alpha=0.5, beta=1.0, l1=0.3, l2=1.0, epochs=2)
+    bias, w = plain_ftrl(rows, 0.5, 1.0, 0.3, 1.0, 2)
+    assert m.bias == pytest.approx(bias) and dict(zip(m.index.tolist(), m.weight.tolist(), strict=True)) == pytest.approx(w)
+    # the score of a text is the logistic of the weights of its features, each once
+    text = "Alpha beta gamma alpha beta"
+    doc, coord = ftrl._coordinates(texts_from([text, ""]), 16)
+    model = ftrl.Model(16, -0.3, np.unique(coord), np.linspace(-1, 1, len(np.unique(coord))))
+    got = {r["doc_id"]: r["score"] for r in ftrl.score(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id bigint, text string"), model).collect()}
+    assert got[1] == pytest.approx(1 / (1 + math.exp(0.3 - sum(model.weight))), rel=1e-5) and got[2] == got[3] == pytest.approx(1 / (1 + math.exp(0.3)))
+
+
 # --- op7 --------------------------------------------------------------------------------------------------------
 
 
@@ -472,24 +580,71 @@ def test_language_model(spark, documents, odd, empty):
         if df is documents:
             out = [r for r in got if held(r["doc_id"])]
             assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
+            assert len({r["score"] for r in got}) > 0.8 * len(got)
     assert lbl.score_texts(empty, train).count() == 0
 
 
-def test_model_sums_to_one():
+def small_model(n_words=9):
     rng = np.random.default_rng(0)
-    top = np.sort(rng.integers(1, 2**62, 5).astype(np.uint64) & ~np.uint64(lbl.REST - 1))
-    k = 5 + 1 + lbl.REST
-    theta = [rng.normal(size=(k, lbl.DIM)).astype(np.float32) for _ in range(3)] + [rng.normal(size=k).astype(np.float32)]
-    m = lbl.Model(top, np.full(k, 1 / k), np.full(lbl.REST, 30), np.full(lbl.REST, 3), 100, 10, theta)
+    words = np.unique(rng.integers(1, 2**59, n_words).astype(np.uint64) & ~np.uint64(lbl.REST - 1))
+    freq = np.sort(rng.integers(20, 500, len(words)))[::-1].astype(float)
+    m = lbl.Model(words, freq, 50, np.full(lbl.REST, 30), np.full(lbl.REST, 3), 1000, 100)
+    m.theta = [rng.normal(size=x.shape).astype(np.float32) for x in m.theta]
+    return m
+
+
+def test_model_sums_to_one():
+    m = small_model()
+    assert m.n_classes == 3 and sorted(set(m.cls.tolist())) == [0, 1, 2]
     # three known rest words of 10 each in a class; with one share for unseen words the class is whole
-    words = np.concatenate([top, [lbl.END], np.arange(lbl.REST, dtype=np.uint64) + np.uint64(1 << 20)])
-    total = 0.0
-    for w in words:
-        cls = m.classify(np.array([w]))[0]
-        p = math.exp(m.logp(np.array([w], np.uint64), np.array([0, 1]), np.array([10]))[0])
-        rest = cls > 5
-        total += p if not rest else p / (11 / 34)
-    assert total == pytest.approx(1, abs=1e-4)
+    for before in ([], [m.words[0]], [m.words[3], m.words[7]], [lbl.END], [np.uint64(5 << 20)]):
+        total = 0.0
+        for w in np.concatenate([m.words, [lbl.END], np.arange(lbl.REST, dtype=np.uint64) + np.uint64(1 << 20)]):
+            h = np.array([*before, w], np.uint64)
+            p = math.exp(m.logp(h, np.array([0, len(h)]), np.full(len(h), 10))[-1])
+            rest = w not in m.words and w != lbl.END
+            total += p / (11 / 34) if rest else p
+        assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_noise_contrastive_gradient(monkeypatch):
+    """The gradients of a step against differences of the objective, for the same noise."""
+    m = small_model()
+    rng = np.random.default_rng(2)
+    target, one, two = (rng.integers(0, 9 + 1 + lbl.REST, 40) for _ in range(3))
+    cls = m.classes(target)
+    log_sigma = lambda x: -np.logaddexp(0, -x)
+
+    def objective(theta):
+        draw = np.random.default_rng(7)
+        a, b, r, bias, s, d = theta
+        q = a[one] + b[two]
+        share = lambda k: np.log(lbl.NOISE * m.noise[k])
+        noise = np.searchsorted(np.cumsum(m.noise), draw.random(lbl.NOISE) * m.noise.sum(), "right")
+        out = log_sigma((q * r[cls]).sum(1) + bias[cls] - share(cls)).sum() + log_sigma(-(q @ r[noise].T + bias[noise] - share(noise))).sum()
+        i = np.flatnonzero(target < len(m.words))
+        i = i[np.bincount(m.cls)[cls[i]] > 1]
+        u = draw.random((len(i), lbl.NOISE_IN_CLASS))
+        inner = lambda k: np.log(lbl.NOISE_IN_CLASS * m.share[k])
+        for x, row in zip(i, u, strict=True):
+            own = np.flatnonzero(m.cls == cls[x])
+            picks = own[np.minimum(np.searchsorted(np.cumsum(m.share[own]), row, "left"), len(own) - 1)]
+            t = target[x]
+            out += log_sigma(q[x] @ s[t] + d[t] - inner(t)) + log_sigma(-(s[picks] @ q[x] + d[picks] - inner(picks))).sum()
+        return out
+
+    got = [np.zeros(x.shape) for x in m.theta]
+    m.theta = [x.astype(np.float64) for x in m.theta]
+    trainer = lbl.Trainer(m, 0.1, 7)
+    monkeypatch.setattr(trainer, "_add", lambda k, rows, grad: np.add.at(got[k], rows, grad))
+    trainer._step(target, cls, one, two)
+    for k in range(6):
+        for _ in range(6):
+            at = tuple(int(rng.integers(x)) for x in m.theta[k].shape)
+            up, down = ([x.copy() for x in m.theta] for _ in range(2))
+            up[k][at] += 1e-5
+            down[k][at] -= 1e-5
+            assert (objective(up) - objective(down)) / 2e-5 == pytest.approx(got[k][at], abs=2e-3, rel=1e-3)
 
 
 # --- op9 --------------------------------------------------------------------------------------------------------
