@@ -5,7 +5,10 @@ columns of `documents`.  Decisions: a document that scores 0.7 or more for toxic
 near-duplicates (five-word shingles, similarity 0.8) the smallest id stays, once; documents with a benchmark
 passage go; mixing thins documents of the low-quality domain to its target share (rates above 1, which exceed it
 by less than a hundredth, count as 1, so no document comes twice); sharding assigns 24 contiguous shards of equal
-bytes.  Empty texts pass all filters; rows with a null id pass the near-duplicate stage one by one.
+bytes.  Null and empty texts have no shingle, passage or toxic word and pass the filters; rows with a null id pass
+the near-duplicate stage one by one; of repeated rows one stays, and different texts of one id that stays are all
+kept.  Ties go to the smaller id.  Texts are handled whole, however long.  Extra columns pass all stages but the
+last, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.llm import decontam, forest, ftrl, mixing, shards
-from tamis.llm.common import crc_mod, documents
+from tamis.llm.common import crc_mod, documents, shared_dir
 from tamis.llm.entry import MIX, quality_domains
 
 
@@ -27,8 +30,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = forest.near_duplicates(docs, size=5, threshold=(80, 100)).filter("kept and doc_id is not null").select("doc_id")
-    named = docs.join(kept.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    # rows stand apart as one struct, so that extra columns may have any name; texts are compared by their digests
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    named = rows.join(kept.distinct().withColumnRenamed("doc_id", "id"), "id", "left_semi").dropDuplicates(["id", "digest"])
+    return named.unionByName(rows.filter("id is null")).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +57,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what a stage keeps is written to the shared checkpoint folder and read again."""
     docs = documents(spark, sf_dir)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    at = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    at, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        if before:  # its rows are read; the result reads the last folder only
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/{before}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
