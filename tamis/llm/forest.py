@@ -40,7 +40,7 @@ from tamis.llm.words import Texts, chunks, mix, texts_of, windows, words_of
 TREES, LABELS, DEPTH = 64, 8, 5
 MINIMA = TREES * LABELS // 2
 WINDOW = 256
-BLOCK = 2048
+BLOCK = 512
 PIVOTS = 4
 SKETCH = 16  # further minima, four bits each
 AGREE = 7  # of them: at similarity 0.8 13 agree on average, with a deviation of 1.6
@@ -354,6 +354,7 @@ def links_of_groups(docs: DataFrame, groups: DataFrame, size: int, num: int, den
     A group of up to BLOCK documents is one task.  In a larger one every member meets PIVOTS documents from its
     middle, in tasks of BLOCK members; the largest part that this joins is settled.  Each member outside of it then
     meets all members, in square blocks: what stays apart of the largest part is compared with everything."""
+    docs = checkpointed(docs.join(groups.select("doc_id"), "doc_id"))  # all texts are shuffled once; what follows reads members only
     sizes = groups.groupBy("grp").agg(F.count("*").alias("members")).filter("members > 1")
     few, many = sizes.filter(F.col("members") <= BLOCK), checkpointed(sizes.filter(F.col("members") > BLOCK))
     one = groups.join(few, "grp").select("doc_id", F.xxhash64("grp").alias("task"), F.lit(2).alias("side"), F.col("doc_id").alias("part"))
