@@ -78,12 +78,16 @@ def _summed(column: str, weight: np.ndarray) -> Column:
 def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 1000) -> Classifier:
     """Naive Bayes from at most max_rows documents of each domain; labelled: (doc_id, domain). Add-one counts."""
     rows = labelled.filter("domain is not null and doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("domain").alias("domain"))
-    order = F.row_number().over(Window.partitionBy("domain").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id"))
-    chosen = rows.withColumn("place", order).filter(F.col("place") <= max_rows).select("doc_id", "domain")
+    shares = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}
+    # hashes of distinct ids are even, so 1.5 * max_rows + 100 of a domain lie below this bound, and few more
+    bound = [F.when(F.col("domain") == k, int(min(1.0, (1.5 * max_rows + 100) / n) * (1 << 40))) for k, n in shares.items()]
+    place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 40))
+    few = rows.withColumn("place", place).filter(F.col("place") <= F.coalesce(*bound, F.lit(0)))
+    order = F.row_number().over(Window.partitionBy("domain").orderBy("place", "doc_id"))
+    chosen = few.withColumn("rank", order).filter(F.col("rank") <= max_rows).select("doc_id", "domain")
     texts = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
     sample = texts.join(F.broadcast(chosen), "doc_id").select("domain", words(F.col("text")).alias("w"))  # max_rows ids a domain
     cells = sample.select("domain", F.explode(features(F.col("w"))).alias("f")).groupBy("domain", "f").agg(F.count("*").alias("n")).collect()  # domains x features
-    shares = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()}
     domains = sorted({r["domain"] for r in cells})
     counts = np.ones((2 * BUCKETS + 2, len(domains)))
     for r in cells:
