@@ -56,14 +56,16 @@ def sampled_texts(rows: DataFrame, limit: int, max_bytes: int, by: list[str] | N
     shortest of the chosen ones.  Copies count once, so a text that fills the table takes one place."""
     by = by or []
     hashed = rows.withColumn("h", F.xxhash64("text", F.lit(7)))
-    each = hashed.groupBy(*by, "h").agg(F.max(F.octet_length("text")).alias("size"))
+    each = checkpointed(hashed.groupBy(*by, "h").agg(F.max(F.octet_length("text")).alias("size")))
+    # hashes of distinct texts are even: about 1.5 * limit + 100 of a group lie below this bound, so few are ranked
+    share = F.least(F.lit(1.0), F.lit(1.5 * limit + 100) / F.col("n"))
+    counts = each.groupBy(*by).agg(F.count("*").alias("n"))
+    sized = each.join(counts, by) if by else each.crossJoin(F.broadcast(counts))  # one row
+    low = sized.filter(F.pmod(F.col("h"), F.lit(1 << 40)) <= share * F.lit(float(1 << 40))).drop("n")
     place = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    if by:
-        first = each.withColumn("n", F.row_number().over(place.orderBy("h"))).filter(F.col("n") <= limit)
-    else:
-        first = each.orderBy("h").limit(limit)
-    total = F.sum("size").over(place.orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
-    shortest = F.row_number().over(place.orderBy("size", "h"))
+    first = low.withColumn("rank", F.row_number().over(place.orderBy(F.pmod("h", F.lit(1 << 40)), "h"))).filter(F.col("rank") <= limit)
+    total = F.sum("size").over(place.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    shortest = F.row_number().over(place.orderBy("size", "rank"))
     inside = first.withColumn("upto", total).withColumn("short", shortest).withColumn("least", F.min("upto").over(place))
     chosen = inside.filter((F.col("upto") <= max_bytes) | ((F.col("least") > max_bytes) & (F.col("short") == 1))).select(*by, "h")
     # at most `limit` rows of a few numbers for each value of `by`

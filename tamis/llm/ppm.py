@@ -183,7 +183,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", where:
                 grams, n = grams_of(texts_of(batch.column(1).filter(pa.array(langs == lang))), order)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
-    sample = sampled_texts(rows, max_rows, max_bytes, ["lang"]).select("lang", "text")
+    sample = sampled_texts(rows, max_rows, max_bytes, ["lang"]).select("lang", "text").repartition("lang")  # max_bytes of a language in a task
     counted = sample.mapInArrow(body, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()  # bounded by max_bytes for each language
     langs = np.array(counted.column("lang").to_pylist(), object)
     gram, n = counted.column("gram").to_numpy(), counted.column("n").to_numpy()
