@@ -1,7 +1,7 @@
 """Log-bilinear language model, trained in numpy with noise-contrastive estimation.
 
 Tokens are lower-cased words and one end for each text.  The modelled vocabulary grows with the corpus: its most
-frequent words, the root of the corpus size in number (`vocabulary_size`).  They are dealt into classes of like
+frequent words, those above a count, up to the root of the corpus size in number (`vocabulary_size`).  They are dealt into classes of like
 frequency; the end is a class of its own, and all other words fall into REST classes by the ending of the word.
 With the two tokens before, c1 and c2 (ends before the first word), and q = A_c1 + B_c2, the model is
 P(class) = softmax(R . q + b) over all classes times, in a class of words, P(word | class) = softmax(S . q + d) over
@@ -25,7 +25,10 @@ times its size.  Extra columns are ignored; an empty table gives an empty result
 
 from __future__ import annotations
 
+import ctypes
+import glob
 import math
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +40,11 @@ from tamis.llm.common import checkpointed, partitions_for, runs, sampled_texts
 from tamis.llm.words import LOWER, Texts, chunks, mix, split, texts_from, texts_of, trim, words_of
 
 REST = 32
+LEVELS = 32
 DIM = 24
 NOISE = 32
-NOISE_IN_CLASS = 4
-MAX_VOCABULARY = 65_536  # of the broadcast model: 19 MB of parameters
+NOISE_IN_CLASS = 2
+MAX_VOCABULARY = 65_000  # of the broadcast model: 19 MB of parameters; numbers fit in 16 bits
 BATCH = 2048
 SCALE = 0.25  # of the summed gradient of a batch
 RATES = (0.15, 0.08)  # of the warm start, of the pass over all texts
@@ -61,19 +65,38 @@ def tokens_of(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return out, off
 
 
+def one_thread() -> None:
+    """Matrix products of a task on its own core: more threads would only wait for one another."""
+    for path in glob.glob(f"{Path(np.__file__).parent.parent}/numpy.libs/*openblas*"):
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 def vocabulary_size(n_bytes: int) -> int:
     """Words that get parameters of their own: the root of the (estimated) number of tokens."""
     return min(MAX_VOCABULARY, max(512, math.isqrt(n_bytes // 6)))
 
 
 def _sum_exp(logits: np.ndarray) -> np.ndarray:
+    """Logarithm of the row sums of exp."""
+    high = float(logits.max())
+    if abs(high) < 40:
+        total = np.exp(logits).sum(1)
+        if total.min() > 1e-30:
+            return np.log(total)
     top = logits.max(1)
-    logits -= top[:, None]
-    return top + np.log(np.exp(logits, out=logits).sum(1))
+    return top + np.log(np.exp(logits - top[:, None]).sum(1))
+
+
+def _one_more(q: np.ndarray) -> np.ndarray:
+    """q with a last column of ones, which meets the bias."""
+    return np.concatenate([q, np.ones((len(q), 1), q.dtype)], axis=1)
 
 
 class Model:
-    """words: hashes of the vocabulary, the words of a class together; theta: A, B, R, b, S, d."""
+    """words: hashes of the vocabulary, the words of a class together; theta: A, B, R with b and S with d as last columns."""
 
     def __init__(self, words: np.ndarray, freq: np.ndarray, ends: int, rest_n: np.ndarray, rest_v: np.ndarray, tokens: int, distinct: int):
         self.rest_n, self.rest_v, self.tokens, self.distinct = rest_n, rest_v, tokens, distinct
@@ -97,7 +120,8 @@ class Model:
         rng = np.random.default_rng(3)
         v, k = len(words) + 1 + REST, len(self.noise)
         draw = lambda n: (rng.standard_normal((n, DIM)) * 0.1).astype(np.float32)
-        self.theta = [draw(v), draw(v), draw(k), np.log(self.noise).astype(np.float32), draw(len(words)) * 0, np.log(np.maximum(self.share, 1e-12)).astype(np.float32)]
+        biased = lambda x, share: np.concatenate([x, np.log(np.maximum(share, 1e-12)).astype(np.float32)[:, None]], axis=1)
+        self.theta = [draw(v), draw(v), biased(draw(k), self.noise), biased(draw(len(words)) * 0, self.share)]
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
         """Number of every token: 0.. words of the vocabulary, then the end, then the rest classes."""
@@ -131,19 +155,19 @@ class Model:
 
     def logp(self, h: np.ndarray, off: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Natural log-probability of every token; count: its corpus count."""
-        a, b, r, bias, s, d = self.theta
+        a, b, r, s = self.theta
         number = self.numbers(h)
         cls = self.classes(number)
         one, two = self.contexts(number, off)
         key, inverse = np.unique(one * len(a) + two, return_inverse=True)
-        q = a[key // len(a)] + b[key % len(a)]
+        q = _one_more(a[key // len(a)] + b[key % len(a)])
         z = np.empty(len(key), np.float32)
         for i in range(0, len(key), 4096):
-            z[i : i + 4096] = _sum_exp(q[i : i + 4096] @ r.T + bias)
+            z[i : i + 4096] = _sum_exp(q[i : i + 4096] @ r.T)
         out = np.empty(len(h))
-        for i in range(0, len(h), 1 << 18):
-            at = slice(i, i + (1 << 18))
-            out[at] = np.einsum("ij,ij->i", q[inverse[at]], r[cls[at]]) + bias[cls[at]] - z[inverse[at]]
+        for i in range(0, len(h), 1 << 16):
+            at = slice(i, i + (1 << 16))
+            out[at] = np.einsum("ij,ij->i", q[inverse[at]], r[cls[at]]) - z[inverse[at]]
         order = np.argsort(cls, kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(self.n_classes + 1))
         for k in range(self.n_classes):
@@ -152,9 +176,8 @@ class Model:
                 continue
             for i in range(bounds[k], bounds[k + 1], 4096):
                 at = order[i : min(i + 4096, bounds[k + 1])]
-                logits = q[inverse[at]] @ s[lo:hi].T + d[lo:hi]
-                own = logits[np.arange(len(at)), number[at] - lo]
-                out[at] += own - _sum_exp(logits)
+                logits = q[inverse[at]] @ s[lo:hi].T
+                out[at] += logits[np.arange(len(at)), number[at] - lo] - _sum_exp(logits)
         rest = cls - self.n_classes - 1
         own = rest >= 0
         out[own] += np.log((count[own] + 1.0) / (self.rest_n[rest[own]] + self.rest_v[rest[own]] + 1.0))
@@ -187,20 +210,20 @@ class Trainer:
 
     def _add(self, k: int, rows: np.ndarray, grad: np.ndarray) -> None:
         """One Adagrad step on the rows that occur."""
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows.astype(np.uint16), kind="stable")  # 16 bits are sorted by radix
         sorted_rows = rows[order]
         heads = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
         at = sorted_rows[heads]
         g = np.add.reduceat(grad[order], heads, axis=0) * np.float32(SCALE)
         seen = self.seen[k][at] + g * g
         self.seen[k][at] = seen
-        self.theta[k][at] += self.rate * g / np.sqrt(seen)
+        self.theta[k][at] += np.float32(self.rate) * g / np.sqrt(seen)
 
     def _step(self, target: np.ndarray, cls: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-        a, b, r, bias, s, d = self.theta
-        q = a[one] + b[two]
-        noise = np.minimum(np.searchsorted(self.cut, self.rng.random(NOISE) * self.cut[-1], "right"), len(bias) - 1)
-        up, down = _pull(np.einsum("ij,ij->i", q, r[cls]) + bias[cls] - self.log_noise[cls], q @ r[noise].T + (bias[noise] - self.log_noise[noise]))
+        a, b, r, s = self.theta
+        q = _one_more(a[one] + b[two])
+        noise = np.minimum(np.searchsorted(self.cut, self.rng.random(NOISE) * self.cut[-1], "right"), len(r) - 1)
+        up, down = _pull(np.einsum("ij,ij->i", q, r[cls]) - self.log_noise[cls], q @ r[noise].T - self.log_noise[noise])
         gq = up[:, None] * r[cls] + down @ r[noise]
         # words of classes that have several
         i = np.flatnonzero(cls < self.m.n_classes)
@@ -209,15 +232,13 @@ class Trainer:
             t, qi = target[i], q[i]
             other = np.searchsorted(self.m.within, cls[i][:, None] + self.rng.random((len(i), NOISE_IN_CLASS)), "left")
             other = np.minimum(other, self.m.start[cls[i] + 1][:, None] - 1)
-            up_in, down_in = _pull(np.einsum("ij,ij->i", qi, s[t]) + d[t] - self.log_within[t], np.einsum("ij,ikj->ik", qi, s[other]) + d[other] - self.log_within[other])
-            gq[i] += up_in[:, None] * s[t] + np.einsum("ik,ikj->ij", down_in, s[other])
-            rows = np.concatenate([t, other.reshape(-1)])
-            self._add(4, rows, np.concatenate([up_in[:, None] * qi, (down_in[:, :, None] * qi[:, None, :]).reshape(-1, DIM)]))
-            self._add(5, rows, np.concatenate([up_in, down_in.reshape(-1)]))
-        self._add(0, one, gq)
-        self._add(1, two, gq)
+            st, so = s[t], s[other]
+            up_in, down_in = _pull(np.einsum("ij,ij->i", qi, st) - self.log_within[t], np.einsum("ij,ikj->ik", qi, so) - self.log_within[other])
+            gq[i] += up_in[:, None] * st + np.einsum("ik,ikj->ij", down_in, so)
+            self._add(3, np.concatenate([t, other.reshape(-1)]), np.concatenate([up_in[:, None] * qi, (down_in[:, :, None] * qi[:, None, :]).reshape(-1, DIM + 1)]))
+        self._add(0, one, gq[:, :DIM])
+        self._add(1, two, gq[:, :DIM])
         self._add(2, np.concatenate([cls, noise]), np.concatenate([up[:, None] * q, down.T @ q]))
-        self._add(3, np.concatenate([cls, noise]), np.concatenate([up, down.sum(0)]))
 
 
 def _pull(good: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -302,6 +323,7 @@ def _unpack(raw: bytes, like: list[np.ndarray]) -> list[np.ndarray]:
 
 def _train_part(shared, rate: float):
     def body(batches):
+        one_thread()
         model = shared.value
         trainer = Trainer(model, rate=rate, seed=5)
         for batch in batches:
@@ -328,6 +350,7 @@ def _mean_part(batches):
 def _score(shared, buckets: int):
     def body(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         trim()
+        one_thread()
         model: Model = shared.value
         texts = texts_of(docs.column("text"))
         parts = [tokens_of(p) for _, _, p in chunks(texts)]
@@ -373,7 +396,12 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     counted = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count_words(top), "block bigint, a bigint, b bigint, c bigint, counts binary")
     counted = checkpointed(counted)
 
-    best = counted.filter(F.col("block") == TOP).orderBy(F.desc("b"), "a").limit(top).collect()
+    # words above a count: as many as the vocabulary may hold, found from how many words have which count
+    known = counted.filter(F.col("block") == TOP).withColumn("level", F.floor(F.log2("b") * LEVELS).cast("int"))
+    levels = known.groupBy("level").count().orderBy(F.desc("level")).collect()  # LEVELS for each doubling of the largest count
+    upto = np.cumsum([r["count"] for r in levels])
+    least = min((r["level"] for r, n in zip(levels, upto, strict=True) if n <= top), default=None)
+    best = known.filter(F.col("level") >= least).collect() if least is not None else []
     sums = counted.filter(F.col("block") == CLASS).groupBy("a").agg(F.sum("b").alias("n"), F.sum("c").alias("v")).collect()  # REST + 1 rows
     words = np.array([r["a"] for r in best], np.int64).view(np.uint64)
     freq = np.array([r["b"] for r in best], np.float64)

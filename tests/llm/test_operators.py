@@ -617,7 +617,7 @@ def test_noise_contrastive_gradient(monkeypatch):
 
     def objective(theta):
         draw = np.random.default_rng(7)
-        a, b, r, bias, s, d = theta
+        a, b, (r, bias), (s, d) = theta[0], theta[1], *((x[:, :-1], x[:, -1]) for x in theta[2:])
         q = a[one] + b[two]
         share = lambda k: np.log(lbl.NOISE * m.noise[k])
         noise = np.searchsorted(np.cumsum(m.noise), draw.random(lbl.NOISE) * m.noise.sum(), "right")
@@ -638,8 +638,8 @@ def test_noise_contrastive_gradient(monkeypatch):
     trainer = lbl.Trainer(m, 0.1, 7)
     monkeypatch.setattr(trainer, "_add", lambda k, rows, grad: np.add.at(got[k], rows, grad))
     trainer._step(target, cls, one, two)
-    for k in range(6):
-        for _ in range(6):
+    for k in range(4):
+        for _ in range(9):
             at = tuple(int(rng.integers(x)) for x in m.theta[k].shape)
             up, down = ([x.copy() for x in m.theta] for _ in range(2))
             up[k][at] += 1e-5
