@@ -70,7 +70,8 @@ def stem(word: Column) -> Column:
 
     Every step is a lambda over an array of one word, so a step names its input once however often it looks at it:
     the expression grows by its steps, not by their product, and a filter on the stem can move without blowing up."""
-    state = F.array(F.struct(F.trim(F.lower(word)).alias("w"), F.lit(0).alias("cut")))
+    plain = F.trim(F.lower(word))
+    state = F.array(F.struct(plain.alias("w"), F.lit(0).alias("cut")))
 
     def step(value):
         nonlocal state
@@ -107,7 +108,9 @@ def stem(word: Column) -> Column:
     step(ending)
     step(lambda w, _: F.when(w.endswith("e") & ((measure(_head(w, 1)) > 1) | ((measure(_head(w, 1)) == 1) & ~_head(w, 1).rlike("[^aeiou][aeiou][^aeiou]$"))), _head(w, 1)).otherwise(w))
     step(lambda w, _: F.when(_twin(w) & ~F.right(w, F.lit(1)).isin("l", "s", "z") & (measure(_head(w, 1)) > 1), _head(w, 1)).otherwise(w))
-    return F.when(F.length(F.trim(F.lower(word))) <= 2, F.trim(F.lower(word))).otherwise(F.get(state, F.lit(0))["w"])
+    # no step changes a word that ends in none of the listed suffixes, s, ed, ing, y, e or a doubled consonant
+    touched = r"(?:s|ed|ing|y|e|([^aeiou])\1|" + "|".join([a for a, _ in DERIVED] + ENDINGS) + ")$"
+    return F.when((F.length(plain) <= 2) | ~plain.rlike(touched), plain).otherwise(F.get(state, F.lit(0))["w"])
 
 
 def stems(vocabulary: DataFrame, column: str = "word") -> DataFrame:

@@ -3,11 +3,17 @@
 Inputs are relations: queries (query_id, query_text) and chunks (context_id, chunk_idx, text).  Every query meets
 every context; statistics (document frequency, mean length, maxima) are per context, or per query and context.
 Words are stemmed once per distinct word.  The question side is joined on words and never crossed with them.
+
+A few questions against a corpus need few of its words: the distinct vocabulary is stemmed once, the words that
+some question asks for (by stem, synonym or likeness) and those that do not count in lengths are picked from it,
+and only these are looked for in the chunks, by a broadcast of checked size (`Wanted`).  Where there are more of
+them, or where questions belong to contexts of their own, all words are counted and joined.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,8 +60,65 @@ def term_frequencies(chunks: DataFrame, words: DataFrame | None = None) -> DataF
     """(context_id, chunk_idx, term, tf) over stems; stop words go after stemming."""
     words = occurrences(chunks) if words is None else words
     rows = stemmed(words).filter(_content("stem"))
-    # read by frequencies, lengths, sizes and the join with the question: kept after its first computation
-    return rows.groupBy(*CHUNK, F.col("stem").alias("term")).agg(F.sum("n").alias("tf")).persist()
+    return rows.groupBy(*CHUNK, F.col("stem").alias("term")).agg(F.sum("n").alias("tf"))
+
+
+MAX_WANTED = 200_000
+
+
+def small(df: DataFrame) -> DataFrame | None:
+    """df as a broadcast side, computed now, if it has at most MAX_WANTED rows; else None."""
+    rows = df.limit(MAX_WANTED + 1).toArrow()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if rows.num_rows <= MAX_WANTED else None
+
+
+class Wanted:
+    """What some questions need of the words of all chunks.
+
+    counts: (context_id, chunk_idx, n_words, word, stem, n) of the words that are asked for, in chunks that have
+    any; lengths: (context_id, chunk_idx, dl); sizes: (context_id, n_docs, avg_dl); pairs: (a, b, similarity)."""
+
+    def __init__(self, counts: DataFrame, lengths: DataFrame, sizes: DataFrame, pairs: DataFrame | None):
+        self.counts, self.lengths, self.sizes, self.pairs = counts, lengths, sizes, pairs
+
+    @staticmethod
+    def of(queries: DataFrame, chunks: DataFrame, asked_stems: DataFrame, synonyms: DataFrame | None = None, fuzzy: HybridWeights | None = None) -> Wanted | None:
+        """None if the questions have contexts of their own or need too many words. synonyms: (synonym, stem) wanted."""
+        if "context_id" in queries.columns:
+            return None
+        asked = small(asked_stems.select("term").distinct())
+        if asked is None:
+            return None
+        vocabulary = t.stems(chunks.select(F.explode(t.words(F.col("text"))).alias("word")).distinct()).persist()
+        try:
+            by_stem = vocabulary.join(asked.withColumnRenamed("term", "stem"), "stem", "left_semi").select("word", "stem")
+            silent = vocabulary.filter(~_content("stem")).select("word", "stem")
+            wanted, pairs = by_stem.unionByName(silent), None
+            if synonyms is not None:
+                few = small(synonyms.select("synonym", "stem").distinct())
+                if few is None:
+                    return None
+                wanted = wanted.unionByName(vocabulary.join(few.select("stem"), "stem", "left_semi").select("word", "stem"))
+                wanted = wanted.unionByName(vocabulary.join(few.select(F.col("synonym").alias("word")), "word", "left_semi").select("word", "stem"))
+            if fuzzy is not None:
+                left = queries.select(F.explode(t.content_words(t.words(F.col("query_text")))).alias("word")).distinct()
+                pairs = small(similar_words(left, vocabulary.filter(_content("word")).select("word"), fuzzy.ngram_n, fuzzy.ngram_threshold))
+                if pairs is None:
+                    return None
+                wanted = wanted.unionByName(vocabulary.join(pairs.select(F.col("b").alias("word")).distinct(), "word", "left_semi").select("word", "stem"))
+            kept = small(wanted.distinct())
+        finally:
+            vocabulary.unpersist()
+        if kept is None:
+            return None
+        each = chunks.select(*CHUNK, t.words(F.col("text")).alias("w"))
+        counts = each.select(*CHUNK, F.size("w").alias("n_words"), F.explode("w").alias("word")).join(kept, "word")
+        counts = counts.groupBy(*CHUNK, "n_words", "word", "stem").agg(F.count("*").alias("n"))
+        lengths = counts.groupBy(*CHUNK).agg((F.first("n_words") - F.sum(F.when(_content("stem"), 0).otherwise(F.col("n")))).alias("dl"))
+        silenced = counts.filter(~_content("stem")).groupBy("context_id").agg(F.sum("n").alias("silent"))
+        sizes = each.groupBy("context_id").agg(F.count("*").alias("n_docs"), F.sum(F.size("w")).alias("total")).join(silenced, "context_id", "left")
+        sizes = sizes.select("context_id", "n_docs", ((F.col("total") - F.coalesce("silent", F.lit(0))) / F.col("n_docs")).alias("avg_dl"))
+        return Wanted(counts, lengths, sizes, pairs)
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
@@ -99,21 +162,38 @@ def _by_context(asked: DataFrame, queries: DataFrame) -> tuple[DataFrame, list[s
     return asked.join(queries.select("query_id", "context_id"), "query_id"), ["context_id"]
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, w: HybridWeights = HybridWeights(), words: DataFrame | None = None) -> DataFrame:
+def bm25(queries: DataFrame, chunks: DataFrame, w: HybridWeights = HybridWeights(), words: DataFrame | None = None, wanted: Wanted | None = None) -> DataFrame:
     """(query_id, context_id, chunk_idx, bm25): rows with a common term only."""
-    tf = term_frequencies(chunks, words)
-    lengths = tf.groupBy(*CHUNK).agg(F.sum("tf").alias("dl"))
-    sizes = context_sizes(chunks, lengths)
-    terms, own = _by_context(query_stems(queries), queries)
+    asked = query_stems(queries)
+    wanted = Wanted.of(queries, chunks, asked) if wanted is None and words is None else wanted
+    terms, own = _by_context(asked, queries)
+    if wanted is not None:
+        tf = wanted.counts.filter(_content("stem")).groupBy(*CHUNK, F.col("stem").alias("term")).agg(F.sum("n").alias("tf"))
+        lengths, sizes = wanted.lengths, wanted.sizes
+    else:
+        tf = term_frequencies(chunks, words)
+        lengths = tf.groupBy(*CHUNK).agg(F.sum("tf").alias("dl"))
+        sizes = context_sizes(chunks, lengths)
     hits = terms.join(tf, [*own, "term"]).join(document_frequencies(tf), ["context_id", "term"]).join(lengths, CHUNK).join(sizes, "context_id")
     part = F.col("times") * bm25_term(F.col("tf"), idf(F.col("df"), F.col("n_docs")), F.col("dl"), F.col("avg_dl"), w.k1, w.b)
     return hits.groupBy("query_id", *CHUNK).agg(F.sum(part).alias("bm25"))
 
 
-def normalised(column: str, by: list[str]):
-    """Share of the largest in its group; a largest of 0 or less counts as 1."""
-    top = F.max(column).over(Window.partitionBy(*by))
-    return F.col(column) / F.when(top > 0, top).otherwise(F.lit(1.0))
+MAX_PAIRS = 100_000
+
+
+def scaled(rows: DataFrame, columns: list[str], queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """rows with each column as a share of the largest of its question and context (a largest of 0 or less counts as 1): the maxima are
+    partial aggregates, joined back by a broadcast where the questions and contexts are few, and never a window over
+    all rows of a question."""
+    by = ["query_id", "context_id"]
+    n = queries.count()
+    if "context_id" not in queries.columns:
+        n *= chunks.select("context_id").distinct().count()
+    tops = rows.groupBy(*by).agg(*[F.max(c).alias(f"top_{c}") for c in columns])
+    joined = rows.join(F.broadcast(tops) if n <= MAX_PAIRS else tops, by)
+    share = {c: F.col(c) / F.when(F.col(f"top_{c}") > 0, F.col(f"top_{c}")).otherwise(F.lit(1.0)) for c in columns}
+    return joined.select(*[c for c in rows.columns if c not in columns], *columns, *[x.alias(f"{c}_share") for c, x in share.items()])
 
 
 def synonym_table(groups: DataFrame) -> DataFrame:
@@ -122,16 +202,22 @@ def synonym_table(groups: DataFrame) -> DataFrame:
     return last.join(groups.withColumnRenamed("word", "synonym"), "group_id").filter("word <> synonym").select("word", "synonym").distinct()
 
 
-def synonym_scores(queries: DataFrame, chunks: DataFrame, synonyms: DataFrame, words: DataFrame | None = None) -> DataFrame:
-    """(query_id, context_id, chunk_idx, synonym): share of the question's synonyms that a chunk has, as they are or by stem."""
-    words = occurrences(chunks) if words is None else words
+def synonyms_asked(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """(query_id, synonym, stem): synonyms of a question's words."""
     asked = queries.select("query_id", F.explode(F.array_distinct(t.content_words(t.words(F.col("query_text"))))).alias("word"))
-    wanted = asked.join(synonyms, "word").select("query_id", "synonym").distinct()
-    wanted = wanted.join(t.stems(wanted.select("synonym").distinct(), "synonym"), "synonym")
-    total = wanted.groupBy("query_id").agg(F.count("*").alias("total"))
-    wanted, own = _by_context(wanted, queries)
-    raw = wanted.join(words.filter(_content("word")).withColumn("synonym", F.col("word")), [*own, "synonym"]).select("query_id", *CHUNK, "synonym")
-    by_stem = wanted.join(stemmed(words).filter(_content("stem")), [*own, "stem"]).select("query_id", *CHUNK, "synonym")
+    found = asked.join(synonyms, "word").select("query_id", "synonym").distinct()
+    return found.join(t.stems(found.select("synonym").distinct(), "synonym"), "synonym")
+
+
+def synonym_scores(queries: DataFrame, chunks: DataFrame, synonyms: DataFrame, words: DataFrame | None = None, wanted: Wanted | None = None) -> DataFrame:
+    """(query_id, context_id, chunk_idx, synonym): share of the question's synonyms that a chunk has, as they are or by stem."""
+    asked = synonyms_asked(queries, synonyms)
+    wanted = Wanted.of(queries, chunks, query_stems(queries), asked) if wanted is None and words is None else wanted
+    total = asked.groupBy("query_id").agg(F.count("*").alias("total"))
+    asked, own = _by_context(asked, queries)
+    words = wanted.counts if wanted is not None else stemmed(occurrences(chunks) if words is None else words)
+    raw = asked.drop("stem").join(words.filter(_content("word")).withColumn("synonym", F.col("word")), [*own, "synonym"]).select("query_id", *CHUNK, "synonym")
+    by_stem = asked.join(words.filter(_content("stem")), [*own, "stem"]).select("query_id", *CHUNK, "synonym")
     hits = raw.unionByName(by_stem).distinct().groupBy("query_id", *CHUNK).agg(F.count("*").alias("hits"))
     return hits.join(total, "query_id").select("query_id", *CHUNK, (F.col("hits") / F.col("total")).alias("synonym"))
 
@@ -143,19 +229,20 @@ def similar_words(left: DataFrame, right: DataFrame, n: int = 3, threshold: floa
     above the threshold."""
     a = left.select(*by, F.col("word").alias("a"), t.grams(F.col("word"), n).alias("g")).select(*by, "a", F.size("g").alias("na"), F.explode("g").alias("gram"))
     b = right.select(*by, F.col("word").alias("b"), t.grams(F.col("word"), n).alias("g")).select(*by, "b", F.size("g").alias("nb"), F.explode("g").alias("gram"))
-    pairs = a.join(b, [*by, "gram"]).filter((F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na")))
+    few = None if by else small(a)
+    pairs = b.join(a if few is None else few, [*by, "gram"]).filter((F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na")))
     common = pairs.groupBy(*by, "a", "b", "na", "nb").agg(F.count("*").alias("both"))
     out = common.select(*by, "a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("similarity"))
     return out.filter(F.col("similarity") >= threshold)
 
 
-def fuzzy_scores(queries: DataFrame, chunks: DataFrame, w: HybridWeights = HybridWeights(), words: DataFrame | None = None) -> DataFrame:
+def fuzzy_scores(queries: DataFrame, chunks: DataFrame, w: HybridWeights = HybridWeights(), words: DataFrame | None = None, wanted: Wanted | None = None) -> DataFrame:
     """(query_id, context_id, chunk_idx, ngram): mean over question words of their best match in the chunk, 1 if the word itself is there."""
-    words = (occurrences(chunks) if words is None else words).filter(_content("word"))
+    words = (wanted.counts if wanted is not None else occurrences(chunks) if words is None else words).filter(_content("word"))
     asked = queries.select("query_id", F.explode(t.content_words(t.words(F.col("query_text")))).alias("a")).groupBy("query_id", "a").agg(F.count("*").alias("times"))
     total = asked.groupBy("query_id").agg(F.sum("times").alias("total"))
     asked, own = _by_context(asked, queries)
-    pairs = similar_words(asked.select(*own, F.col("a").alias("word")).distinct(), words.select(*own, "word").distinct(), w.ngram_n, w.ngram_threshold, tuple(own))
+    pairs = wanted.pairs if wanted is not None else similar_words(asked.select(*own, F.col("a").alias("word")).distinct(), words.select(*own, "word").distinct(), w.ngram_n, w.ngram_threshold, tuple(own))
     best = asked.join(pairs, [*own, "a"]).join(words.withColumnRenamed("word", "b"), [*own, "b"]).groupBy("query_id", *CHUNK, "a").agg(F.max("similarity").alias("best"), F.first("times").alias("times"))
     summed = best.groupBy("query_id", *CHUNK).agg(F.sum(F.col("best") * F.col("times")).alias("found"))
     return summed.join(total, "query_id").select("query_id", *CHUNK, (F.col("found") / F.col("total")).alias("ngram"))
@@ -192,7 +279,9 @@ def hybrid_scores(queries: DataFrame, chunks: DataFrame, synonyms: DataFrame | N
     """(query_id, context_id, chunk_idx, bm25, ngram, synonym, numeric, method, related, score) for every chunk of every query.
 
     If queries has a column context_id, a query meets that context only."""
-    words = occurrences(chunks).persist()
+    asked = synonyms_asked(queries, synonyms) if synonyms is not None else None
+    wanted = Wanted.of(queries, chunks, query_stems(queries), asked, w)
+    words = None if wanted is not None else occurrences(chunks)
     flags = intents(F.col("query_text"))
     keyed = "context_id" in queries.columns
     q = queries.select("query_id", *(["context_id"] if keyed else []), *[v.alias(k) for k, v in flags.items()])
@@ -200,8 +289,13 @@ def hybrid_scores(queries: DataFrame, chunks: DataFrame, synonyms: DataFrame | N
     facts = chunks.select(*CHUNK, *[v.alias(k) for k, v in cues.items()])
     every = facts.join(q, "context_id") if keyed else facts.crossJoin(small_side(q))  # a stated set of questions against all chunks
     key = ["query_id", *CHUNK]
-    rows = every.join(bm25(queries, chunks, w, words), key, "left").join(fuzzy_scores(queries, chunks, w, words), key, "left")
-    rows = rows.join(synonym_scores(queries, chunks, synonyms, words), key, "left") if synonyms is not None else rows.withColumn("synonym", F.lit(0.0))
+    # hits of the three scores, each chunk once; chunks without any are filled with zeros below
+    parts = [(bm25(queries, chunks, w, words, wanted), "bm25"), (fuzzy_scores(queries, chunks, w, words, wanted), "ngram")]
+    if synonyms is not None:
+        parts.append((synonym_scores(queries, chunks, synonyms, words, wanted), "synonym"))
+    found = [d.select(*key, *[F.col(c) if c == name else F.lit(None).cast("double").alias(c) for c in ("bm25", "ngram", "synonym")]) for d, name in parts]
+    hits = reduce(DataFrame.unionByName, found).groupBy(*key).agg(*[F.max(c).alias(c) for c in ("bm25", "ngram", "synonym")])
+    rows = every.join(hits, key, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     damped = zero("bm25") * F.when(F.col("wants_method"), F.col("method_damping")).otherwise(1.0) * F.when(F.col("wants_related"), F.col("related_damping")).otherwise(1.0)
     asked = lambda flag, c: F.when(F.col(flag), F.col(c)).otherwise(0.0)
@@ -209,9 +303,9 @@ def hybrid_scores(queries: DataFrame, chunks: DataFrame, synonyms: DataFrame | N
         *key, "wants_numbers", "wants_method", "wants_related", damped.alias("bm25"), zero("ngram").alias("ngram"), zero("synonym").alias("synonym"),
         asked("wants_numbers", "numeric").alias("numeric"), asked("wants_method", "method").alias("method"), asked("wants_related", "related").alias("related"),
     )
-    by = ["query_id", "context_id"]
-    score = w.bm25 * normalised("bm25", by) + w.ngram * normalised("ngram", by) + w.synonym * normalised("synonym", by)
+    rows = scaled(rows, ["bm25", "ngram", "synonym", "numeric", "method", "related"], queries, chunks)
+    score = w.bm25 * F.col("bm25_share") + w.ngram * F.col("ngram_share") + w.synonym * F.col("synonym_share")
     clamp = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
     for flag, column, weight in (("wants_numbers", "numeric", w.numeric), ("wants_method", "method", w.method), ("wants_related", "related", w.related)):
-        score = F.when(F.col(flag) & F.lit(weight > 0), clamp(score + weight * normalised(column, by))).otherwise(score)
-    return rows.withColumn("score", score).drop("wants_numbers", "wants_method", "wants_related")
+        score = F.when(F.col(flag) & F.lit(weight > 0), clamp(score + weight * F.col(f"{column}_share"))).otherwise(score)
+    return rows.select(*key, "bm25", "ngram", "synonym", "numeric", "method", "related", score.alias("score"))

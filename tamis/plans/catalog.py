@@ -133,7 +133,7 @@ def bm25_topk(spark, sf_dir):
 @query(o.bm25_sql(None) + " select query_id, count(*) as n, round(sum(bm25 / m), 4) as norm_total, sum((bm25 / m >= 0.5)::int)::bigint as strong from (select *, max(bm25) over (partition by query_id) as m from bm25) group by query_id")
 def bm25_multi_query_norm(spark, sf_dir):
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    found = scoring.bm25(q, corpus(spark, sf_dir)).withColumn("norm", scoring.normalised("bm25", ["query_id", "context_id"]))
+    found = scoring.scaled(scoring.bm25(q, corpus(spark, sf_dir)), ["bm25"], q, corpus(spark, sf_dir)).withColumnRenamed("bm25_share", "norm")
     return found.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("norm"), 4).alias("norm_total"), F.sum((F.col("norm") >= 0.5).cast("int")).alias("strong"))
 
 
@@ -437,7 +437,7 @@ def stream_dedup_equals_batch(spark, sf_dir):
 def select_under_budget(spark, sf_dir):
     """Which documents answer a question best, within a token budget, and what that saves."""
     chunks = corpus(spark, sf_dir)
-    scored = scoring.bm25(questions(spark), chunks).withColumn("score", scoring.normalised("bm25", ["query_id", "context_id"]))
+    scored = scoring.scaled(scoring.bm25(questions(spark), chunks), ["bm25"], questions(spark), chunks).withColumnRenamed("bm25_share", "score")
     above = scored.filter("score >= 0.15").withColumn("score", F.round("score", 6)).join(chunks, ["context_id", "chunk_idx"])
     best = selection.could_fit(above, 4000).select("query_id", "context_id", "chunk_idx", "text", "score", F.lit(False).alias("keep"))
     chosen = selection.enforce_budget(best, 4000)
