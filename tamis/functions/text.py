@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,15 @@ def token_estimate_of_length(n: Column, chars_per_token: float = 4.0) -> Column:
     return F.greatest(F.lit(1), F.floor(n / F.lit(float(chars_per_token))).cast("int"))
 
 
+def exact_tokens(encode):
+    """A function of a text column: the number of tokens that `encode`, from a text to a list, gives. Runs in Arrow batches."""
+    @F.pandas_udf("int")
+    def count(texts: pd.Series) -> pd.Series:
+        return texts.fillna("").map(lambda x: len(encode(x))).astype("int32")
+
+    return count
+
+
 def measure(w: Column) -> Column:
     """Changes from a vowel to another letter."""
     return ((F.length(w) - F.length(F.regexp_replace(w, "[aeiou][^aeiou]", ""))) / 2).cast("int")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tamis.functions import text as t
 
+# What counts as an import of a script, and the extensions that are tried.
 JS_IMPORT = re.compile(r"^\s*import[\s\w{},*]+from\s+[\"']([^\"']+)[\"']", re.MULTILINE)
 JS_EXT = (".ts", ".tsx", ".js", ".jsx")
 FACTS = "path string, fact string, name string, kind string, first int, last int, ord int"

@@ -25,10 +25,12 @@ def search_lines(files: DataFrame, query: str, max_matches: int = 30, context_li
     fold = (lambda c: c) if case_sensitive else F.lower
     needle = q if case_sensitive else q.lower()
     text = files.filter(~F.contains(F.col("text"), F.lit("\u0000"))).select("path", F.split("text", "\r\n|\n|\r").alias("lines"))
-    rows = text.select("path", "lines", F.posexplode("lines").alias("i", "ln")).filter(F.contains(fold(F.col("ln")), F.lit(needle)))
-    first = F.greatest(F.col("i") + 1 - context_lines, F.lit(1))
-    last = F.least(F.col("i") + 1 + context_lines, F.size("lines"))
-    rows = rows.select("path", (F.col("i") + 1).alias("line"), t.strip(F.array_join(F.slice("lines", first, last - first + 1), "\n")).alias("preview"))
+    # numbers of the lines that hit, and for these alone a slice of the lines around: no line carries its whole file
+    numbered = F.transform("lines", lambda ln, i: F.when(F.contains(fold(ln), F.lit(needle)), i + 1))
+    text = text.withColumn("hits", F.array_compact(numbered)).filter(F.size("hits") > 0)
+    around = lambda i: F.slice("lines", F.greatest(i - context_lines, F.lit(1)), F.least(i + context_lines, F.size("lines")) - F.greatest(i - context_lines, F.lit(1)) + 1)
+    spans = F.transform("hits", lambda i: F.struct(i.alias("line"), F.array_join(around(i), "\n").alias("preview")))
+    rows = text.select("path", F.explode(spans).alias("x")).select("path", "x.line", t.strip(F.col("x.preview")).alias("preview"))
     body = F.col("preview") if case_sensitive else F.lower("preview")
     hits = ((F.length(body) - F.length(F.replace(body, F.lit(needle), F.lit("")))) / len(needle)).cast("double")
     name = F.contains(fold(F.substring_index("path", "/", -1)), F.lit(needle))

@@ -9,7 +9,8 @@ from tamis.functions import text as t
 from tamis.operators import code, vectors
 from tamis.sources import loaders
 
-ENTRY_POINTS = ["main.py", "__main__.py", "app.py", "cli.py", "server.py", "index.ts", "index.js", "main.ts", "manage.py"]
+# Names of files where a program starts.
+ENTRY_POINTS = ["__main__.py", "main.py", "cli.py", "app.py", "server.py", "manage.py"]
 
 
 def fingerprint(embedder: str, dims: int) -> str:
@@ -77,10 +78,11 @@ def project_overview(query: str, records: DataFrame, files: DataFrame, syms: Dat
     near = _ranked(reached.join(files.select(F.col("path").alias("node"), "text"), "node"), [F.desc("score"), "node"]).select("pos", t.source_block(F.col("node"), t.file_preview(F.col("text"), F.lit(query), 80)).alias("chunk"))
     manifests = _ranked(loaders.manifest_files(files), ["path"]).select("pos", t.source_block(F.col("path"), F.col("text")).alias("chunk"))
     name = F.lower(F.substring_index("path", "/", -1))
+    starts = fused.filter(name.isin(*ENTRY_POINTS)).select("path").distinct().orderBy("path").limit(20)
     return {
         "files": fused,
         "context": ordered_union(kept, near, manifests),
-        "entry_points": files.filter(name.isin(*ENTRY_POINTS)).select("path").orderBy("path"),
+        "entry_points": starts,
         "modules": code.module_counts(fused),
         "flows": edges.join(fused.select(F.col("path").alias("src")), "src", "left_semi").orderBy("src", "dst").limit(top_k),
     }

@@ -196,6 +196,13 @@ def scaled(rows: DataFrame, columns: list[str], queries: DataFrame, chunks: Data
     return joined.select(*[c for c in rows.columns if c not in columns], *columns, *[x.alias(f"{c}_share") for c, x in share.items()])
 
 
+def read_thesaurus(path: str) -> list[list[str]]:
+    """Groups of words of like meaning from a text file: a group on each line, words apart by commas."""
+    with open(path, encoding="utf-8") as lines:
+        groups = [[w.strip().lower() for w in line.split("#")[0].split(",") if w.strip()] for line in lines]
+    return [g for g in groups if len(g) > 1]
+
+
 def synonym_table(groups: DataFrame) -> DataFrame:
     """(word, synonym) from (group_id, word): a word of several groups belongs to the last of them."""
     last = groups.groupBy("word").agg(F.max("group_id").alias("group_id"))

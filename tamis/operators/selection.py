@@ -181,11 +181,6 @@ def survival(cases: DataFrame, prompts: DataFrame) -> DataFrame:
     )
 
 
-def p95(values: Column) -> Column:
-    """The value at floor(0.95 * (n - 1)) of the sorted values, by counts of values and not by a list: see `p95_of`."""
-    return F.element_at(F.array_sort(F.collect_list(values)), F.floor(0.95 * (F.count(values) - 1)).cast("int") + 1)
-
-
 def p95_of(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """by.., p95: from counts of distinct values and their running sum, so no group is collected."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import importlib.util
 import io
+import json
 import os
 import re
 import zipfile
@@ -17,10 +20,21 @@ from pyspark.sql import functions as F
 from tamis.functions import chunking as ch
 from tamis.functions import text as t
 
-TEXT_EXTENSIONS = [".txt", ".md", ".markdown", ".csv", ".json", ".jsonl", ".log", ".xml", ".yaml", ".yml", ".ini", ".cfg", ".toml", ".rst", ".html", ".htm", ".py"]
-IGNORED_DIRS = [".git", ".venv", "venv", "node_modules", "__pycache__", ".mypy_cache", ".pytest_cache", "dist", "build"]
+# Extensions that a folder is read for.
+TEXT_EXTENSIONS = [".txt", ".md", ".markdown", ".csv", ".json", ".jsonl", ".log", ".xml", ".yaml", ".yml", ".rst", ".html", ".htm", ".py"]
+DOCUMENT_EXTENSIONS = [".pdf", ".docx"]
+
+# Folders that are passed over.
+IGNORED_DIRS = [".git", ".venv", "venv", "__pycache__", ".pytest_cache", ".mypy_cache", ".ruff_cache", "site-packages", "dist", "build", ".idea", ".vscode"]
+
+# Tags of a page whose text is left out.
 SKIPPED_TAGS = {"script", "style", "nav", "footer", "header", "aside", "noscript", "iframe"}
-MANIFESTS = ["readme.md", "pyproject.toml", "package.json", "cargo.toml", "go.mod", "requirements.txt", "setup.py", "setup.cfg", "pom.xml", "build.gradle", "dockerfile", "docker-compose.yml", "makefile", "schema.prisma"]
+
+# Files that tell what a project is.
+MANIFESTS = [
+    "readme.md", "readme.txt", "pyproject.toml", "requirements.txt", "setup.py", "setup.cfg", "package.json", "cargo.toml", "go.mod",
+    "dockerfile", "docker-compose.yml", "docker-compose.yaml", ".env.example",
+]
 
 
 def allowed_roots(value: str) -> list[Path]:
@@ -44,17 +58,20 @@ def under_root(path: str, root: Path) -> Path:
     return found
 
 
-def read_files(spark: SparkSession, root: str, extensions: list[str] | None = None, max_depth: int = 5, max_bytes: int = 10 * 1024 * 1024, ignored: list[str] | None = None, max_files: int = 0) -> DataFrame:
-    """(path, modified, bytes, text): text files below root, by relative path; size and name filters reach the scan.
-
-    Bytes that are no UTF-8 are replaced; files with a NUL are left out."""
+def list_files(spark: SparkSession, root: str, extensions: list[str], max_depth: int = 5, max_bytes: int = 10 * 1024 * 1024, ignored: list[str] | None = None) -> DataFrame:
+    """(path, modified, bytes, content) below root, by relative path; size and name filters reach the scan."""
     base = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     prefix = base if "://" in base or base.startswith("file:") else "file:" + os.path.abspath(base)
     relative = F.regexp_replace("path", "^" + re.escape(prefix) + "/*", "")
     rows = files.filter(F.col("length") <= max_bytes).select(relative.alias("path"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"), "content")
-    rows = rows.filter(t.file_extension(F.col("path")).isin(*(extensions or TEXT_EXTENSIONS)) & (F.size(F.split("path", "/")) <= max_depth + 1))
-    rows = rows.filter(~F.exists(F.split("path", "/"), lambda d: d.isin(*(ignored if ignored is not None else IGNORED_DIRS))))
+    rows = rows.filter(t.file_extension(F.col("path")).isin(*extensions) & (F.size(F.split("path", "/")) <= max_depth + 1))
+    return rows.filter(~F.exists(F.split("path", "/"), lambda d: d.isin(*(ignored if ignored is not None else IGNORED_DIRS))))
+
+
+def read_files(spark: SparkSession, root: str, extensions: list[str] | None = None, max_depth: int = 5, max_bytes: int = 10 * 1024 * 1024, ignored: list[str] | None = None, max_files: int = 0) -> DataFrame:
+    """(path, modified, bytes, text): text files below root. Bytes that are no UTF-8 are replaced; files with a NUL are left out."""
+    rows = list_files(spark, root, extensions or TEXT_EXTENSIONS, max_depth, max_bytes, ignored)
     rows = rows.withColumn("text", F.make_valid_utf8(F.col("content").cast("string"))).drop("content")
     rows = rows.filter(~F.contains("text", F.lit("\u0000")))
     return rows.orderBy("path").limit(max_files) if max_files > 0 else rows
@@ -70,13 +87,61 @@ def document_type(path: Column) -> Column:
 
 
 def load_text(files: DataFrame) -> DataFrame:
-    """(path, chunk_idx, chunk): chunks by document type; a text without chunks is one."""
-    chunks = ch.smart_chunks(F.col("text"), document_type(F.col("path")))
-    return files.select("path", F.posexplode(F.when(F.size(chunks) > 0, chunks).otherwise(F.array("text"))).alias("chunk_idx", "chunk"))
+    """(path, chunk_idx, chunk): chunks by document type; a text without chunks is one, a blank text none."""
+    chunks, whole = ch.smart_chunks(F.col("text"), document_type(F.col("path"))), t.strip(F.col("text"))
+    each = F.when(F.size(chunks) > 0, chunks).when(whole != "", F.array(whole)).otherwise(F.expr("cast(array() as array<string>)"))
+    return files.select("path", F.posexplode(each).alias("chunk_idx", "chunk"))
+
+
+def csv_file_chunks(text: str) -> list[str]:
+    """`h: v | h: v` of every row of a CSV text, blank values left out; a text of a header alone is one chunk."""
+    rows = list(csv.reader(io.StringIO(text)))
+    if len(rows) < 2:
+        return [text.strip()] if text.strip() else []
+    found = [" | ".join(f"{k}: {v}" for k, v in zip(rows[0], row, strict=False) if v.strip()) for row in rows[1:]]
+    return [x for x in found if x]
+
+
+def json_file_chunks(text: str) -> list[str]:
+    """Pairs of an object, items of a list, or the scalar; what is no string is written as JSON again."""
+    said = lambda v: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+    data = json.loads(text)
+    if isinstance(data, dict):
+        return [f"{k}: {said(v)}" for k, v in data.items()]
+    return [said(v) for v in data] if isinstance(data, list) else [str(data)]
 
 
-def load_directory(spark: SparkSession, root: str, prefix: bool = True, **options) -> DataFrame:
-    rows = load_text(read_files(spark, root, **options))
+def load_files(files: DataFrame, pdf_reader=None) -> DataFrame:
+    """(path, chunk_idx, chunk) of files (path, content), each by the loader of its extension; a file that its loader
+    cannot read is left out. Parsing runs in Arrow batches, chunking of texts in the JVM."""
+
+    def body(batches):
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                kind = os.path.splitext(path)[1].lower()
+                try:
+                    if kind == ".docx":
+                        rows.append((path, docx_text(content), None))
+                    elif kind == ".pdf":
+                        rows.append((path, (pdf_reader or pdf_text)(content), None))
+                    else:
+                        text = content.decode("utf-8", "replace")
+                        ready = csv_file_chunks(text) if kind == ".csv" else json_file_chunks(text) if kind == ".json" else None
+                        rows.append((path, text, ready))
+                except Exception:  # noqa: S112, BLE001: one bad file does not stop a folder
+                    continue
+            path, text, ready = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(text, pa.string()), pa.array(ready, pa.list_(pa.string()))], ["path", "text", "ready"])
+
+    parsed = files.select("path", "content").mapInArrow(body, "path string, text string, ready array<string>")
+    plain = load_text(parsed.filter("ready is null"))
+    return plain.unionByName(parsed.filter("ready is not null").select("path", F.posexplode("ready").alias("chunk_idx", "chunk")))
+
+
+def load_directory(spark: SparkSession, root: str, prefix: bool = True, extensions: list[str] | None = None, pdf_reader=None, **options) -> DataFrame:
+    """(path, chunk_idx, chunk) of all files below root, each by its own loader."""
+    rows = load_files(list_files(spark, root, extensions or TEXT_EXTENSIONS + DOCUMENT_EXTENSIONS, **options), pdf_reader)
     return rows.withColumn("chunk", F.concat(F.lit("["), "path", F.lit("] "), "chunk")) if prefix else rows
 
 
@@ -87,7 +152,11 @@ def row_chunks(table: DataFrame, columns: list[str] | None = None) -> Column:
 
 
 def load_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(chunk) of a table of any size, read in parallel; a file of a header alone gives its text. `load` and folders
+    take a whole file in one task instead and number its rows."""
     table = spark.read.csv(path, header=True, multiLine=True, inferSchema=False)
+    if table.isEmpty():
+        return spark.read.text(path, wholetext=True).select(t.strip(F.col("value")).alias("chunk")).filter("chunk <> ''")
     return table.select(row_chunks(table).alias("chunk")).filter("chunk <> ''")
 
 
@@ -157,25 +226,28 @@ def docx_text(content: bytes) -> str:
     return "\n".join("".join(x.text or "" for x in p.iter(ns + "t")) for p in root.iter(ns + "p"))
 
 
+def pdf_text(content: bytes) -> str:
+    """Text of a PDF file by the optional pypdf."""
+    try:
+        from pypdf import PdfReader
+    except ImportError as e:
+        raise ImportError("reading PDF files needs the pypdf package, or a reader of your own") from e
+    return "\n\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages)
+
+
+def _one(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select(F.lit(path).alias("path"), "content")
+
+
 def load_docx(spark: SparkSession, path: str) -> DataFrame:
-    read = F.udf(docx_text, "string")
-    rows = spark.read.format("binaryFile").load(path).select("path", read("content").alias("text"))
-    return rows.select("path", F.posexplode(ch.smart_chunks(F.col("text"), F.lit("auto"))).alias("chunk_idx", "chunk"))
+    return load_files(_one(spark, path))
 
 
 def load_pdf(spark: SparkSession, path: str, reader=None) -> DataFrame:
     """reader(bytes) gives the text of a file; the usual one needs the optional pypdf."""
-    if reader is None:
-        try:
-            from pypdf import PdfReader
-        except ImportError as e:
-            raise ImportError("reading PDF files needs the pypdf package, or a reader of your own") from e
-
-        def reader(content: bytes) -> str:
-            return "\n\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages)
-
-    rows = spark.read.format("binaryFile").load(path).select("path", F.udf(reader, "string")("content").alias("text"))
-    return rows.select("path", F.posexplode(ch.smart_chunks(F.col("text"), F.lit("pdf"))).alias("chunk_idx", "chunk"))
+    if reader is None and importlib.util.find_spec("pypdf") is None:
+        raise ImportError("reading PDF files needs the pypdf package, or a reader of your own")
+    return load_files(_one(spark, path), reader)
 
 
 def load(spark: SparkSession, source: str | list) -> DataFrame:
@@ -190,26 +262,19 @@ def load(spark: SparkSession, source: str | list) -> DataFrame:
         raise ValueError("fetch pages outside the engine and pass them to page_texts")
     if "://" not in source and not os.path.exists(source):
         raise FileNotFoundError(source)
-    name = source.lower()
-    if name.endswith(".docx"):
-        return load_docx(spark, source)
-    if name.endswith(".pdf"):
-        return load_pdf(spark, source)
-    if name.endswith(".csv"):
-        return load_csv(spark, source).select(F.lit(source).alias("path"), F.monotonically_increasing_id().cast("int").alias("chunk_idx"), "chunk")
-    if name.endswith(".json"):
-        return load_json(spark, source).select(F.lit(source).alias("path"), "chunk_idx", "chunk")
     if "://" not in source and os.path.isdir(source):
         return load_directory(spark, source)
-    rows = spark.read.text(source, wholetext=True).select(F.lit(source).alias("path"), F.col("value").alias("text"))
-    return load_text(rows)
+    if source.lower().endswith(".pdf"):
+        return load_pdf(spark, source)
+    return load_files(_one(spark, source))
 
 
 def manifest_files(files: DataFrame, max_depth: int = 2, max_files: int = 20, max_bytes: int = 256_000) -> DataFrame:
-    """Project manifests and readmes near the root, each text once."""
+    """Project manifests and readmes near the root, each text once, under its first path."""
     name = F.lower(F.substring_index("path", "/", -1))
     rows = files.filter(name.isin(*MANIFESTS) & (F.size(F.split("path", "/")) <= max_depth + 1) & (F.col("bytes") <= max_bytes))
-    return rows.dropDuplicates(["text"]).orderBy("path").limit(max_files)
+    first = rows.groupBy("text").agg(F.min(F.struct("path", *[c for c in rows.columns if c not in ("path", "text")])).alias("r"))
+    return first.select("r.*", "text").select(rows.columns).orderBy("path").limit(max_files)
 
 
 def bench_cases(spark: SparkSession, path: str) -> DataFrame:

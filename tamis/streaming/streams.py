@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -22,7 +23,11 @@ def dedup_stream(texts: DataFrame, watermark: tuple[str, str] | None = None) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder that all executors share, from spark.checkpoint.dir; a folder of our own in local mode only."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or tempfile.mkdtemp(prefix="tamis-streams-")
 
 
 def drain(stream: DataFrame, name: str = "stream", mode: str = "append") -> DataFrame:
@@ -74,6 +79,10 @@ def ttl_cache_stream(requests: DataFrame, ttl_seconds: float, late: str = "1 hou
 def maintain_index(files: DataFrame, build: Callable[[DataFrame], DataFrame], target: str, checkpoint: str):
     """Index upkeep: each batch of files is built and replaces those files' rows (partitions by path hash)."""
 
+    context = files.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(files.sparkSession))
+
     def upsert(batch: DataFrame, _: int) -> None:
         latest = batch.groupBy("path").agg(F.max_by(F.struct(*batch.columns), "modified").alias("r")).select("r.*")
         fresh = build(latest).withColumn("path_bucket", F.pmod(F.xxhash64("path"), F.lit(64)).cast("int"))

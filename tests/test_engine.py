@@ -1,6 +1,11 @@
+import io
+import json
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
+from tamis.functions import text as t
 from tamis.operators import code, kb, scoring, selection
 from tamis.sources import loaders
 
@@ -135,7 +140,7 @@ def test_loaders(spark, tmp_path):
     (tmp_path / "n.txt").write_text("hello world")
     chunks = lambda name: [r["chunk"] for r in loaders.load(spark, str(tmp_path / name)).collect()]
     assert chunks("t.csv") == ["name: Ann | city: Rome", "name: Bob"]
-    assert chunks("l.json") == ["one", '{"a":1}'] and chunks("o.json") == ["k: v", "n: 2"] and chunks("n.txt") == ["hello world"]
+    assert chunks("l.json") == ["one", '{"a": 1}'] and chunks("o.json") == ["k: v", "n: 2"] and chunks("n.txt") == ["hello world"]
     with pytest.raises(FileNotFoundError):
         loaders.load(spark, str(tmp_path / "none.txt"))
     with pytest.raises(PermissionError):
@@ -144,6 +149,107 @@ def test_loaders(spark, tmp_path):
         loaders.under_root("../x", tmp_path)
 
 
+def docx_bytes(*paragraphs):
+    body = "".join(f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>" for x in paragraphs)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+def test_folder(spark, tmp_path):
+    """Every file of a folder by its own loader; broken and ignored ones are left out."""
+    (tmp_path / "sub").mkdir()
+    (tmp_path / ".venv").mkdir()
+    (tmp_path / "a.csv").write_text("name,city\nAnn,Rome\nBob,\n")
+    (tmp_path / "sub" / "b.csv").write_text("only,header\n")
+    (tmp_path / "c.json").write_text('{"k": "v", "n": [1, 2]}')
+    (tmp_path / "bad.json").write_text("{oops")
+    (tmp_path / "d.docx").write_bytes(docx_bytes("First part", "Second part"))
+    (tmp_path / "e.pdf").write_bytes(b"%PDF pretend")
+    (tmp_path / "blank.txt").write_text("  \n ")
+    (tmp_path / ".venv" / "f.txt").write_text("hidden")
+    got = {(r["path"], r["chunk_idx"]): r["chunk"] for r in loaders.load_directory(spark, str(tmp_path), prefix=False, pdf_reader=lambda b: "text of " + b[1:4].decode()).collect()}
+    assert got[("a.csv", 0)] == "name: Ann | city: Rome" and got[("a.csv", 1)] == "name: Bob" and got[("sub/b.csv", 0)] == "only,header"
+    assert got[("c.json", 0)] == "k: v" and got[("c.json", 1)] == "n: [1, 2]" and got[("d.docx", 0)] == "First part\nSecond part" and got[("e.pdf", 0)] == "text of PDF"
+    assert {p for p, _ in got} == {"a.csv", "sub/b.csv", "c.json", "d.docx", "e.pdf"}
+    assert [r["chunk"] for r in loaders.load_docx(spark, str(tmp_path / "d.docx")).collect()] == ["First part\nSecond part"]
+    assert [r["chunk"] for r in loaders.load_csv(spark, str(tmp_path / "sub" / "b.csv")).collect()] == ["only,header"]
+    both = loaders.load(spark, [str(tmp_path / "a.csv"), str(tmp_path / "c.json")])
+    assert both.count() == 4
+    files = spark.createDataFrame([("z/readme.md", 1, "same"), ("b/readme.md", 1, "same"), ("pom.xml", 1, "x"), ("readme.txt", 1, "other")], "path string, bytes bigint, text string")
+    assert [r["path"] for r in loaders.manifest_files(files).collect()] == ["b/readme.md", "readme.txt"]
+
+
+def test_source_index(spark, tree, tmp_path):
+    from tamis.sources.index import SourceIndex, git_head, index_home, now_iso
+
+    index = SourceIndex(spark, str(tree), tmp_path / "index", 64)
+    first = index.fresh().manifest()
+    assert first["files"] >= 2 and first["symbols"] >= 3 and first["imports"] >= 1 and first["chunks"] >= 2
+    assert "pkg/b.py" in {r["path"] for r in index.similar("def helper", 3).collect()} and index.search("helper").count() > 0
+    before = {r["path"]: r["chunk_hash"] for r in index.table("records").collect()}
+    (tree / "pkg" / "b.py").write_text("def helper():\n    return 'a much changed body of text'\n")
+    (tree / "pkg" / "new.py").write_text("def fresh_one():\n    return 1\n")
+    second = index.update()
+    after = {r["path"]: r["chunk_hash"] for r in index.table("records").collect()}
+    assert second["version"] != first["version"] and second["files"] == first["files"] + 1
+    assert after["pkg/a.py"] == before["pkg/a.py"] and after["pkg/b.py"] != before["pkg/b.py"] and "pkg/new.py" in after
+    assert not index.is_stale()
+    (tree / ".git").mkdir()
+    (tree / ".git" / "HEAD").write_text("ref: refs/heads/main\n")
+    (tree / ".git" / "packed-refs").write_text("# pack\n" + "1" * 40 + " refs/heads/main\n")
+    index.build()
+    assert git_head(tree) == "1" * 40 == index.manifest()["git_head"] and not index.is_stale()
+    (tree / ".git" / "packed-refs").write_text("2" * 40 + " refs/heads/main\n")
+    assert index.is_stale() and not index.fresh().is_stale()
+    index.write_calls(str(tmp_path / "calls"))
+    assert spark.read.json(str(tmp_path / "calls")).count() == json.loads((tmp_path / "calls.manifest.json").read_text())["edges"]
+    assert index_home().name == "indexes" and now_iso().endswith("+00:00")
+
+
+def test_caches(tmp_path):
+    from tamis.caches import CachedEmbedder, FileCache
+
+    now = [0.0]
+    answers = FileCache(str(tmp_path / "a.json"), ttl_seconds=10, clock=lambda: now[0])
+    answers.put("yes", "q", "m")
+    assert answers.get("q", "m") == "yes" and answers.get("q", "other") is None and answers.hit_rate == 0.5
+    now[0] = 11
+    assert answers.get("q", "m") is None and answers.size == 0
+    asked = []
+    vectors_ = FileCache(str(tmp_path / "v" / "v.json"))
+    embed = CachedEmbedder(lambda xs: asked.extend(xs) or [[float(len(x))] for x in xs], vectors_, "f")
+    assert embed(["a", "bb", "a"]) == [[1.0], [2.0], [1.0]] and asked == ["a", "bb"]
+    vectors_.save()
+    again = CachedEmbedder(lambda xs: 1 / 0, FileCache(str(tmp_path / "v" / "v.json")), "f")
+    assert again(["bb"]) == [[2.0]]
+
+
+def test_injection_and_tools(spark, tmp_path):
+    import tamis.engine as e
+
+    counts = lambda xs: [[x.lower().count("alpha"), x.lower().count("beta")] for x in xs]
+    cfg = selection.EngineConfig(max_context_tokens=8)
+    prompt, _ = e.Engine(spark, cfg, embedder=counts).build_prompt("beta beta", ["alpha alpha things", "beta beta things"])
+    assert "beta beta things" in prompt and "alpha alpha" not in prompt
+    fixed = lambda q, c: c.crossJoin(q.select("query_id")).selectExpr("query_id", "context_id", "chunk_idx", "cast(chunk_idx = 0 as double) as score")
+    prompt, _ = e.Engine(spark, cfg, scorer=fixed, embedder=counts).build_prompt("beta", ["alpha alpha things", "beta beta things"])
+    assert "alpha alpha things" in prompt  # a scorer goes before an embedder
+    (tmp_path / "t.txt").write_text("car, automobile  # vehicles\nprice, cost\nalone\n")
+    groups = scoring.read_thesaurus(str(tmp_path / "t.txt"))
+    assert groups == [["car", "automobile"], ["price", "cost"]]
+    prompt, _ = e.Engine(spark, cfg, thesaurus=groups).build_prompt("car price", ["some other words", "automobile cost table"])
+    assert "automobile cost" in prompt
+    tool = e.compress_tool(e.Engine(spark))
+    assert json.loads(e.call_tool({"function": {"name": "compress_context", "arguments": '{"context": "one two"}'}}, [tool]))["final_tokens"] > 0
+    assert "Unknown tool" in e.call_tool({"function": {"name": "none"}}, [tool])
+    got = spark.createDataFrame([("a b c",), (None,)], "t string").select(t.exact_tokens(str.split)("t").alias("n")).collect()
+    assert [r["n"] for r in got] == [3, 0]
+    row = e.run_bench(spark, e.BENCH_CASES[:2])
+    assert row["answer_survival"] == row["entity_survival"] == 100.0 and row["mean_reduction_pct"] > 50 and row["p95_latency_ms"] > 0 and selection.quality_gate(row)[0]
+
+
 def test_pages():
     page = "<html><body><nav>menu</nav><article><p>One</p><script>x</script><p>Two</p></article><footer>f</footer></body></html>"
     assert loaders.main_text(page) == "One\nTwo"
