@@ -60,7 +60,7 @@ def sampled_texts(rows: DataFrame, limit: int, max_bytes: int, by: list[str] | N
     # hashes of distinct texts are even: about 1.5 * limit + 100 of a group lie below this bound, so few are ranked
     share = F.least(F.lit(1.0), F.lit(1.5 * limit + 100) / F.col("n"))
     counts = each.groupBy(*by).agg(F.count("*").alias("n"))
-    sized = each.join(counts, by) if by else each.crossJoin(F.broadcast(counts))  # one row
+    sized = each.join(F.broadcast(counts), by) if by else each.crossJoin(F.broadcast(counts))  # a row for each group
     low = sized.filter(F.pmod(F.col("h"), F.lit(1 << 40)) <= share * F.lit(float(1 << 40))).drop("n")
     place = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     first = low.withColumn("rank", F.row_number().over(place.orderBy(F.pmod("h", F.lit(1 << 40)), "h"))).filter(F.col("rank") <= limit)

@@ -75,8 +75,8 @@ def one_thread() -> None:
 
 
 def vocabulary_size(n_bytes: int) -> int:
-    """Words that get parameters of their own: the root of the (estimated) number of tokens."""
-    return min(MAX_VOCABULARY, max(512, math.isqrt(n_bytes // 6)))
+    """Words that get parameters of their own: about the root of half the number of tokens."""
+    return min(MAX_VOCABULARY, max(512, math.isqrt(n_bytes // 12)))
 
 
 def _sum_exp(logits: np.ndarray) -> np.ndarray:
