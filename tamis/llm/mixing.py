@@ -172,5 +172,6 @@ def thin(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col
     moves = fit_steps(checkpointed(describe(docs, model, id_col, text_col).select("n_tokens", "p")), model.domains, weights)
     # the row stands apart as one struct, so its columns may have any name
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("bigint").alias("id"), words(docs[text_col]).alias("w"))
-    rated = model.add_posterior(rows).select("row", "id", rate_of(F.col("p"), moves).alias("rate"))
+    # the rate comes out of an explode of one value: a filter on it stays above, and is not written out word by word below
+    rated = model.add_posterior(rows).select("row", "id", F.explode(F.array(rate_of(F.col("p"), moves))).alias("rate"))
     return rated.filter(copies(F.col("rate"), F.col("id")) >= 1).select("row.*")
