@@ -374,7 +374,10 @@ def links_of_groups(docs: DataFrame, groups: DataFrame, size: int, num: int, den
     counts = joined.groupBy("grp", "part").agg(F.count("*").alias("n"))
     largest = checkpointed(counts.groupBy("grp").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("members"), (F.sum("n") - F.max("n")).alias("rest")))
     # at most BLOCK members of the rest in a block: each is sent once for each block of the group, and back
-    largest = largest.filter("rest > 0").withColumn("rests", F.ceil(F.col("rest") / BLOCK).cast("int"))
+    largest = largest.filter("rest > 0")
+    if largest.isEmpty():
+        return links.unionByName(near)
+    largest = largest.withColumn("rests", F.ceil(F.col("rest") / BLOCK).cast("int"))
     open_ = checkpointed(hot_join(joined.drop("members"), largest, ["grp"], "members").withColumn("block", block))
     rests = F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("lot")
     right = open_.select("doc_id", "grp", "part", "block", rests, F.lit(1).alias("side"))

@@ -5,7 +5,7 @@ pairs with one word skipped, beginnings of words (inflected or composed forms sh
 beginning comes twice, four or eight times.  Per-coordinate rates and the L1 term leave a short list of
 weights, which is broadcast; its size is bounded by 2**bits.
 
-Training reads a bounded sample of labelled rows (`max_rows`, half of them at most from the rarer label),
+Training runs in one task on a bounded sample of labelled rows (`max_rows`, half of them at most from the rarer label),
 chosen by the hash of the id; the intercept is moved from the sample's share of label 1 to the share among
 all labelled rows.  Null and empty texts get the intercept's score.  Without both labels nothing can be
 learned and every score is the share of label 1 (0 without labels).  Rows with a null label or null id are
@@ -125,19 +125,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 cut = np.searchsorted(doc, np.arange(part.n + 1))
                 yield pa.RecordBatch.from_arrays([y.slice(a, b - a).cast(pa.int32()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(coord, pa.int32()))], ["y", "x"])
 
-    got = texts.mapInArrow(body, "y int, x array<int>").toArrow()
-    sample = []
-    for batch in got.to_batches():
-        x, off = batch.column("x"), None
-        off, flat = x.offsets.to_numpy(), x.values.to_numpy()
-        sample += [(flat[s:e], y) for s, e, y in zip(off[:-1], off[1:], batch.column("y").to_pylist(), strict=True)]
-    sample.sort(key=lambda r: (r[1], len(r[0]), r[0][:8].tolist()))  # the order of arrival does not matter
-    if len({y for _, y in sample}) < 2:
+    shift = math.log(one / zero)
+
+    def learn(batches):
+        """All rows of the sample in one task: only the weights leave it."""
+        sample = []
+        for batch in batches:
+            x = batch.column("x")
+            off, flat = x.offsets.to_numpy(), x.values.to_numpy()
+            sample += [(flat[s:e].copy(), y) for s, e, y in zip(off[:-1], off[1:], batch.column("y").to_pylist(), strict=True)]
+        sample.sort(key=lambda r: (r[1], len(r[0]), r[0][:8].tolist()))  # the order of arrival does not matter
+        if len({y for _, y in sample}) == 2:
+            model = train(sample, bits)
+            ones = sum(y for _, y in sample)
+            bias = model.bias + shift - math.log(ones / (len(sample) - ones))
+            yield pa.RecordBatch.from_arrays([pa.array([bias]), pa.array([model.index.astype(np.int64).tobytes()]), pa.array([model.weight.astype(np.float64).tobytes()])], ["bias", "index", "weight"])
+
+    got = texts.mapInArrow(body, "y int, x array<int>").repartition(1).mapInArrow(learn, "bias double, index binary, weight binary").first()
+    if got is None:
         return Model(bits, -40.0)
-    model = train(sample, bits)
-    ones = sum(y for _, y in sample)
-    model.bias += math.log(one / zero) - math.log(ones / (len(sample) - ones))
-    return model
+    return Model(bits, got["bias"], np.frombuffer(got["index"], np.int64), np.frombuffer(got["weight"], np.float64))
 
 
 def _probability(own: Model, weights: np.ndarray, column: pa.Array) -> np.ndarray:
