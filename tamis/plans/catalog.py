@@ -215,10 +215,10 @@ def store_antijoin_increment(spark, sf_dir):
     "select count(*) as lookups, coalesce(sum(hit::int), 0)::bigint as hits, (count(*) - coalesce(sum(hit::int), 0))::bigint as misses, round(coalesce(sum(hit::int) / nullif(count(*), 0), 0), 6) as hit_rate from l"
 )
 def cache_hit_rate(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations")
-    keyed = turns.select("turn", t.key_hash(F.lit(""), F.col("text")).alias("key"))
-    cache = keyed.filter("turn = 0").select("key").distinct().withColumn("hit", F.lit(True))
-    rows = keyed.filter("turn > 0").join(cache, "key", "left").select(F.coalesce("hit", F.lit(False)).alias("hit"))
+    turns = table(spark, sf_dir, "conversations").select(F.xxhash64("conv_id", "turn").alias("id"), "turn", "text")
+    cache = turns.filter("turn = 0").select(t.key_hash(F.lit(""), F.col("text")).alias("key")).distinct().withColumn("vector", F.array(F.lit(1.0)))
+    hits, misses = vectors.cached_embeddings(turns.filter("turn > 0"), cache)
+    rows = hits.select(F.lit(True).alias("hit")).unionByName(misses.select(F.lit(False).alias("hit")))
     return vectors.hit_rate(rows).withColumn("hit_rate", F.round("hit_rate", 6))
 
 
@@ -410,11 +410,103 @@ def latency_p95(spark, sf_dir):
 
 
 @query(
-    "select quality, count(*) as n, round(100.0 * avg(contains(lower(text), 'thing')::int), 6) as answer_pct, round(100.0 * avg((toxic = 0)::int), 6) as clean_pct from documents join labels using (doc_id) group by quality"
+    "with f as (select conv_id, min_by(text, turn) as question, string_agg(text, chr(10) || chr(10) order by turn) as prompt, min(length(text)) as least from conversations group by conv_id), "
+    "c as (select *, string_split(question, ' ')[1] as word, [string_split(question, ' ')[1], 'thing'] as required, list_filter(['thing', string_split(question, ' ')[1]], lambda e: least % 2 = 0 or e = 'thing') as entities from f) "
+    "select count(*) as cases, round(100.0 * avg(contains(prompt, word || ' ')::int), 6) as answer_survival, round(100.0 * sum(len(list_filter(required, lambda e: contains(prompt, e) and list_contains(entities, e)))) / sum(len(required)), 6) as entity_survival, round(avg(least / 10.0), 6) as mean_reduction_pct from c"
 )
 def survival_metrics(spark, sf_dir):
-    rows = documents(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
-    return rows.groupBy("quality").agg(F.count("*").alias("n"), r6(100.0 * F.avg(F.contains(F.lower("text"), F.lit("thing")).cast("int"))).alias("answer_pct"), r6(100.0 * F.avg((F.col("toxic") == 0).cast("int"))).alias("clean_pct"))
+    chats = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"), F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"), F.min(F.length("text")).alias("least"))
+    word = F.get(F.split("question", " "), F.lit(0))
+    chats = chats.select(F.col("conv_id").alias("query_id"), word.alias("word"), F.array_join(F.transform("x", lambda y: y["text"]), "\n\n").alias("prompt"), "least")
+    cases = chats.select("query_id", F.concat("word", F.lit(" ")).alias("expected"), F.array("word", F.lit("thing")).alias("required"))
+    prompts = chats.select("query_id", "prompt", F.filter(F.array(F.lit("thing"), F.col("word")), lambda e: (F.col("least") % 2 == 0) | (e == "thing")).alias("entities"), (F.col("least") / 10.0).alias("reduction_pct"))
+    found = selection.survival(cases, prompts)
+    return found.select("cases", *[F.round(c, 6).alias(c) for c in ("answer_survival", "entity_survival", "mean_reduction_pct")])
+
+
+# --- graphs over the order tables: an order calls parts, a part is defined by its suppliers -----------------------
+
+
+def _order_calls(spark, sf_dir) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    name = F.concat(F.lit("shop.p"), F.col("l_partkey").cast("string"), F.lit("(x)"))
+    return li.select(F.lit("calls").alias("kind"), F.lit("<module>").alias("caller"), name.alias("callee"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("path"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("col"))
+
+
+@query(
+    "with w as (select distinct 'p' || l_partkey as name, 's' || l_suppkey as path from lineitem where l_suppkey % 7 < 3), ok as (select name from w group by name having count(*) <= 3), "
+    "e as (select 'o' || l_orderkey as src, w.path as dst, min(l_linenumber) as line from lineitem join w on w.name = 'p' || l_partkey where w.name in (select name from ok) group by 1, 2) "
+    "select src, dst from e qualify row_number() over (partition by src order by line, dst) <= 4"
+)
+def call_target_edges(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").filter("l_suppkey % 7 < 3")
+    syms = li.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("name"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("path"))
+    return code.call_targets(_order_calls(spark, sf_dir), syms, 3, 4)
+
+
+@query("select 'o' || l_orderkey as path, l_linenumber as line, 'shop.p' || l_partkey || '(x)' as callee from lineitem where l_orderkey % 100 = 0 order by path, line, l_partkey limit 30")
+def top_call_edges(spark, sf_dir):
+    paths = table(spark, sf_dir, "orders").filter("o_orderkey % 100 = 0").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("path"))
+    return code.top_calls(_order_calls(spark, sf_dir), paths, 30).select("path", "line", "callee")
+
+
+@query(
+    "with e as (select distinct 'o' || l_orderkey as src, 'p' || l_partkey as dst from lineitem), s as (select 'p' || p_partkey as node from part where p_partkey % 100 = 0), b as (select distinct src as node from e join s on e.dst = s.node) "
+    "select node, 1.0::double as score, 0 as hop from s union all select node, 0.4, 1 from b"
+)
+def importer_hops(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    edges = li.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).distinct()
+    seeds = table(spark, sf_dir, "part").filter("p_partkey % 100 = 0").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"), F.lit(1.0).alias("score"))
+    return code.expand(seeds, edges, 1, imports=False, importers=True)
+
+
+@query("select coalesce(nullif(source, ''), '.') as module, count(*) as files from documents group by 1 order by files desc, module limit 20")
+def module_top(spark, sf_dir):
+    return code.module_counts(documents(spark, sf_dir).select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path")))
+
+
+@query(
+    "with a as (select doc_id, md5(text) as h from documents where doc_id % 5 <> 0), b as (select doc_id, md5(text || case when doc_id % 3 = 0 then '!' else '' end) as h from documents where doc_id % 7 <> 0), "
+    "k as (select a.* from a join b using (doc_id, h)) select doc_id as path, h, 'kept' as origin from k union all select doc_id, h, 'fresh' from b where doc_id not in (select doc_id from k)"
+)
+def index_update(spark, sf_dir):
+    d = documents(spark, sf_dir).select(F.col("doc_id").alias("path"), "text")
+    before = d.filter("path % 5 <> 0").select("path", F.md5("text").alias("h"))
+    now = d.filter("path % 7 <> 0").select("path", F.md5(F.concat("text", F.when(F.col("path") % 3 == 0, "!").otherwise(""))).alias("h"))
+    changes = code.fingerprint_diff(before, now)
+    fresh = now.join(changes.filter("change in ('new', 'changed')").select("path"), "path", "left_semi").withColumn("origin", F.lit("fresh"))
+    return code.update_records(before.withColumn("origin", F.lit("kept")), changes, fresh)
+
+
+@query(
+    "with u as (select 0 as part, doc_id as pos, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as chunk from documents where doc_id % 2 = 0 union all select 1, doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') from documents) "
+    "select part, pos, md5(chunk) as h from u where chunk <> '' qualify row_number() over (partition by chunk order by part, pos) = 1"
+)
+def ordered_union_first(spark, sf_dir):
+    from tamis.operators import overview
+
+    d = documents(spark, sf_dir).select(F.col("doc_id").alias("pos"), F.col("text").alias("chunk"))
+    return overview.ordered_union(d.filter("pos % 2 = 0"), d).select("part", "pos", F.md5("chunk").alias("h"))
+
+
+@query(
+    "with l as (select doc_id, string_split(text, chr(10)) as lines from documents), s as (select doc_id, lines, least(greatest(2, 1), len(lines)) as a from l), r as (select doc_id, lines, a, least(greatest(4, a), len(lines)) as b from s) "
+    "select doc_id, md5(regexp_replace(array_to_string(list_concat(lines[a:least(b, a + 1)], case when b - a + 1 > 2 then ['...'] else [] end), chr(10)), '^\\s+|\\s+$', '', 'g')) as span, "
+    "md5(regexp_replace('Source: ' || source || ':2-4' || chr(10) || left(text, 50), '^\\s+|\\s+$', '', 'g')) as block from r join documents using (doc_id)"
+)
+def span_and_block(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    span = t.span_preview(F.col("text"), F.lit(2), F.lit(4), 2)
+    return d.select("doc_id", F.md5(span).alias("span"), F.md5(t.source_block(F.col("source"), F.left("text", F.lit(50)), F.lit(2), F.lit(4))).alias("block"))
+
+
+@query(
+    "with l as (select doc_id, string_split(text, chr(10)) as lines from documents), h as (select doc_id, lines, list_filter(lines, lambda x: contains(lower(x), 'hehely') or contains(lower(x), 'thing')) as hits from l) "
+    "select doc_id, md5(regexp_replace(array_to_string((case when len(hits) > 0 then hits else lines end)[1:3], chr(10)), '^\\s+|\\s+$', '', 'g')) as preview from h"
+)
+def file_previews(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.md5(t.file_preview(F.col("text"), F.lit("Hehely, thing!"), 3)).alias("preview"))
 
 
 @query("select x as expression, name from (values ('foo', 'foo'), ('pkg.mod.foo', 'foo'), ('obj.run(x)[0]', 'run'), ('a[1].b', 'a'), ('', '')) as v(x, name)")
