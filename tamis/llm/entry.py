@@ -107,8 +107,23 @@ def op10_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def base_quality_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of op1 that SQL can express."""
+    return op1_line_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def base_unigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of op8 that SQL can express; the sum rounded to four places."""
+    return op8_log_bilinear(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def base_secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of op10 that SQL can express."""
+    return op10_secret_automaton(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 def queries() -> dict:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith(("op", "base_")) and callable(f)}
 
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -159,6 +174,39 @@ NEAR_SQL = (
 )
 
 
+QUALITY_SQL = (
+    "with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents), "
+    "l as (select doc_id, unnest(string_split(t, chr(10))) as line from d), dup as (select doc_id, sum(n - 1) as n from (select doc_id, line, count(*) as n from l where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by 1, 2) group by 1), "
+    "g as (select doc_id, unnest(range(1, len(w) - 6)) as i, w from d where len(w) >= 8), k as (select doc_id, i, md5(array_to_string(w[i:i + 7], ' ')) as k from g), "
+    "r as (select doc_id, i from k qualify count(*) over (partition by doc_id, k) > 1), c as (select doc_id, count(distinct i + j) as n from r, range(0, 8) x(j) group by 1) "
+    "select doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, "
+    "coalesce(dup.n, 0)::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words, len(w) < 20 or 100 * coalesce(c.n, 0) > 30 * len(w) as base_failed from d left join dup using (doc_id) left join c using (doc_id)"
+)
+
+UNIGRAM_SQL = (
+    f"with t as (select {_crc_table()} as t), h as (select doc_id, coalesce(text, '') as text, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(doc_id::varchar)), '..'), lambda x: ('0x' || x)::bigint), "
+    "lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295::bigint), 4294967295::bigint) % 7 = 2 as held_out from documents, t), "
+    f"w as (select doc_id, held_out, unnest(list_append(list_transform(regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+'), lambda x: 'w' || x), 'end')) as w from h), "
+    "c as (select w, count(*) as c from w where not held_out group by w), s as (select sum(c) as n, count(*) as v from c) "
+    "select doc_id, held_out, count(*) as n_tokens, count(c.c) as n_known, max(s.n)::bigint as train_tokens, round(sum(log10((coalesce(c.c, 0) + 1) / (s.n + s.v + 1))), 4) as base_score from w left join c using (w), s group by doc_id, held_out"
+)
+
+_ASSIGN = """(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+SECRETS_SQL = (
+    "with d as (select doc_id, coalesce(text, '') as t from documents) "
+    f"select doc_id, len(list_filter(regexp_extract_all(t, '{_ASSIGN}', 1), lambda x: length(x) >= 6))::bigint as n_assign, "
+    "len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20))::bigint as n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24))::bigint as n_hex from d"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     """The others rest on trained models or automata; tests hold them against brute force."""
-    return {"op4_previous_factors": REPEATS_SQL, "op5_byte_shards": SHARDS_SQL, "op9_lsh_forest": NEAR_SQL}
+    return {
+        "op4_previous_factors": REPEATS_SQL,
+        "op5_byte_shards": SHARDS_SQL,
+        "op9_lsh_forest": NEAR_SQL,
+        "base_quality_figures": QUALITY_SQL,
+        "base_unigram_scores": UNIGRAM_SQL,
+        "base_secret_counts": SECRETS_SQL,
+    }
