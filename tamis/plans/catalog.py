@@ -348,7 +348,7 @@ def kb_search(spark, sf_dir):
     return kb.search_lines(files, "hehely").select("path", "line", F.md5("preview").alias("preview"), "score")
 
 
-@query()
+@query(o.page_sql())
 def html_main_text(spark, sf_dir):
     return loaders.page_texts(table(spark, sf_dir, "pages"))
 
@@ -522,6 +522,145 @@ def stream_dedup_equals_batch(spark, sf_dir):
     return dedup_once(spark, f"{sf_dir}/documents.parquet").select("chunk_md5").withColumn("n", F.lit(1).cast("bigint"))
 
 
+# --- chunks, files and searches of texts made from the order tables -------------------------------------------------
+
+
+def _order_texts(spark, sf_dir, line, head: str = "") -> DataFrame:
+    """(key, text): a text for each order, of one piece for each of its lines."""
+    li = table(spark, sf_dir, "lineitem")
+    rows = li.groupBy(F.col("l_orderkey").alias("key")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("x"))
+    return rows.select("key", F.concat(F.lit(head), F.array_join(F.transform("x", line), "\n")).alias("text"))
+
+
+def _contracts(spark, sf_dir) -> DataFrame:
+    def line(x):
+        more = F.when(x["l_partkey"] % 3 == 0, "  \n\nand more").otherwise("")
+        return F.concat(F.lit("Section "), x["l_linenumber"].cast("string"), F.lit(". "), F.repeat(F.lit("goods "), (x["l_partkey"] % 30).cast("int")), F.lit("\nsupplier "), x["l_suppkey"].cast("string"), more)
+
+    return _order_texts(spark, sf_dir, line)
+
+
+def _programs(spark, sf_dir) -> DataFrame:
+    def line(x):
+        return F.concat(F.lit("def f"), x["l_partkey"].cast("string"), F.lit("(x):\n"), F.repeat(F.lit("    y = x + 1\n"), (x["l_partkey"] % 60).cast("int")), F.lit("    return x\n"))
+
+    return _order_texts(spark, sf_dir, line, "import os\n")
+
+
+def _chunk_rows(rows: DataFrame, chunks) -> DataFrame:
+    return rows.select("key", F.posexplode(chunks).alias("chunk_idx", "text")).select("key", "chunk_idx", F.length("text").alias("n"), F.md5("text").alias("h"))
+
+
+@query(o.minimum_sql())
+def minimum_merge(spark, sf_dir):
+    return _chunk_rows(chat_contexts(spark, sf_dir).withColumnRenamed("context_id", "key"), ch.merge_to_minimum(ch.paragraphs(F.col("text")), 400))
+
+
+@query(o.dispatch_sql())
+def chunks_by_type(spark, sf_dir):
+    """Legal texts, PDF texts and texts of no stated type, each by its own rules."""
+    kind = F.when(F.col("key") % 3 == 0, "legal").when(F.col("key") % 3 == 1, "pdf").otherwise("auto")
+    return _chunk_rows(_contracts(spark, sf_dir), ch.smart_chunks(F.col("text"), kind))
+
+
+@query(o.program_sql())
+def chunks_of_programs(spark, sf_dir):
+    return _chunk_rows(_programs(spark, sf_dir), ch.smart_chunks(F.col("text"), F.lit("code")))
+
+
+@query(o.kinds_sql())
+def text_kinds(spark, sf_dir):
+    rows = _contracts(spark, sf_dir).withColumn("made", F.lit("contract")).unionByName(_programs(spark, sf_dir).withColumn("made", F.lit("program")))
+    return rows.select("key", "made", ch.looks_legal(F.col("text")).alias("legal"), ch.looks_python(F.col("text")).alias("python"))
+
+
+@query(
+    f"with {o.CONTRACTS}, p as (select key, list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') as p from orders_text) "
+    "select key, len(p)::int as n, md5(array_to_string(p, chr(1))) as h from p"
+)
+def plain_paragraphs(spark, sf_dir):
+    parts = ch.plain_paragraphs(F.col("text"))
+    return _contracts(spark, sf_dir).select("key", F.size(parts).alias("n"), F.md5(F.array_join(parts, "\u0001")).alias("h"))
+
+
+@query(
+    "with w as (select distinct unnest(string_split_regex(text, '\\s+')) as value from documents) "
+    "select value, value <> '' and not contains(value, '@') and not regexp_matches(lower(value), '^https?://') and not (regexp_matches(value, '^\\d*\\.\\d*$') and regexp_matches(value, '\\d')) as worthy from w"
+)
+def keep_worthy_values(spark, sf_dir):
+    values = documents(spark, sf_dir).select(F.explode(F.split("text", r"\s+")).alias("value")).distinct()
+    return values.select("value", en.keep_worthy(F.col("value")).alias("worthy"))
+
+
+@query(
+    f"with e as (select event_id, 'user_id: ' || user_id || ' Ref' || case event_id % 3 when 0 then '=' when 1 then ' # ' else '  ' end || event_type || '-' || event_id || ', sku ' || (event_id % 5000) || ' grid 12345' as text from events) "
+    f"select event_id, array_to_string(regexp_extract_all(text, {o.quoted(lex.ID_LIKE)}, 1), ',') as ids from e"
+)
+def id_like_values(spark, sf_dir):
+    e = table(spark, sf_dir, "events").filter("user_id is not null and event_type is not null")
+    sign = F.when(F.col("event_id") % 3 == 0, "=").when(F.col("event_id") % 3 == 1, " # ").otherwise("  ")
+    text = F.concat(F.lit("user_id: "), F.col("user_id").cast("string"), F.lit(" Ref"), sign, "event_type", F.lit("-"), F.col("event_id").cast("string"), F.lit(", sku "), (F.col("event_id") % 5000).cast("string"), F.lit(" grid 12345"))
+    return e.select("event_id", F.array_join(en.matches(text, "id_like"), ",").alias("ids"))
+
+
+@query("with t as (select doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9_./-]+'), lambda x: x <> '') as t from documents where text is not null) select doc_id, len(t)::int as n, md5(array_to_string(t, ' ')) as h from t")
+def graph_terms(spark, sf_dir):
+    terms = t.query_terms(F.col("text"))
+    return documents(spark, sf_dir).filter("text is not null").select("doc_id", F.size(terms).alias("n"), F.md5(F.array_join(terms, " ")).alias("h"))
+
+
+@query("select page_id, lower(regexp_extract(url, '(\\.[^./]+)$', 1)) as extension, case when contains(p, '/') then string_split(p, '/')[1] else '.' end as top from (select page_id, url, regexp_replace(url, '^https?://', '') as p from pages)")
+def path_parts(spark, sf_dir):
+    path = F.regexp_replace("url", "^https?://", "")
+    return table(spark, sf_dir, "pages").select("page_id", t.file_extension(F.col("url")).alias("extension"), t.top_directory(path).alias("top"))
+
+
+@query(
+    "with f as (select doc_id, text, octet_length(encode(text)) as bytes, doc_id || case doc_id % 4 when 0 then '/README.md' when 1 then '/a/b/setup.py' when 2 then '/a/Cargo.toml' else '/main.py' end as path from documents where text is not null), "
+    "m as (select path, bytes, text from f where doc_id % 4 in (0, 2) and bytes <= 20000 qualify row_number() over (partition by text order by path) = 1) select path, bytes, md5(text) as h from m order by path limit 20"
+)
+def manifest_list(spark, sf_dir):
+    name = F.element_at(F.array(F.lit("/README.md"), F.lit("/a/b/setup.py"), F.lit("/a/Cargo.toml"), F.lit("/main.py")), (F.col("doc_id") % 4 + 1).cast("int"))
+    files = documents(spark, sf_dir).filter("text is not null").select(F.concat(F.col("doc_id").cast("string"), name).alias("path"), F.octet_length("text").cast("bigint").alias("bytes"), "text")
+    return loaders.manifest_files(files, max_bytes=20_000).select("path", "bytes", F.md5("text").alias("h"))
+
+
+@query(
+    "with d as (select p_partkey as k, p_name as name, p_brand as brand from part) select k || '.csv' as path, 0 as chunk_idx, 'key: ' || k || ' | name: ' || name as chunk from d where k % 3 = 0 "
+    "union all select k || '.csv', 1, 'key: 0 | name: ' || brand from d where k % 3 = 0 union all select k || '.json', 0, 'key: ' || k from d where k % 3 = 1 union all select k || '.json', 1, 'name: ' || name from d where k % 3 = 1 "
+    "union all select k || '.log', 0, name || chr(10) || brand from d where k % 3 = 2"
+)
+def files_by_loader(spark, sf_dir):
+    """Tables, JSON and plain files, each read by the loader of its extension."""
+    key, kind = F.col("p_partkey").cast("string"), F.col("p_partkey") % 3
+    content = F.when(kind == 0, F.concat(F.lit("key,name\n"), key, F.lit(","), "p_name", F.lit("\n0,"), "p_brand", F.lit("\n"))).when(kind == 1, F.to_json(F.struct(F.col("p_partkey").alias("key"), F.col("p_name").alias("name")))).otherwise(F.concat("p_name", F.lit("\n"), "p_brand"))
+    files = table(spark, sf_dir, "part").select(F.concat(key, F.element_at(F.array(F.lit(".csv"), F.lit(".json"), F.lit(".log")), (kind + 1).cast("int"))).alias("path"), content.cast("binary").alias("content"))
+    return loaders.load_files(files)
+
+
+@query(o.search_sql(["ring", "p17"], 1500))
+def graph_search_top(spark, sf_dir):
+    part, li = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    at = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
+    syms = part.select(F.concat(F.lit("y"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"), at("p_partkey").alias("path"), F.col("p_size").alias("start_line"), (F.col("p_size") + 1).alias("end_line"))
+    edges = li.select(at("l_partkey").alias("src"), at("l_suppkey").alias("dst")).distinct()
+    return code.graph_search("Ring: P17", syms, syms.select("path"), edges, top_k=1500)
+
+
+@query(
+    "with w as (select date_trunc('hour', ts) as began, event_type, count(*) as n, sum(value) as total from events group by 1, 2) select strftime(began, '%Y-%m-%d %H') as hour, event_type, n, round(total, 4) as total from w "
+    "where began + interval 1 hour <= (select max(ts) from events) - interval 10 minutes"
+)
+def stream_event_windows(spark, sf_dir):
+    """A stream's hourly counts: the windows that its watermark has closed."""
+    from tamis.streaming import streams
+
+    path = f"{sf_dir}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    found = streams.drain(streams.windowed_counts(events), "windows")
+    return found.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
 # --- the flagship ---------------------------------------------------------------------------------------------
 
 

@@ -208,3 +208,125 @@ def budget_sql(tokens: int) -> str:
         "fin as (select query_id, max(kept) as kept, max(used) as used, max_by(ids, r) as ids from walk group by query_id), al as (select count(*) as total, sum(greatest(1, length(text) // 4))::bigint as b from documents) "
         "select query_id, kept::int as kept, total, b as tokens_before, used::int as tokens_after, ids as doc_ids, round(greatest(0.0, (b - used) / b * 100.0), 4) as reduction_pct from fin, al where kept > 0".replace("{n}", str(tokens))
     )
+
+
+# --- chunks of texts made from the order tables ---------------------------------------------------------------------
+
+_HEADER = quoted("^\\s*" + lex.LEGAL_HEADER)
+_STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _lines(text: str, each: str) -> str:
+    return f"array_to_string(list_transform(string_split({text}, chr(10)), lambda ln: {each}), chr(10))"
+
+
+def _opened(text: str) -> str:
+    """A blank line before every header."""
+    line = "regexp_replace(ln, '\\s+$', '')"
+    return _lines(_STRIP.format(text), f"case when regexp_matches({line}, {_HEADER}) then chr(10) || {line} else {line} end")
+
+
+def _unwrapped(text: str) -> str:
+    joined = f"regexp_replace({_lines(text, _STRIP.format('ln'))}, '\\n{{2,}}', chr(1), 'g')"
+    return _STRIP.format(f"replace(replace({joined}, chr(10), ' '), chr(1), chr(10) || chr(10))")
+
+
+def headers(text: str) -> str:
+    return f"len(regexp_extract_all({text}, {quoted('(?m)^' + chr(92) + 's*' + lex.LEGAL_HEADER)}))"
+
+
+def _walk(name: str, source: str, goes_on: str) -> str:
+    """name(key, idx, text): a recursive walk over source that joins neighbours while goes_on."""
+    return (
+        f"{name}_w as (select key, idx, text as buf, 0 as out from {source} where idx = 0 union all select c.key, c.idx, case when {goes_on} then w.buf || chr(10) || chr(10) || c.text else c.text end, "
+        f"case when {goes_on} then w.out else w.out + 1 end from {name}_w w join {source} c on c.key = w.key and c.idx = w.idx + 1), "
+        f"{name} as (select key, out as idx, max_by(buf, idx) as text from {name}_w group by 1, 2)"
+    )
+
+
+def _numbered(name: str, source: str, pieces: str) -> str:
+    return f"{name} as (select key, (i - 1)::int as idx, p[i] as text from (select key, p, unnest(range(1, len(p) + 1)) as i from (select key, list_filter({pieces}, lambda x: x <> '') as p from {source})))"
+
+
+def chunks(source: str, least: int = 100, under: int = 200) -> str:
+    """Chain from source(key, text) to chunked(key, idx, text): paragraphs, joined up to `least`, then up to `under`."""
+    clean = f"regexp_replace({_STRIP.format('x')}, '[ \\t]+\\n', chr(10), 'g')"
+    return ", ".join(
+        [
+            _numbered("para", source, f"list_transform(string_split_regex(text, '\\n\\s*\\n+'), lambda x: {clean})"),
+            _walk("enough", "para", f"length(w.buf) < {least}"),
+            f"tail as (select *, case when idx > 0 and idx = max(idx) over (partition by key) and length(text) < {least} then idx - 1 else idx end as into_ from enough)",
+            "folded as (select key, into_ as idx, string_agg(text, chr(10) || chr(10) order by idx) as text from tail group by 1, 2)",
+            _walk("chunked", "folded", f"length(w.buf) < {under}"),
+        ]
+    )
+
+
+ROWS = "select key, idx::int as chunk_idx, length(text)::int as n, md5(text) as h from chunked"
+
+CONTRACTS = (
+    "orders_text as (select l_orderkey as key, string_agg('Section ' || l_linenumber || '. ' || repeat('goods ', (l_partkey % 30)::int) || chr(10) || 'supplier ' || l_suppkey || "
+    "case when l_partkey % 3 = 0 then '  ' || chr(10) || chr(10) || 'and more' else '' end, chr(10) order by l_linenumber, l_partkey, l_suppkey) as text from lineitem group by 1)"
+)
+
+PROGRAMS = (
+    "programs as (select l_orderkey as key, 'import os' || chr(10) || string_agg('def f' || l_partkey || '(x):' || chr(10) || repeat('    y = x + 1' || chr(10), (l_partkey % 60)::int) || '    return x' || chr(10), chr(10) "
+    "order by l_linenumber, l_partkey, l_suppkey) as text from lineitem group by 1)"
+)
+
+
+def minimum_sql() -> str:
+    return f"with recursive talk as (select conv_id as key, string_agg(text, chr(10) || chr(10) order by turn) as text from conversations group by conv_id), {chunks('talk', 400, 0)} select key, idx::int as chunk_idx, length(text)::int as n, md5(text) as h from folded"
+
+
+def dispatch_sql() -> str:
+    """Contracts as legal, pdf or unnamed texts."""
+    pdf = _unwrapped("text")
+    return (
+        f"with recursive {CONTRACTS}, flat as (select key, text, {pdf} as pdf from orders_text), "
+        f"ready as (select key, case key % 3 when 0 then {_opened('text')} when 1 then case when {headers('pdf')} >= 4 then {_opened('pdf')} else pdf end "
+        f"else case when {headers('text')} >= 4 then {_opened('text')} else text end end as text from flat), {chunks('ready')} {ROWS}"
+    )
+
+
+def program_sql() -> str:
+    border = quoted(r"^(?:import |from |@|(?:def|class)\s+[A-Za-z_]\w*\b)")
+    marked = _lines("regexp_replace(text, '\\n+$', '')", f"case when regexp_matches(ln, {border}) then chr(1) || ln else ln end")
+    blocks = _numbered("block", "programs", f"list_transform(string_split({marked}, chr(1)), lambda x: regexp_replace(x, '\\s+$', ''))")
+    return f"with recursive {PROGRAMS}, {blocks}, {_walk('chunked', 'block', 'length(w.buf) < 1800 and length(w.buf) + 2 + length(c.text) <= 2070')} {ROWS}"
+
+
+def kinds_sql() -> str:
+    indented = "len(list_filter(string_split(text, chr(10)), lambda ln: starts_with(ln, '    ') or starts_with(ln, chr(9))))"
+    python = f"len(regexp_extract_all(text, {quoted(lex.PYTHON_DEFINITION)})) >= 1 and {indented} >= 2"
+    return f"with {CONTRACTS}, {PROGRAMS}, both_ as (select key, 'contract' as made, text from orders_text union all select key, 'program', text from programs) select key, made, {headers('text')} >= 4 as legal, {python} as python from both_"
+
+
+def page_sql() -> str:
+    """Pages without the tags that are passed over, the first article (or main, or body), a line for each piece of text."""
+    from tamis.sources.loaders import SKIPPED_TAGS
+
+    bare = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
+    for tag in sorted(SKIPPED_TAGS):
+        bare = f"regexp_replace({bare}, '(?s)<{tag}(?:\\s[^>]*)?>.*?</{tag}>', '<x>', 'g')"
+    part = "case " + " ".join(f"when regexp_matches(bare, '<{tag}[ >]') then regexp_extract(bare, '(?s)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>', 1)" for tag in ("article", "main", "body")) + " else bare end"
+    pieces = f"list_filter(list_transform(string_split_regex(part, '<[^>]*>'), lambda x: {_STRIP.format('x')}), lambda x: x <> '')"
+    text = f"array_to_string({pieces}, chr(10))"
+    for name, sign in (("quot", '"'), ("middot", "\u00b7"), ("copy", "\u00a9"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{sign}')"
+    return f"select page_id, {text} as text from (select page_id, {part} as part from (select page_id, {bare} as bare from pages))"
+
+
+def search_sql(terms: list[str], top_k: int) -> str:
+    """Symbols and files of the part tables that hold a term, and the files one hop from them."""
+    hits = lambda c: " + ".join(f"contains(lower({c}), {quoted(x)})::int" for x in terms)
+    return (
+        "with syms as (select 'y' || p_partkey as id, p_name as name, 'p' || p_partkey as path, p_size as start_line, p_size + 1 as end_line from part), "
+        "e as (select distinct 'p' || l_partkey as src, 'p' || l_suppkey as dst from lineitem), "
+        f"s as (select 'symbol' as kind, id, {hits('name')} + 1.0::double as score from syms where {hits('name')} > 0 union all select 'file', path, ({hits('path')}) * 0.7::double from syms where {hits('path')} > 0), "
+        f"seeds as (select * from s order by score desc, kind, id limit {max(5, top_k)}), picked as (select syms.*, score from seeds join syms using (id) where kind = 'symbol'), "
+        "start as (select node, max(score) as score from (select id as node, score from seeds where kind = 'file' union all select path, score * 0.5 from picked) group by 1), "
+        "hop as (select dst as node, greatest(0.25, max(score) * 0.5) as score from start join e on e.src = start.node where dst not in (select node from start) group by 1), "
+        "found as (select 'symbol' as kind, path, name, score, start_line, end_line from picked union all select 'file', node, node, score, null, null from (select * from start union all select * from hop)) "
+        f"select * from found order by kind desc, score desc, path, start_line limit {top_k}"
+    )

@@ -47,7 +47,8 @@ def dedup_once(spark: SparkSession, path: str) -> DataFrame:
 
 
 def windowed_counts(events: DataFrame, ts: str = "ts", width: str = "1 hour", late: str = "10 minutes", by: str = "event_type") -> DataFrame:
-    return events.withWatermark(ts, late).groupBy(F.window(ts, width), by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    timed = events.withColumn(ts, F.col(ts).cast("timestamp"))  # a watermark takes no local time
+    return timed.withWatermark(ts, late).groupBy(F.window(ts, width), by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def ttl_cache_stream(requests: DataFrame, ttl_seconds: float, late: str = "1 hour", key: str = "user_id", ts: str = "ts") -> DataFrame:
