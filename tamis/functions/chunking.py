@@ -74,11 +74,15 @@ def looks_python(text: Column) -> Column:
     return (F.regexp_count(text, F.lit(PYTHON_DEFINITION)) >= 1) & (indented >= 2)
 
 
-def chunk_legal(text: Column, min_chars: int = 100, under: int = 200) -> Column:
-    """A header opens a paragraph of its own; then the rules for all texts (packing to a target size has no net effect)."""
+def headers_apart(text: Column) -> Column:
+    """A blank line before every header, so that it opens a paragraph of its own."""
     lines = F.transform(F.split(strip(text), "\r\n|\n|\r"), lambda ln: F.regexp_replace(ln, r"\s+$", ""))
-    opened = F.transform(lines, lambda ln: F.when(ln.rlike(r"^\s*" + LEGAL_HEADER), F.concat(F.lit("\n"), ln)).otherwise(ln))
-    return chunk_text(F.array_join(opened, "\n"), min_chars, under)
+    return F.array_join(F.transform(lines, lambda ln: F.when(ln.rlike(r"^\s*" + LEGAL_HEADER), F.concat(F.lit("\n"), ln)).otherwise(ln)), "\n")
+
+
+def chunk_legal(text: Column, min_chars: int = 100, under: int = 200) -> Column:
+    """Headers apart, then the rules for all texts (packing to a target size has no net effect)."""
+    return chunk_text(headers_apart(text), min_chars, under)
 
 
 def unwrap_pdf(text: Column) -> Column:
@@ -113,19 +117,15 @@ def chunk_python(text: Column, target: int = 1800) -> Column:
 
 
 def smart_chunks(text: Column, doc_type: Column, min_chars: int = 100, under: int = 200) -> Column:
-    """By document type: code, legal or contract, pdf, auto (legal, then code, then paragraphs)."""
+    """By document type: code, legal or contract, pdf, auto (legal, then code, then paragraphs).
+
+    All but code differ in how the text is made ready, so the folds stand in the plan once. A text that is not blank
+    has a paragraph, and so a chunk."""
     kind = F.lower(F.coalesce(doc_type, F.lit("auto")))
-    plain = chunk_text(text, min_chars, under)
-    pdf = unwrap_pdf(text)
-    legal = kind.isin("legal", "contract") | ((kind == "auto") & looks_legal(text))
-    return (
-        F.when((kind == "code") | ((kind == "auto") & ~looks_legal(text) & looks_python(text)), chunk_python(text))
-        .when(legal, chunk_legal(text, min_chars, under))
-        .when((kind == "pdf") & looks_legal(pdf), chunk_legal(pdf, min_chars, under))
-        .when(kind == "pdf", chunk_text(pdf, min_chars, under))
-        .when((F.size(plain) == 0) & (strip(text) != ""), F.array(strip(text)))
-        .otherwise(plain)
-    )
+    pdf, auto = unwrap_pdf(text), kind == "auto"
+    legal = kind.isin("legal", "contract") | (auto & looks_legal(text))
+    ready = F.when(legal, headers_apart(text)).when((kind == "pdf") & looks_legal(pdf), headers_apart(pdf)).when(kind == "pdf", pdf).otherwise(text)
+    return F.when((kind == "code") | (auto & ~legal & looks_python(text)), chunk_python(text)).otherwise(chunk_text(ready, min_chars, under))
 
 
 def sentences(text: Column) -> Column:
