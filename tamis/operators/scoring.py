@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tamis.functions import lexicon as lex
 from tamis.functions import text as t
 from tamis.functions.routing import intents
+from tamis.session import cut
 
 CHUNK = ["context_id", "chunk_idx"]
 
@@ -302,6 +303,8 @@ def hybrid_scores(queries: DataFrame, chunks: DataFrame, synonyms: DataFrame | N
         parts.append((synonym_scores(queries, chunks, synonyms, words, wanted), "synonym"))
     found = [d.select(*key, *[F.col(c) if c == name else F.lit(None).cast("double").alias(c) for c in ("bm25", "ngram", "synonym")]) for d, name in parts]
     hits = reduce(DataFrame.unionByName, found).groupBy(*key).agg(*[F.max(c).alias(c) for c in ("bm25", "ngram", "synonym")])
+    if keyed:  # the longest part of the plan, which the maxima below would repeat: a few numbers for each chunk
+        hits = cut(hits)
     rows = every.join(hits, key, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     damped = zero("bm25") * F.when(F.col("wants_method"), F.col("method_damping")).otherwise(1.0) * F.when(F.col("wants_related"), F.col("related_damping")).otherwise(1.0)

@@ -11,6 +11,7 @@ from tamis.functions import chunking as ch
 from tamis.functions import entities as en
 from tamis.functions import text as t
 from tamis.functions.routing import cost, reduction_pct
+from tamis.session import cut
 
 BY = ["query_id", "context_id"]
 GAP = "\n\n"
@@ -118,10 +119,14 @@ def compress(queries: DataFrame, contexts: DataFrame, scorer, cfg: EngineConfig
     """One row for each query and its context: the prompt and its report.
 
     queries: (query_id, context_id, query_text); contexts: (context_id, text[, doc_type]) or chunks
-    (context_id, chunk_idx, text). scorer(queries, chunks) gives (query_id, context_id, chunk_idx, score)."""
-    chunks = contexts if "chunk_idx" in contexts.columns else explode_chunks(contexts, cfg)
-    scored = scorer(queries, chunks).select(*BY, "chunk_idx", "score").join(chunks, ["context_id", "chunk_idx"])
-    entities = context_entities(scored, queries)
+    (context_id, chunk_idx, text). scorer(queries, chunks) gives (query_id, context_id, chunk_idx, score).
+
+    Questions, chunks, scores and entities are read several times and computed once (`cut`): the plan of the whole
+    is their sum, where it was their product."""
+    queries = cut(queries)
+    chunks = cut(contexts if "chunk_idx" in contexts.columns else explode_chunks(contexts, cfg))
+    scored = cut(scorer(queries, chunks).select(*BY, "chunk_idx", "score")).join(chunks, ["context_id", "chunk_idx"])
+    entities = cut(context_entities(scored, queries))
     flagged = keep_flags(scored, entities, cfg.relevance)
     chosen = enforce_budget(flagged.filter("keep").select(*BY, "chunk_idx", "text", "score", F.col("by_entity").alias("keep")), cfg.max_context_tokens, BY, cfg.summary_max_chars)
     sizes = chunks.groupBy("context_id").agg(F.count("*").cast("int").alias("total_chunks"), (F.sum(F.length("text")) + 2 * (F.count("*") - 1)).alias("context_chars"))

@@ -53,6 +53,17 @@ def test_entities_survive(spark):
     assert r["final_context_tokens"] <= r["original_context_tokens"]
 
 
+def test_plan_of_compression_is_a_sum(spark):
+    """Parts that are read several times are computed once: the driver holds a plan of some tens of exchanges, not of hundreds."""
+    q = spark.createDataFrame([(1, 7, "when is payment due"), (2, 8, "what else")], "query_id bigint, context_id bigint, query_text string")
+    rows = spark.createDataFrame([(7, 0, "Payment is due in June."), (7, 1, "Other words."), (8, 0, "Nothing else.")], "context_id bigint, chunk_idx int, text string")
+    synonyms = scoring.synonym_table(spark.createDataFrame([(1, "due"), (1, "owed")], "group_id int, word string"))
+    found = selection.compress(q, rows, lambda a, b: scoring.hybrid_scores(a, b, synonyms))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") <= 12 and plan.count("Aggregate") <= 12
+    assert {r["query_id"]: r["total_chunks"] for r in found.collect()} == {1: 2, 2: 1}
+
+
 def test_budget_and_order(spark):
     rows = spark.createDataFrame([(1, 1, 0, "a" * 40, 0.1, False), (1, 1, 1, "b" * 400, 0.9, False), (1, 1, 2, "c" * 40, 0.5, True)], "query_id int, context_id int, chunk_idx int, text string, score double, keep boolean")
     pick = lambda n: [x["idx"] for x in selection.enforce_budget(rows, n).first()["selected"]]
