@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,11 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through spark.checkpoint.dir; a folder of our own is set only in local mode where none is named."""
+    """Cut lineage through spark.checkpoint.dir; a folder of our own is set only in local mode where none is named.
+
+    Spark removes the shuffle files of a step that is done when the driver collects the garbage of its plan (in Python,
+    then in the JVM), which may be long after; asked for here, only those of the last steps take disk."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    sc._jvm.System.gc()
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -817,3 +817,21 @@ def test_automaton_is_minimal_and_right():
 def test_secret_rows(spark, odd, empty):
     got = {r["doc_id"]: r for r in secrets.scan_secrets(odd).collect()}
     assert got[14]["kinds"] == ["assign", "access", "hex"] and got[0]["kinds"] == [] and secrets.scan_secrets(empty).count() == 0
+
+
+def test_shuffle_files_of_done_steps_go(spark):
+    """A chain of checkpoints keeps the shuffle files of its last steps, not of all."""
+    import time
+
+    from tamis.llm.common import checkpointed
+
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: sum(name.startswith("shuffle_") for name in str(files.getAllFiles().mkString("\n")).replace("/", "\n").split("\n"))
+    checkpointed(spark.range(1))
+    time.sleep(1)
+    before, rows, most = shuffles(), spark.range(2000).toDF("id"), 0
+    for i in range(12):
+        rows = checkpointed(rows.select((F.col("id") + 1).alias("id")).repartition(20, "id"))
+        time.sleep(0.3)
+        most = max(most, shuffles() - before)
+    assert rows.count() == 2000 and most <= 4 * 3 * 20  # a step leaves up to three files for each of 20 tasks
