@@ -7,7 +7,10 @@ Words are stemmed once per distinct word.  The question side is joined on words
 A few questions against a corpus need few of its words: the distinct vocabulary is stemmed once, the words that
 some question asks for (by stem, synonym or likeness) and those that do not count in lengths are picked from it,
 and only these are looked for in the chunks, by a broadcast of checked size (`Wanted`).  Where there are more of
-them, or where questions belong to contexts of their own, all words are counted and joined.
+them, all words are counted and joined.
+
+Where questions belong to contexts of their own, a context is what one prompt could hold: its rows meet once, and one
+pass scores them (`own_context`).  Contexts with over MAX_OWN pairs of a question and a chunk have their words joined.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 from tamis.functions import lexicon as lex
 from tamis.functions import text as t
 from tamis.functions.routing import intents
+from tamis.operators import own_context
 from tamis.session import cut
 
 CHUNK = ["context_id", "chunk_idx"]
@@ -283,10 +287,48 @@ def small_side(questions: DataFrame) -> DataFrame:
     return F.broadcast(questions) if questions.count() <= MAX_BROADCAST_QUESTIONS else questions
 
 
+MAX_OWN = 200_000
+
+
+def crowded_contexts(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(context_id) of contexts with over MAX_OWN pairs of a question and a chunk."""
+    asked = queries.groupBy("context_id").agg(F.count("*").alias("questions"))
+    held = chunks.groupBy("context_id").agg(F.count("*").alias("chunks"))
+    return asked.join(held, "context_id").filter(F.col("questions") * F.col("chunks") > MAX_OWN).select("context_id")
+
+
+def own_scores(queries: DataFrame, chunks: DataFrame, synonyms: DataFrame | None = None, w: HybridWeights = HybridWeights()) -> DataFrame:
+    """hybrid_scores of questions with contexts of their own: texts are shuffled once, and no words."""
+    flags = intents(F.col("query_text"))
+    q = queries.select("context_id", F.lit(False).alias("is_chunk"), "query_id", F.col("query_text").alias("text"), *[v.alias(k) for k, v in flags.items()])
+    if synonyms is not None:
+        words = queries.select("query_id", F.explode(F.array_distinct(t.content_words(t.words(F.col("query_text"))))).alias("word"))
+        q = q.join(words.join(synonyms, "word").groupBy("query_id").agg(F.collect_set("synonym").alias("synonyms")), "query_id", "left")
+    else:
+        q = q.withColumn("synonyms", F.lit(None).cast("array<string>"))
+    cues = cue_columns(F.col("text"), F.size(t.content_words(t.words(F.col("text")))), w)
+    c = chunks.select("context_id", F.lit(True).alias("is_chunk"), "text", "chunk_idx", *[v.cast("double").alias(k) for k, v in cues.items()])
+    rows = q.unionByName(c, allowMissingColumns=True).filter("context_id is not null").repartition("context_id").sortWithinPartitions("context_id", "is_chunk")
+    kind = lambda name: rows.schema[name].dataType.simpleString()
+    values = ", ".join(f"{c} double" for c in ("bm25", "ngram", "synonym", "numeric", "method", "related", "score"))
+    return rows.mapInArrow(own_context.scored_batches(w), f"query_id {kind('query_id')}, context_id {kind('context_id')}, chunk_idx {kind('chunk_idx')}, {values}")
+
+
 def hybrid_scores(queries: DataFrame, chunks: DataFrame, synonyms: DataFrame | None = None, w: HybridWeights = HybridWeights()) -> DataFrame:
     """(query_id, context_id, chunk_idx, bm25, ngram, synonym, numeric, method, related, score) for every chunk of every query.
 
     If queries has a column context_id, a query meets that context only."""
+    if "context_id" not in queries.columns:
+        return joined_scores(queries, chunks, synonyms, w)
+    crowded = cut(crowded_contexts(queries, chunks))
+    if crowded.isEmpty():
+        return own_scores(queries, chunks, synonyms, w)
+    part = lambda how: (queries.join(F.broadcast(crowded), "context_id", how), chunks.join(F.broadcast(crowded), "context_id", how))  # noqa: E731  a context of these has over MAX_OWN pairs
+    return own_scores(*part("left_anti"), synonyms, w).unionByName(joined_scores(*part("left_semi"), synonyms, w))
+
+
+def joined_scores(queries: DataFrame, chunks: DataFrame, synonyms: DataFrame | None = None, w: HybridWeights = HybridWeights()) -> DataFrame:
+    """hybrid_scores by joins on words."""
     asked = synonyms_asked(queries, synonyms) if synonyms is not None else None
     wanted = Wanted.of(queries, chunks, query_stems(queries), asked, w)
     words = None if wanted is not None else occurrences(chunks)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tamis.functions import lexicon
 from tamis.functions import text as t
 from tamis.operators import code, kb, scoring, selection
 from tamis.sources import loaders
@@ -65,6 +66,39 @@ def test_plan_of_compression_is_a_sum(spark):
     assert {r["query_id"]: r["total_chunks"] for r in found.collect()} == {1: 2, 2: 1}
 
 
+def test_own_contexts_shuffle_no_words(spark, monkeypatch):
+    """Questions with contexts of their own: one exchange of texts where words were joined, and the same scores, also beside a crowded context."""
+    texts = ["", None, "Step 1: the proposed methodology is described in fig. 2, after 12% and 7.5.", "The cars were priced; automobiles [3] et al. cost more, cars most.",
+             "Related works on pricing: doi and results.", "automobile owed owed", "Unrelated words stand here", "KELVIN \u212a \u0130ssues priced caresses"]
+    asked = ["How is the price of cars computed, which number of cars?", "related work on the method of pricing and dues", "", None, "zzz the of"]
+    q = spark.createDataFrame([(i, i % 2 + 7, x) for i, x in enumerate(asked)] + [(9, None, "cars"), (10, 99, "cars")], "query_id bigint, context_id bigint, query_text string")
+    c = spark.createDataFrame([(7 + k, i, x) for k in (0, 1, 3) for i, x in enumerate(texts[k:])] + [(None, 0, "cars")], "context_id bigint, chunk_idx int, text string")
+    synonyms = scoring.synonym_table(spark.createDataFrame([(1, "cars"), (1, "automobile"), (2, "dues"), (2, "owed"), (2, "et al")], "group_id int, word string"))
+    for groups in (synonyms, None):
+        plan = scoring.hybrid_scores(q, c, groups)._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("Join") <= 4 and plan.count("Window") == 0
+        rows = lambda d: {(r["query_id"], r["context_id"], r["chunk_idx"]): [round(r[k], 9) for k in d.columns if k not in ("query_id", "context_id", "chunk_idx")] for r in d.collect()}
+        want = rows(scoring.joined_scores(q, c, groups))
+        assert len(want) == 3 * 8 + 2 * 7 and rows(scoring.hybrid_scores(q, c, groups)) == want
+    monkeypatch.setattr(scoring, "MAX_OWN", 20)
+    assert [r["context_id"] for r in scoring.crowded_contexts(q, c).collect()] == [7]
+    assert rows(scoring.hybrid_scores(q, c)) == want
+
+
+def test_plain_stems(spark):
+    """Python's stems, words and n-grams are those of the column expressions."""
+    from tamis.functions import plain
+
+    vocabulary = {w for a, b in lexicon.DERIVED for x in ("", "b", "tr", "relat", "hopp", "2a") for w in (x + a, x + b)} | {x + e + s for e in lexicon.ENDINGS for x in ("", "adopt", "e", "troubl") for s in ("", "s", "ed", "ing", "ly")}
+    vocabulary |= set("caresses ponies ties cats feed agreed plastered bled motoring sing conflated troubled sized hopping tanned falling hissing failing filing happy sky bus ss s es ed ing eed eeds y by oy ies iess controll roll 1990s 22 00s aas bb rate cease et\u00e9s".split())
+    spark.createDataFrame([(w,) for w in sorted(vocabulary)], "word string").createOrReplaceTempView("plain_words")
+    chats = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select(F.explode(t.words(F.col("text"))).alias("word"))
+    found = t.stems(spark.table("plain_words").union(chats).distinct()).withColumn("grams", t.grams(F.col("word"))).collect()
+    assert len(found) > 500 and [(r["word"], r["stem"]) for r in found if plain.stem(r["word"]) != r["stem"] or plain.grams(r["word"]) != set(r["grams"])] == []
+    row = spark.createDataFrame([("A b\u212a9 \u0130x \u00c9a-c_d",)], "x string").select(t.words(F.col("x")).alias("w")).first()
+    assert plain.words("A b\u212a9 \u0130x \u00c9a-c_d") == row["w"] and plain.words(None) == []
+
+
 def test_budget_and_order(spark):
     rows = spark.createDataFrame([(1, 1, 0, "a" * 40, 0.1, False), (1, 1, 1, "b" * 400, 0.9, False), (1, 1, 2, "c" * 40, 0.5, True)], "query_id int, context_id int, chunk_idx int, text string, score double, keep boolean")
     pick = lambda n: [x["idx"] for x in selection.enforce_budget(rows, n).first()["selected"]]
