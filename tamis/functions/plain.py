@@ -71,5 +71,11 @@ def stem(word: str) -> str:
     return _head(w, 1) if _twin(w) and w[-1] not in "lsz" and measure(_head(w, 1)) > 1 else w
 
 
-def grams(word: str, n: int = 3) -> set[str]:
-    return {word} if len(word) < n else {word[i : i + n] for i in range(len(word) - n + 1)}
+@lru_cache(maxsize=200_000)
+def grams(word: str, n: int = 3) -> frozenset[str]:
+    return frozenset([word] if len(word) < n else [word[i : i + n] for i in range(len(word) - n + 1)])
+
+
+@lru_cache(maxsize=200_000)
+def has_content_stem(word: str) -> bool:
+    return is_content(stem(word))

@@ -47,14 +47,17 @@ class Question:
         """Words of the question with n-gram Jaccard of the threshold or more."""
         grams = plain.grams(word, self.w.ngram_n)
         nb, at = len(grams), self.w.ngram_threshold
-        both = Counter(a for g in grams for a in self.by_gram.get(g, ()))
+        both: dict[str, int] = {}
+        for g in grams:
+            for a in self.by_gram.get(g, ()):
+                both[a] = both.get(a, 0) + 1
         found = ((a, n, self.sizes[a]) for a, n in both.items())
         return [(a, n / (na + nb - n)) for a, n, na in found if na >= at * nb and nb >= at * na and n / (na + nb - n) >= at]
 
     def effect(self, word: str):
         """(term, words alike, synonyms) of a word of a chunk; None if it has none."""
         stem = plain.stem(word)
-        raw, by_stem = plain.is_content(word), plain.is_content(stem)
+        raw, by_stem = plain.is_content(word), plain.has_content_stem(word)
         term = stem if by_stem and stem in self.times else None
         alike = self.alike(word) if raw else []
         synonyms = [*([word] if raw and word in self.synonyms else []), *(self.by_stem.get(stem, ()) if by_stem else ())]
@@ -131,7 +134,7 @@ def scored_batches(w):
                     questions.append(Question(query_id, text, flags, synonyms, w))
                 elif questions:
                     counts = Counter(plain.words(text))
-                    chunks.append((chunk_idx, sum(n for word, n in counts.items() if plain.is_content(plain.stem(word))), cues))
+                    chunks.append((chunk_idx, sum(n for word, n in counts.items() if plain.has_content_stem(word)), cues))
                     for q in questions:
                         q.add(counts, max(1000, MAX_MEMO // len(questions)))
         ended()

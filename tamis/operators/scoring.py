@@ -306,8 +306,8 @@ def own_scores(queries: DataFrame, chunks: DataFrame, synonyms: DataFrame | None
         q = q.join(words.join(synonyms, "word").groupBy("query_id").agg(F.collect_set("synonym").alias("synonyms")), "query_id", "left")
     else:
         q = q.withColumn("synonyms", F.lit(None).cast("array<string>"))
-    cues = cue_columns(F.col("text"), F.size(t.content_words(t.words(F.col("text")))), w)
-    c = chunks.select("context_id", F.lit(True).alias("is_chunk"), "text", "chunk_idx", *[v.cast("double").alias(k) for k, v in cues.items()])
+    cues = cue_columns(F.col("text"), F.col("n_tokens"), w)
+    c = chunks.withColumn("n_tokens", F.size(t.content_words(t.words(F.col("text"))))).select("context_id", F.lit(True).alias("is_chunk"), "text", "chunk_idx", *[v.cast("double").alias(k) for k, v in cues.items()])
     rows = q.unionByName(c, allowMissingColumns=True).filter("context_id is not null").repartition("context_id").sortWithinPartitions("context_id", "is_chunk")
     kind = lambda name: rows.schema[name].dataType.simpleString()
     values = ", ".join(f"{c} double" for c in ("bm25", "ngram", "synonym", "numeric", "method", "related", "score"))

@@ -78,9 +78,17 @@ def enforce_budget(rows: DataFrame, max_tokens: int, by: list[str] = BY, summary
     Protected chunks come first, then by score. If the protected ones alone exceed the budget, one summary of them
     stands for all; if nothing fits, a summary of the first chunk. One array per context: a context's chunks are
     what one prompt could hold, never a corpus."""
+    item = _packable(F.col("keep"), F.col("score"), F.col("chunk_idx"), F.col("text"))
+    return _choose(rows.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items")), max_tokens, summary_max_chars).select(*by, "selected")
+
+
+def _packable(keep: Column, score: Column, idx: Column, text: Column) -> Column:
+    return F.struct((~keep).cast("int").alias("late"), (-score).alias("rank"), idx.alias("idx"), text.alias("text"), t.token_estimate(text).alias("tokens"))
+
+
+def _choose(lists: DataFrame, max_tokens: int, summary_max_chars: int) -> DataFrame:
+    """lists with `selected`, from `items`: a sorted array of what _packable gives."""
     limit = F.lit(max_tokens)
-    item = F.struct((~F.col("keep")).cast("int").alias("late"), (-F.col("score")).alias("rank"), F.col("chunk_idx").alias("idx"), F.col("text"), t.token_estimate(F.col("text")).alias("tokens"))
-    lists = rows.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items"))
     kept = F.array_sort(F.transform(F.filter("items", lambda x: x["late"] == 0), lambda x: F.struct(x["idx"].alias("idx"), x["text"].alias("text"))))
     lists = lists.withColumn("kept", kept).withColumn("kept_text", t.strip(F.array_join(F.transform("kept", lambda x: x["text"]), GAP)))
     over = (F.col("kept_text") != "") & (t.token_estimate(F.col("kept_text")) > limit)
@@ -91,7 +99,7 @@ def enforce_budget(rows: DataFrame, max_tokens: int, by: list[str] = BY, summary
     none = F.slice(F.col("packed"), 1, 0)
     single = lambda idx, text: F.array(F.struct(idx.alias("idx"), text.alias("text")))
     selected = F.when(limit <= 0, none).when(F.col("whole") != "", single(F.element_at("kept", 1)["idx"], F.col("whole"))).when(F.size("packed") > 0, F.col("packed")).when(F.col("one") != "", single(best["idx"], F.col("one"))).otherwise(none)
-    return lists.select(*by, selected.alias("selected"))
+    return lists.withColumn("selected", selected).drop("kept", "kept_text", "whole", "packed", "one")
 
 
 def context_entities(scored: DataFrame, queries: DataFrame, top: int = 8) -> DataFrame:
@@ -115,22 +123,40 @@ def keep_flags(scored: DataFrame, entities: DataFrame, relevance: float) -> Data
     return rows.withColumn("keep", F.col("keep") | (first & ~F.max("keep").over(whole))).drop("has")
 
 
+def _with_entities_and_items(lists: DataFrame, relevance: float, top: int = 8) -> DataFrame:
+    """What context_entities and keep_flags give, inside one row for each question and context, with no more shuffles: from query_text and
+    `chunks`, an array of (chunk_idx, text, score) by chunk_idx, come prompt_entities, found, and the kept chunks as `items`."""
+    one = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  computes value once, however often body names it
+    ranked = F.array_sort(F.transform("chunks", lambda x: F.struct((-x["score"]).alias("rank"), x["chunk_idx"].alias("idx"), x["text"].alias("text"))))
+    lists = lists.withColumn("ranked", F.slice(ranked, 1, top))
+    lists = lists.withColumn("prompt_entities", en.extract(F.col("query_text"))).withColumn("found", en.extract(F.array_join(F.transform("ranked", lambda x: x["text"]), GAP)))
+    needles = F.concat("prompt_entities", F.filter("found", en.keep_worthy))
+    lists = lists.withColumn("has", one(needles, lambda n: F.transform("chunks", lambda x: t.contains_any(x["text"], n))))
+    at = lambda i: F.coalesce(F.get("has", i), F.lit(False))
+    # an entity in the first or last chunk also protects that chunk itself
+    flagged = F.transform("chunks", lambda x, i: F.struct(x["chunk_idx"].alias("idx"), x["text"].alias("text"), x["score"].alias("score"), (at(i) | at(i - 1) | at(i + 1)).alias("by_entity")))
+    keep = lambda x: x["by_entity"] | (x["score"] >= relevance)
+    best = F.element_at("ranked", 1)["idx"]
+    kept = one(flagged, lambda a: one(F.filter(a, keep), lambda k: F.when(F.size(k) > 0, k).otherwise(F.filter(a, lambda x: x["idx"] == best))))
+    items = F.array_sort(F.transform(kept, lambda x: _packable(x["by_entity"], x["score"], x["idx"], x["text"])))
+    return lists.withColumn("items", items).drop("ranked", "has", "chunks")
+
+
 def compress(queries: DataFrame, contexts: DataFrame, scorer, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """One row for each query and its context: the prompt and its report.
 
     queries: (query_id, context_id, query_text); contexts: (context_id, text[, doc_type]) or chunks
     (context_id, chunk_idx, text). scorer(queries, chunks) gives (query_id, context_id, chunk_idx, score).
 
-    Questions, chunks, scores and entities are read several times and computed once (`cut`): the plan of the whole
-    is their sum, where it was their product."""
+    Questions and chunks are read several times and computed once (`cut`), and so are scores: the plan of the whole is
+    their sum, where it was their product. A context's scored chunks meet in one row, where all the rest is done."""
     queries = cut(queries)
     chunks = cut(contexts if "chunk_idx" in contexts.columns else explode_chunks(contexts, cfg))
     scored = cut(scorer(queries, chunks).select(*BY, "chunk_idx", "score")).join(chunks, ["context_id", "chunk_idx"])
-    entities = cut(context_entities(scored, queries))
-    flagged = keep_flags(scored, entities, cfg.relevance)
-    chosen = enforce_budget(flagged.filter("keep").select(*BY, "chunk_idx", "text", "score", F.col("by_entity").alias("keep")), cfg.max_context_tokens, BY, cfg.summary_max_chars)
+    lists = scored.groupBy(*BY).agg(F.array_sort(F.collect_list(F.struct("chunk_idx", "text", "score"))).alias("chunks"))
+    chosen = _choose(_with_entities_and_items(lists.join(queries, BY), cfg.relevance), cfg.max_context_tokens, cfg.summary_max_chars)
     sizes = chunks.groupBy("context_id").agg(F.count("*").cast("int").alias("total_chunks"), (F.sum(F.length("text")) + 2 * (F.count("*") - 1)).alias("context_chars"))
-    rows = queries.join(sizes, "context_id", "left").join(chosen, BY, "left").join(entities, BY, "left")
+    rows = queries.join(sizes, "context_id", "left").join(chosen.select(*BY, "selected", "prompt_entities", "found"), BY, "left")
     empty = F.col("total_chunks").isNull()
     question = F.col("query_text")
     listed = F.array_distinct(F.concat("prompt_entities", F.filter("found", lambda e: F.array_contains(F.col("prompt_entities"), e) | en.keep_worthy(e))))

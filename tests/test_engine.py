@@ -99,6 +99,27 @@ def test_plain_stems(spark):
     assert plain.words("A b\u212a9 \u0130x \u00c9a-c_d") == row["w"] and plain.words(None) == []
 
 
+def test_compression_by_row_is_that_by_relations(spark):
+    """Entities, kept chunks and choice are made inside one row for each context: no windows, few exchanges, and the same result."""
+    asked = [(1, 7, "Is INV-1 due?"), (2, 8, "zzz"), (3, 9, "what else stands here"), (4, 7, "due")]
+    q = spark.createDataFrame(asked, "query_id bigint, context_id bigint, query_text string")
+    texts = {7: ["Nothing.", "INV-1 is due.", "Beside it.", "Far away words.", "Also due 2024-01-02."], 8: ["first", "second", "third " * 30], 9: [f"Chunk {i} stands. It is {i}.{i} or a@b.cd." for i in range(12)] + ["REF-77 at the end"]}
+    c = spark.createDataFrame([(k, 10 * i, x) for k, v in texts.items() for i, x in enumerate(v)], "context_id bigint, chunk_idx int, text string")
+    for limit in (30, 6, 400):
+        cfg = selection.EngineConfig(max_context_tokens=limit, min_relevance=0.6)
+        found = selection.compress(q, c, scoring.hybrid_scores, cfg)
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("Window") == 0 and plan.count("Join") <= 5
+        got = {r["query_id"]: (r["selected_indices"], r["entities"]) for r in found.collect()}
+        scored = scoring.hybrid_scores(q, c).select("query_id", "context_id", "chunk_idx", "score").join(c, ["context_id", "chunk_idx"]).cache()
+        entities = selection.context_entities(scored, q)
+        flagged = selection.keep_flags(scored, entities, cfg.relevance).filter("keep")
+        chosen = selection.enforce_budget(flagged.select("query_id", "context_id", "chunk_idx", "text", "score", F.col("by_entity").alias("keep")), limit)
+        assert {k: v[0] for k, v in got.items()} == {r["query_id"]: [x["idx"] for x in r["selected"]] for r in chosen.collect()}
+        for r in entities.collect():
+            assert set(r["prompt_entities"]) <= set(got[r["query_id"]][1]) <= {*r["prompt_entities"], *r["found"]}
+
+
 def test_budget_and_order(spark):
     rows = spark.createDataFrame([(1, 1, 0, "a" * 40, 0.1, False), (1, 1, 1, "b" * 400, 0.9, False), (1, 1, 2, "c" * 40, 0.5, True)], "query_id int, context_id int, chunk_idx int, text string, score double, keep boolean")
     pick = lambda n: [x["idx"] for x in selection.enforce_budget(rows, n).first()["selected"]]
